@@ -15,7 +15,7 @@ postings in a task except the candidate starts of a single document.
 
 Defined results: a null or wordless text has no words, no hits and is not contaminated; items that are
 null, wordless or without an id are ignored; windows shared by several items count for each; repeated
-documents each keep their row.
+documents each keep their row; columns of the documents named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int, width: int =
 def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", lists: int = 3) -> DataFrame:
     """Every row of ``docs`` with ``n_words``, ``n_hit`` (words inside any occurrence of a window) and
     ``hit_items`` (sorted ids of the items that have an occurring window)."""
+    docs = docs.drop("n_words", "n_hit", "hit_items")
     windows = stored(windows_of(items, item_col, item_text, width), "windows")
     postings, lookups = build_index(docs, windows, id_col, text_col, lists)
     starts = (

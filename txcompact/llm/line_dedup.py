@@ -7,7 +7,8 @@ again from its other lines in their order. Only hashes are shuffled for the coun
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped (its length is
 below ``min_chars``); rows with a null document id count as one document; repeated rows of one id count
-once and each keeps its row; of a text all of whose lines go, the empty text stays.
+once and each keeps its row; of a text all of whose lines go, the empty text stays; columns of the
+documents named like a result are replaced by it.
 """
 
 from __future__ import annotations

@@ -1,15 +1,29 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL. Those without SQL are held against plain versions in tests/llm."""
 
 from __future__ import annotations
 
+from txcompact.llm.ann import op10_nearest
 from txcompact.llm.decontam import OP3_SQL, op3_decontaminate
 from txcompact.llm.line_dedup import OP4_SQL, op4_line_dedup
+from txcompact.llm.packing import op5_best_fit_packing
+from txcompact.llm.ppm import op8_lm_score
+from txcompact.llm.quality import op6_quality
+from txcompact.llm.simhash import op7_simhash
+from txcompact.llm.token_count import op9_token_count
+from txcompact.llm.toxicity import op2_toxicity
 from txcompact.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_toxicity": op2_toxicity,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_quality": op6_quality,
+    "op7_simhash": op7_simhash,
+    "op8_lm_score": op8_lm_score,
+    "op9_token_count": op9_token_count,
+    "op10_nearest": op10_nearest,
 }
 
 SQL = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL}
