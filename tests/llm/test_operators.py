@@ -309,7 +309,7 @@ def test_repeated_texts_score_alike(odd_docs):
     docs = odd_docs.where("doc_id in (1, 5)")
     model = toxicity.train(["nice day", "bad idiot"] * 40, np.array([0, 1] * 40), ["en"] * 80, {0: 40, 1: 40})
     scores = {r.score for r in toxicity.scored(docs, model).collect()}
-    assert len(scores) == 1
+    assert max(scores) - min(scores) < 1e-9
     a, b = toxicity.rows_of(model.buckets, [toxicity.buckets_of("a nice day"), toxicity.buckets_of("a bad idiot")])
     assert model.score([a, b])[0] < 0.5 < model.score([a, b])[1]
 
