@@ -307,7 +307,7 @@ def test_classifiers_on_odd_rows(spark, odd_docs):
 
 def test_repeated_texts_score_alike(odd_docs):
     docs = odd_docs.where("doc_id in (1, 5)")
-    model = toxicity.train(["nice day", "bad idiot"] * 40, np.array([0, 1] * 40), ["en"] * 80, {0: 40, 1: 40})
+    model = toxicity.train([f"{x} {i} u{i} v{i}" for i in range(40) for x in ("nice day", "bad idiot")], np.array([0, 1] * 40), ["en"] * 80, {0: 40, 1: 40})
     scores = {r.score for r in toxicity.scored(docs, model).collect()}
     assert max(scores) - min(scores) < 1e-9
     a, b = toxicity.rows_of(model.buckets, [toxicity.buckets_of("a nice day"), toxicity.buckets_of("a bad idiot")])
