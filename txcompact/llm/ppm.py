@@ -213,7 +213,7 @@ def normalised(words: list[bytes]) -> bytes:
     return b" ".join(words) + END
 
 
-def corpus_counts(texts: DataFrame, order: int, text_col: str = "text", flush: int = 500_000) -> DataFrame:
+def corpus_counts(texts: DataFrame, order: int, text_col: str = "text", flush: int = 300_000) -> DataFrame:
     """``kind, key, n``: counts over all texts of tokens (kind 0, the end is the key ``END``) and of grams (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def corpus_counts(texts: DataFrame, order: int, text_col: str = "text", flush: i
             begin = 0
             while begin < len(texts):
                 part, size = [], 0
-                while begin < len(texts) and size < 4_000_000:
+                while begin < len(texts) and size < 1_500_000:
                     w = words_of(texts[begin])
                     tokens.update(w)
                     part.append(normalised(w))
@@ -268,8 +268,8 @@ def corpus_counts(texts: DataFrame, order: int, text_col: str = "text", flush: i
     return texts.select(F.col(text_col).cast("binary")).mapInArrow(run, "kind int, key binary, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _frequent(tokens: DataFrame, limit: int) -> dict[bytes, int]:
-    """Counts of the most frequent tokens: all from some count on, at most ``limit`` of them."""
+def _frequent(tokens: DataFrame, limit: int, den: int) -> dict[bytes, float]:
+    """Base scores of the most frequent tokens: all from some count on, at most ``limit`` of them."""
     level = F.floor(4 * F.log2("n"))
     sizes = sorted(((int(r[0]), r[1]) for r in tokens.groupBy(level).count().collect()), reverse=True)
     cut, total = None, 0
@@ -277,17 +277,20 @@ def _frequent(tokens: DataFrame, limit: int) -> dict[bytes, int]:
         if total + n > limit:
             break
         cut, total = at, total + n
-    return {} if cut is None else {bytes(r[0]): r[1] for r in tokens.where(level >= cut).select("key", "n").toPandas().itertuples(index=False)}
+    if cut is None:
+        return {}
+    got = tokens.where(level >= cut).select("key", "n").toArrow()
+    return dict(zip(got["key"].to_pylist(), np.log10((got["n"].to_numpy() + 1) / den).tolist()))
 
 
 def _grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = rows.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("g"), "n").toPandas()
-    g = got["g"].to_numpy(np.int64).view(np.uint64)
+    got = rows.select(F.conv(F.hex("key"), 16, -10).cast("long").alias("g"), "n").toArrow()
+    g = got["g"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(g)
-    return g[order], got["n"].to_numpy(np.int64)[order]
+    return g[order], got["n"].to_numpy()[order]
 
 
-def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text_col: str = "text", order: int = 4, node_limit: int = 4_000_000, frequent_limit: int = 300_000) -> DataFrame:
+def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text_col: str = "text", order: int = 4, node_limit: int = 4_000_000, frequent_limit: int = 200_000) -> DataFrame:
     """``id_col, is_training, n_tokens, n_known, train_tokens, base_score, score`` of every row, from a trie and
     token counts over the rows whose boolean column ``is_training`` is true."""
     spark = docs.sparkSession
@@ -302,9 +305,9 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
     byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
     low = None
     if shards > 1:
-        got = grams.groupBy((byte(7) * 256 + byte(8)).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toPandas()
-        low = got["g"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
-    known = spark.sparkContext.broadcast(_frequent(tokens, frequent_limit))
+        got = grams.groupBy((byte(7) * 256 + byte(8)).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()
+        low = got["g"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+    known = spark.sparkContext.broadcast(_frequent(tokens, frequent_limit, den))
     kind = dict(docs.dtypes)[id_col]
 
     def trie_of(shard: int):
@@ -313,7 +316,7 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
 
     def scorer(trie, with_base: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, have = trie.value, {w: (c, math.log10((c + 1) / den)) for w, c in known.value.items()} if with_base else {}
+            model, have = trie.value, known.value if with_base else {}
             for b in batches:
                 texts, begin, out = b.column(2).to_pylist(), 0, []
                 scores: list[np.ndarray] = []
@@ -328,7 +331,7 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
                             w.append(END)
                             hits = [x for x in map(have.get, w) if x is not None]
                             rest = Counter(x for x in w if x not in have) if len(hits) < len(w) else {}
-                            out.append((len(w), sum(c > 0 for c, _ in hits), sum(x for _, x in hits), list(rest.keys()), list(rest.values())))
+                            out.append((len(w), len(hits), sum(hits), list(rest.keys()), list(rest.values())))
                     code, first, last = codes_of(part, model.order)
                     p = model.log10(code) if model.shards == 1 else np.where(shard_of(code, model.shards) == model.shard, model.log10(code), 0)
                     scores.append(np.add.reduceat(np.r_[p, 0], np.column_stack([first, last]).ravel())[::2])
