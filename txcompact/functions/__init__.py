@@ -1 +1 @@
-
+"""Column functions: text cleaning, sizes, ids, and reset times."""

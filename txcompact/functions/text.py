@@ -1,0 +1,139 @@
+"""Column functions on texts and sizes. Sizes are code points (Spark's ``length``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+CHARS_PER_TOKEN = 3.5
+CONTEXT_CHARS = 800_000
+
+# What the cleaning stages look for.
+ANSI = [r"\x1B\[[0-9;]*[mGKHF]", r"\x1B\][^\x07]*\x07", r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"]
+BAR = r"[\s=\-#░█▓▒▌▐►◄|]"
+TIMESTAMPS = [r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?", r"\[\d{2}:\d{2}:\d{2}(\.\d+)?\]", r"\d{2}:\d{2}:\d{2}(\.\d+)?\s"]
+FRAME = r"^[ \t]{2,}(at |File \"|in <)"
+VERBOSE = [
+    ("in order to", "to"),
+    ("due to the fact that", "because"),
+    ("in spite of the fact that", "although"),
+    ("with regard to", "about"),
+    ("at this point in time", "now"),
+    ("in the event that", "if"),
+    ("for the purpose of", "to"),
+    ("in a manner that", "how"),
+    ("in the process of", ""),
+    ("as a matter of fact", ""),
+    ("it is important to note that", "note:"),
+    ("it should be noted that", "note:"),
+    ("please note that", ""),
+    ("keep in mind that", ""),
+]
+OPENERS = r"(^|\.\s+|\n)([Ll]et me |[Ii]'ll |[Ii] will |[Ii]'m going to |[Nn]ow,? |[Ss]o,? )"
+MARKERS = r"(?i)\b(let me |i'll |i will |i'm going to |i'm now |i am now |i shall |now |so,? |so let's |well,? |alright,? |actually,? |basically,? |essentially,? |fundamentally,? )"
+CLOSING = r"(?is)\n\n(?:Here'?s a (?:summary|brief recap)|To summarize|In summary|Summary:|Recap:|To recap|In conclusion)\b.{50,}\z"
+
+
+def half_up(x: Column) -> Column:
+    """Rounding with halves towards plus infinity."""
+    return F.floor(x + 0.5)
+
+
+def tokens_of(chars: Column) -> Column:
+    return half_up(chars / CHARS_PER_TOKEN)
+
+
+def saving_percent(saved: Column, original: Column) -> Column:
+    """One decimal; 0 without input."""
+    return F.when(original > 0, F.floor(saved / original * 1000 + 0.5) / 10).otherwise(F.lit(0.0))
+
+
+def trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+
+
+def unix_lines(x: Column) -> Column:
+    return F.regexp_replace(x, r"\r\n?", "\n")
+
+
+def strip_ansi(x: Column) -> Column:
+    for p in ANSI:
+        x = F.regexp_replace(x, p, "")
+    return x
+
+
+def strip_timestamps(x: Column) -> Column:
+    for p in TIMESTAMPS:
+        x = F.regexp_replace(x, p, "")
+    return x
+
+
+def is_bar(line: Column, need_bar: bool = False) -> Column:
+    """Lines of little but bars and blanks; ``need_bar`` spares lines without any bar character."""
+    rest = F.length(F.regexp_replace(line, BAR, ""))
+    bar = ~((rest > F.length(line) * 0.3) | (rest > 5))
+    return bar & line.rlike(r"[=\-#░█▓▒▌▐►◄|]") if need_bar else bar
+
+
+def collapse_whitespace(x: Column) -> Column:
+    return trimmed(F.regexp_replace(F.regexp_replace(x, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+
+
+def minify_json(x: Column) -> Column:
+    """Objects of 200 characters or more that parse are written without blanks; keys and numbers as Spark writes them."""
+    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\{[\s\S]{200,}?\})"), F.lit(1)))
+    return F.when(~x.contains("{"), x).otherwise(F.aggregate(found, x, lambda acc, m: F.coalesce(F.replace(acc, m, F.to_json(F.try_parse_json(m))), acc)))
+
+
+def shorten_prose(x: Column) -> Column:
+    """Discourse markers, verbose phrases and emphasis go."""
+    x = F.regexp_replace(F.regexp_replace(x, OPENERS, "$1"), MARKERS, "")
+    for phrase, short in VERBOSE:
+        x = F.regexp_replace(x, rf"(?i)\b{phrase}\b", short)
+    x = F.regexp_replace(F.regexp_replace(x, r"\*\*([^*\n]+)\*\*", "$1"), r"(?<!\w)_([^_\n]+)_(?!\w)", "$1")
+    return F.regexp_replace(F.regexp_replace(x, r"  +", " "), r" +([.,;:!?])", "$1")
+
+
+def clean_prose(x: Column) -> Column:
+    """``shorten_prose`` outside of code fences, without a closing summary; the text itself where that is not shorter."""
+    fences = F.regexp_extract_all(x, F.lit(r"(?s)(```.*?```)"), F.lit(1))
+    prose = F.transform(F.split(x, r"(?s)```.*?```", -1), shorten_prose)
+    joined = F.array_join(F.flatten(F.transform(prose, lambda p, i: F.filter(F.array(p, F.get(fences, i)), lambda y: y.isNotNull()))), "")
+    short = collapse_whitespace(F.regexp_replace(joined, CLOSING, ""))
+    return F.when(F.length(short) < F.length(x), short).otherwise(x)
+
+
+def content_id(x: Column) -> Column:
+    """Six hex digits of the text's md5."""
+    return F.substring(F.md5(x), 1, 6)
+
+
+def duration_seconds(x: Column) -> Column:
+    """``6m0s``, ``1h2m3.5s``, ``120ms`` as seconds."""
+    part = lambda p: F.coalesce(F.regexp_extract(x, p, 1).try_cast("double"), F.lit(0.0))
+    return part(r"(\d+)h") * 3600 + part(r"(\d+)m(?!s)") * 60 + part(r"([\d.]+)s$") * F.when(x.rlike(r"ms$"), 0).otherwise(1) + part(r"([\d.]+)ms$") / 1000
+
+
+def reset_time(x: Column, now: Column) -> Column:
+    """A reset given as ISO time, epoch seconds, or a duration from ``now``."""
+    return F.when(x.rlike(r"^\d{4}-"), F.try_to_timestamp(x)).when(x.rlike(r"^\d+$"), F.timestamp_seconds(x.try_cast("long"))).otherwise(F.timestamp_micros((F.unix_micros(now) + duration_seconds(x) * 1_000_000).cast("long")))
+
+
+def project_of(text: Column, legacy: bool = False) -> Column:
+    """Project name: ``<cwd>`` tag, then a working-directory remark, then a path, else ``unknown``. The last
+    segment counts; ``legacy`` takes a path's first segment that is not a common folder."""
+    last = lambda p: F.element_at(F.split(F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), r"/+\z", ""), "/"), -1)
+    tag = F.regexp_extract(text, r"<cwd>([^<]+)</cwd>", 1)
+    said = F.regexp_extract(text, r"(?i)(?:cwd|current working directory):\s*([^\s\n]+)", 1)
+    path = F.regexp_extract(text, r"(?:^|\s)((?:/[\w.\-]+){2,})", 1)
+    skip = F.array(*[F.lit(s) for s in ("home", "users", "root", "var", "tmp", "usr", "opt", "src", "documents", "desktop", "projects")])
+    names = F.filter(F.split(path, "/"), lambda s: (s != "") & ~F.array_contains(skip, F.lower(s)))
+    segment = F.get(names, F.lit(0)) if legacy else F.when(F.size(names) > 0, F.element_at(names, -1))
+    return F.coalesce(F.nullif(last(tag), F.lit("")), F.nullif(last(said), F.lit("")), segment, F.lit("unknown"))
+
+
+def client_of(user_agent: Column, hint: Column | None = None) -> Column:
+    """A client's name by its hint, else by its user agent."""
+    ua = F.lower(F.coalesce(user_agent, F.lit("")))
+    by_agent = F.when(ua.contains("desktop") | ua.contains("electron"), "desktop").when(ua.contains("cli"), "cli").when(ua.contains("vscode") | ua.contains("ide"), "editor").otherwise("other")
+    return F.coalesce(hint, by_agent) if hint is not None else by_agent

@@ -1 +1 @@
-
+"""Operators over blocks, lines and request logs."""

@@ -1 +1 @@
-
+"""Sources: transcript shapes and event streams."""
