@@ -167,7 +167,7 @@ def build_index(valid: DataFrame, k: int, shard_rows: int, degree: int, beam: in
     return stored(few.groupBy("shard", "width").applyInPandas(run, "shard int, width int, ids binary, vectors binary, point binary, graph binary, entries binary"), "ann-index")
 
 
-def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 16384, degree: int = 32, build_beam: int = 48, beam: int = 96, alpha: float = 1.2, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, degree: int = 40, build_beam: int = 64, beam: int = 192, alpha: float = 1.2, block_rows: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each valid row that ``query_filter`` (SQL over ``vec_id``) picks, its ``k`` nearest others."""
     valid = valid_vectors(vectors, id_col, vector_col)
     index = build_index(valid, k, shard_rows, degree, build_beam, alpha)
