@@ -132,8 +132,59 @@ def project_of(text: Column, legacy: bool = False) -> Column:
     return F.coalesce(F.nullif(last(tag), F.lit("")), F.nullif(last(said), F.lit("")), segment, F.lit("unknown"))
 
 
-def client_of(user_agent: Column, hint: Column | None = None) -> Column:
-    """A client's name by its hint, else by its user agent."""
+# Clients that a hint may name, and for each family of calls the words of a user agent in their order.
+HINTS = ("claude_code", "claude_desktop", "codex_cli", "codex_desktop", "aider", "opencode", "cursor", "cline", "windsurf", "continue")
+AGENTS = {
+    "messages": (
+        [(("claude-code", "claude_code"), "claude_code"), (("claude-desktop", "claude desktop", "electron"), "claude_desktop"), (("aider",), "aider"), (("opencode", "open-code"), "opencode"), (("cursor",), "cursor"), (("cline", "roo"), "cline"), (("windsurf",), "windsurf")],
+        "claude_code",
+    ),
+    "completions": ([(("codex",), "codex_desktop"), (("cursor",), "cursor"), (("continue",), "continue"), (("cline", "roo"), "cline"), (("windsurf",), "windsurf"), (("aider",), "aider")], "openai_other"),
+}
+
+
+def client_of(user_agent: Column, hint: Column | None = None, family: str = "messages") -> Column:
+    """A client's name by a known hint, else by its user agent."""
     ua = F.lower(F.coalesce(user_agent, F.lit("")))
-    by_agent = F.when(ua.contains("desktop") | ua.contains("electron"), "desktop").when(ua.contains("cli"), "cli").when(ua.contains("vscode") | ua.contains("ide"), "editor").otherwise("other")
-    return F.coalesce(hint, by_agent) if hint is not None else by_agent
+    words, default = AGENTS[family]
+    name = F.lit(default)
+    for any_of, client in reversed(words):
+        seen = F.lit(False)
+        for w in any_of:
+            seen = seen | ua.contains(w)
+        name = F.when(seen, client).otherwise(name)
+    return name if hint is None else F.when(hint.isin(*HINTS), hint).otherwise(name)
+
+
+def is_local_key(key_prefix: Column, dummies: tuple[str, ...] = ()) -> Column:
+    """Whether a key (its first characters will do) belongs to a local model: a listed dummy, or of no hosted service's form."""
+    k = F.lower(F.trim(F.coalesce(key_prefix, F.lit(""))))
+    listed = k.isin(*dummies) if dummies else F.lit(False)
+    return listed | ((k != "") & ~k.rlike("^(sk-|aiza|eyj)"))
+
+
+def upstream_of(headers: Column) -> Column:
+    """Family of services by a map of lower-case headers."""
+    has = lambda name: F.coalesce(headers[name], F.lit("")) != ""
+    return F.when(has("x-goog-api-key"), "google").when(has("authorization") & ~has("x-api-key"), "openai").otherwise("anthropic")
+
+
+def model_of_path(segment: Column) -> Column:
+    """``model:method`` as the model."""
+    return F.split_part(segment, F.lit(":"), F.lit(1))
+
+
+def used_window(used: Column) -> Column:
+    """A used share in percent, rounded and within 0 and 100."""
+    return F.greatest(F.lit(0), F.least(F.lit(100), half_up(used))).cast("int")
+
+
+def short_number(n: Column) -> Column:
+    """``1234567`` as ``1.2M``, ``1234`` as ``1.2k``; a null as a dash."""
+    one = lambda unit: (F.floor(n / unit * 10 + 0.5) / 10).cast("string")
+    return F.when(n.isNull(), "—").when(n >= 1_000_000, F.concat(one(1_000_000), F.lit("M"))).when(n >= 1000, F.concat(one(1000), F.lit("k"))).otherwise(half_up(n.cast("double")).cast("string"))
+
+
+def uptime(seconds: Column) -> Column:
+    whole = lambda x: F.floor(x).cast("string")
+    return F.when(seconds < 60, F.concat(whole(seconds), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60), F.lit("m "), (seconds % 60).cast("string"), F.lit("s"))).otherwise(F.concat(whole(seconds / 3600), F.lit("h "), whole((seconds % 3600) / 60), F.lit("m")))

@@ -16,12 +16,20 @@ SUMMARY_INPUT = 4000
 
 
 def dedup_blocks(blocks: DataFrame, scope: list[str] = ["conv_id"], order: list[str] = ["turn", "part"], keep: str = "last", min_len: int = 200) -> DataFrame:
-    """Adds ``hash``, ``kept_ref`` (id of the kept text, null where the block stays) and ``saved_chars``. Texts are not shuffled."""
-    way = F.desc if keep == "last" else F.asc
-    w = Window.partitionBy(*scope, "hash").orderBy(*[way(c) for c in order])
+    """Adds ``hash``, ``kept_ref`` (id of the kept text, null where the block stays) and ``saved_chars``.
+
+    Which block of equal texts stays is worked out by partial aggregates, so a text that fills a third of all blocks meets in
+    no single task; blocks equal in ``order`` too stay together."""
+    at = F.struct(*order)
     out = blocks.withColumn("hash", F.md5("text")).withColumn("chars", F.length("text"))
-    again = (F.col("chars") >= min_len) & (F.row_number().over(w) > 1)
-    return out.withColumn("kept_ref", F.when(again, F.substring("hash", 1, 6))).withColumn("saved_chars", F.when(again, F.col("chars")).otherwise(0))
+    groups = out.where(F.col("chars") >= min_len).groupBy(*scope, "hash").agg((F.max if keep == "last" else F.min)(at).alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    kept = groups.select("_kept", *[F.col(c).alias(f"_k_{c}") for c in [*scope, "hash"]])
+    same = F.lit(True)
+    for c in [*scope, "hash"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    again = F.col("_kept").isNotNull() & ~at.eqNullSafe(F.col("_kept"))
+    marked = out.join(kept, same, "left").withColumn("kept_ref", F.when(again, F.substring("hash", 1, 6))).withColumn("saved_chars", F.when(again, F.col("chars")).otherwise(0))
+    return marked.drop("_kept", *[f"_k_{c}" for c in [*scope, "hash"]])
 
 
 def placeholder(tool: Column, ref: Column, tag: str = "tx") -> Column:
@@ -165,3 +173,22 @@ def compact_conversations(blocks: DataFrame, cfg: CompactionConfig = CompactionC
     out = all_.withColumn("by", by).withColumn("_new", text)
     savings = out.select("conv_id", "turn", "part", "tool", F.col("by").alias("source"), F.length("text").alias("original_chars"), F.length("_new").alias("compact_chars"), (F.length("text") - F.length("_new")).alias("saved_chars"))
     return out.select("conv_id", "turn", "part", "kind", "role", "tool", "call_id", F.col("_new").alias("text"), "skip"), savings
+
+
+#: Variants of a training pair; the share of non-blank lines is that of the local summary.
+VARIANTS = (("conservative", 0.65), ("balanced", 0.45), ("aggressive", 0.25))
+
+
+def training_pairs(texts: DataFrame, fn=None, min_len: int = 10) -> DataFrame:
+    """``hash, text, variant, compressed, ratio`` for each distinct text and variant, ready for ``write.json``.
+
+    ``fn`` maps frames ``hash, variant, text`` to ``hash, variant, compressed`` (null: failed); without it a variant is the text's first non-blank lines."""
+    distinct = texts.select(F.md5("text").alias("hash"), "text").dropDuplicates(["hash"]).where(F.length("text") >= min_len)
+    named = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(k).alias("share")) for v, k in VARIANTS])
+    rows = distinct.select("hash", "text", F.inline(named))
+    if fn is None:
+        lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+        made = rows.withColumn("compressed", F.array_join(F.slice(lines, F.lit(1), F.ceil(F.size(lines) * F.col("share")).cast("int")), "\n"))
+    else:
+        made = rows.join(rows.select("hash", "variant", "text").mapInPandas(fn, "hash string, variant string, compressed string"), ["hash", "variant"], "left")
+    return made.select("hash", "text", "variant", "compressed", (1 - F.length("compressed") / F.length("text")).alias("ratio"))

@@ -22,10 +22,27 @@ def savings_by(requests: DataFrame, dims: list[str]) -> DataFrame:
     )
 
 
-def carry_project(requests: DataFrame) -> DataFrame:
+def with_earlier(rows: DataFrame, keys: list[str], unit: str, of_bucket: Column, of_earlier) -> DataFrame:
+    """Adds ``_bucket`` (``ts`` cut to ``unit``) and ``_earlier``: what all earlier buckets of the row's keys amount to.
+
+    ``of_bucket`` is an aggregate, so a key that holds most rows is reduced before the shuffle; ``of_earlier`` combines
+    the few rows that are left of each key. Windows over the rows themselves then need the keys and the bucket only."""
+    rows = rows.withColumn("_bucket", F.date_trunc(unit, "ts"))
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*keys, "_bucket").agg(of_bucket.alias("_of"))
+    before = per.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k__bucket"), of_earlier(F.col("_of")).over(w).alias("_earlier"))
+    same = F.lit(True)
+    for k in [*keys, "_bucket"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(before, same, "left").drop(*[f"_k_{k}" for k in [*keys, "_bucket"]])
+
+
+def carry_project(requests: DataFrame, unit: str = "day") -> DataFrame:
     """An unknown project is the last known one of its session."""
-    w = Window.partitionBy("session_id").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
-    return requests.withColumn("project", F.coalesce(F.last(F.nullif("project", F.lit("unknown")), ignorenulls=True).over(w), F.lit("unknown")))
+    known = F.nullif("project", F.lit("unknown"))
+    rows = with_earlier(requests, ["session_id"], unit, F.max_by(known, F.when(known.isNotNull(), F.struct("ts", "request_id"))), lambda x: F.last(x, ignorenulls=True))
+    w = Window.partitionBy("session_id", "_bucket").orderBy("ts", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("project", F.coalesce(F.last(known, ignorenulls=True).over(w), "_earlier", F.lit("unknown"))).drop("_bucket", "_earlier")
 
 
 def sessions(requests: DataFrame) -> DataFrame:
@@ -113,8 +130,55 @@ def usage_daily(usage: DataFrame) -> DataFrame:
     return usage.groupBy("client", F.to_date("ts").alias("day")).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("input_tokens") > 0).alias("requests"))
 
 
-def outage_streaks(calls: DataFrame, by: str = "backend", min_run: int = 3) -> DataFrame:
-    """Runs of at least ``min_run`` failures without a success between: ``by, start_ts, end_ts, failures``."""
-    w = Window.partitionBy(by).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = calls.withColumn("_ok_so_far", F.sum(F.col("ok").cast("int")).over(w)).where(~F.col("ok"))
+def outage_streaks(calls: DataFrame, by: str = "backend", min_run: int = 3, unit: str = "hour") -> DataFrame:
+    """Runs of at least ``min_run`` failures without a success between: ``by, start_ts, end_ts, failures``.
+
+    Backends are few, so successes are counted within hours and added up over hours."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    rows = with_earlier(calls, [by], unit, F.sum(ok.cast("long")), F.sum)
+    w = Window.partitionBy(by, "_bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    runs = rows.withColumn("_ok_so_far", F.coalesce("_earlier", F.lit(0)) + F.sum(ok.cast("long")).over(w)).where(~ok)
     return runs.groupBy(by, "_ok_so_far").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count(F.lit(1)).alias("failures")).where(F.col("failures") >= min_run).drop("_ok_so_far")
+
+
+def hit_rate(calls: DataFrame, by: list[str]) -> DataFrame:
+    """``hits, lookups, hit_percent`` of a cache, from calls with a boolean ``hit``."""
+    return calls.groupBy(*by).agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("lookups")).withColumn("hit_percent", saving_percent(F.col("hits"), F.col("lookups")))
+
+
+def all_time(*totals: DataFrame) -> DataFrame:
+    """The greatest of several one-row totals (``requests, original_chars, saved_chars``), for logs that overlap, and the saving of those."""
+    every = totals[0]
+    for x in totals[1:]:
+        every = every.unionByName(x)
+    top = every.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("requests", "original_chars", "saved_chars")])
+    return top.select("requests", tokens_of(F.col("original_chars")).alias("original_tokens"), tokens_of(F.col("saved_chars")).alias("saved_tokens")).withColumn("saving_percent", saving_percent(F.col("saved_tokens"), F.col("original_tokens")))
+
+
+def period_summary(sessions: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Sessions that start in ``[start, end)``: their number, requests, tokens and saving."""
+    inside = sessions.where((F.col("start_ts") >= start) & (F.col("start_ts") < end))
+    out = inside.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests"), F.coalesce(F.sum("original_chars"), F.lit(0)).alias("o"), F.coalesce(F.sum("saved_chars"), F.lit(0)).alias("s"))
+    return out.select("sessions", "requests", tokens_of(F.col("s")).alias("saved_tokens"), saving_percent(F.col("s"), F.col("o")).alias("saving_percent"))
+
+
+def refused_calls(calls: DataFrame, by: str = "client") -> DataFrame:
+    """Number and last time of calls with status 429."""
+    return calls.groupBy(by).agg(F.count_if(F.col("status") == 429).alias("refused"), F.max(F.when(F.col("status") == 429, F.col("ts"))).alias("last_ts"))
+
+
+def budget_share(usage: DataFrame, budgets: DataFrame, by: str = "client") -> DataFrame:
+    """Tokens of each month against the ``budget`` of its ``by``; without a budget the share is null."""
+    month = F.trunc(F.to_date("ts"), "month")
+    per = usage.groupBy(by, month.alias("month")).agg(F.sum("input_tokens").alias("tokens"))
+    return per.join(budgets, by, "left").withColumn("share_percent", F.when(F.col("budget") > 0, saving_percent(F.col("tokens"), F.col("budget"))))
+
+
+def upsert_sessions(history: DataFrame, current: DataFrame) -> DataFrame:
+    """History with the sessions of ``current`` in place of those with the same id."""
+    return history.join(current.select("session_id"), "session_id", "left_anti").unionByName(current)
+
+
+def next_reset(limit_events: DataFrame, now: Column, by: str = "client") -> DataFrame:
+    """The least reset time after ``now``; null if there is none."""
+    return limit_events.groupBy(by).agg(F.min(F.when(F.col("reset_ts") > now, F.col("reset_ts"))).alias("next_ts"))

@@ -36,6 +36,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # A glob, as a stream's plain path must be a folder, and a table may be one file.
+    return spark.readStream.schema(read(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}[.]parquet")
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_turns(read(spark, sf_dir, "conversations"))
 
@@ -47,8 +52,8 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 MODELS = ["gpt-4o-mini-2024-07-18", "gpt-4o", "o1-mini-x", "gemini-1.5-pro", "other"]
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events")
+def requests(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    e = read_stream(spark, sf_dir, "events") if stream else read(spark, sf_dir, "events")
     models = F.array(*[F.lit(m) for m in MODELS])
     return e.select(
         F.col("event_id").alias("request_id"), "event_id", F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool"), F.concat(F.lit("client"), (F.col("user_id") % 3).cast("string")).alias("client"),

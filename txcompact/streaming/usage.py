@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +37,23 @@ def first_of_each(stream: DataFrame, keys: list[str], late: str = "1 hour") -> D
 
 
 def failure_alerts(stream: DataFrame, by: str = "backend", min_run: int = 3) -> DataFrame:
-    """A row when a backend's failures in sequence reach ``min_run``: ``by, ts, failures``."""
+    """A row when a backend's failures in sequence reach ``min_run``: ``by, ts, failures``.
+
+    A backend's calls of one micro-batch (three narrow columns) are put in order together, as Arrow cuts them anywhere; the
+    source's rate limits bound them. State is one number."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
-        alerts = []
-        for rows in frames:
-            for r in rows.sort_values(["ts", "event_id"]).itertuples():
-                streak = 0 if r.ok else streak + 1
-                if streak == min_run:
-                    alerts.append((key[0], r.ts, streak))
-        state.update((streak,))
-        yield pd.DataFrame(alerts, columns=[by, "ts", "failures"])
+        rows = pd.concat([f[["ts", "event_id", "ok"]] for f in frames]).sort_values(["ts", "event_id"])
+        ok = rows["ok"].fillna(False).astype(bool).to_numpy()
+        place = np.arange(len(ok))
+        last_ok = np.maximum.accumulate(np.where(ok, place, -1)) if len(ok) else place
+        before = state.get[0] if state.exists else 0
+        streak = np.where(ok, 0, place - last_ok + np.where(last_ok < 0, before, 0))
+        if len(ok):
+            state.update((int(streak[-1]),))
+        hit = rows[streak == min_run]
+        yield pd.DataFrame({by: [key[0]] * len(hit), "ts": hit["ts"].to_numpy(), "failures": np.full(len(hit), min_run, np.int32)})
 
     kind = dict(stream.dtypes)[by]
-    return timed(stream).groupBy(by).applyInPandasWithState(run, f"{by} {kind}, ts timestamp, failures int", "streak int", "append", GroupStateTimeout.NoTimeout)
+    calls = timed(stream.select(by, "ts", "event_id", "ok"))
+    return calls.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, ts timestamp, failures int", "streak int", "append", GroupStateTimeout.NoTimeout)
