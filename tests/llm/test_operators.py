@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import CLASH, DOCS, plain_components, plain_fingerprint, plain_hits, plain_line_dedup
 from txcompact.llm import ann, decontam, line_dedup, packing, ppm, quality, queries, simhash, token_count, toxicity, url_filter
+from txcompact.llm.labelled import fit_sample
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 
@@ -305,6 +306,16 @@ def test_classifiers_on_odd_rows(spark, odd_docs):
         assert quality.scored(odd_docs, quality.fit(odd_docs, some)).where("score between 0 and 1").count() == n
 
 
+def test_fit_sample_takes_an_id_once(spark):
+    docs = spark.createDataFrame([(i % 7, f"text {i % 3}", "en", i) for i in range(500)], "doc_id long, text string, lang string, _label int")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(7)] + [(1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    sample, sizes = fit_sample(docs, labels, "toxic", extra=("lang",))
+    learnt = [i for i in range(7) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(sample) == sorted(("text 2", i % 2, "en") for i in learnt)
+    assert sizes == {y: n for y in (0, 1) if (n := sum(i % 2 == y for i in learnt))}
+    assert len(fit_sample(docs, labels, "toxic", rows=2)[0]) == 2
+
+
 def test_repeated_texts_score_alike(odd_docs):
     docs = odd_docs.where("doc_id in (1, 5)")
     model = toxicity.train([f"{x} {i} u{i} v{i}" for i in range(40) for x in ("nice day", "bad idiot")], np.array([0, 1] * 40), ["en"] * 80, {0: 40, 1: 40})

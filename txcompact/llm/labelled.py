@@ -18,17 +18,19 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_R
     """Rows ``text, label, *extra`` to fit on, in a fixed order, and the rows of each class that there are to learn from.
 
     Learns only from ids whose crc32 modulo 5 is not 0. Ids are drawn by a hash; only the drawn ids, at most
-    ``rows`` of them, are broadcast to find their texts. Null labels are left out; of several labels of an id the greatest counts."""
+    ``rows`` of them, are broadcast to find their texts. Null labels are left out; of several labels of an id the greatest counts,
+    and of several rows of an id the one with the greatest text, so that no more rows than ids reach the driver."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (in_bucket("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("_label"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("_label").count().collect()}
     drawn = None
     for y in (0, 1):
         part = known.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         drawn = part if drawn is None else drawn.union(part)
-    found = docs.join(F.broadcast(drawn), "doc_id").where(F.length("text") <= chars)
-    got = found.select(F.xxhash64("doc_id", F.lit(1)).alias("o"), "text", "_label", *extra).collect()
+    found = docs.select("doc_id", "text", *extra).where(F.length("text") <= chars).join(F.broadcast(drawn), "doc_id")
+    each = found.groupBy("doc_id").agg(F.max(F.struct("text", "_label", *extra)).alias("_row"))
+    got = each.select(F.xxhash64("doc_id", F.lit(1)).alias("o"), "_row.*").collect()
     got.sort(key=lambda r: (r[0], r[1] or ""))
-    return [(r[1] or "", int(r[2]), *r[3:]) for r in got[: 2 * rows]], sizes
+    return [(r[1] or "", int(r[2]), *r[3:]) for r in got], sizes
 
 
 def platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200) -> tuple[float, float]:
