@@ -113,14 +113,14 @@ def train(texts: list[str], y: np.ndarray, langs: list, sizes: dict[int, int], e
         empty.constant = float(y[0]) if len(texts) else 0.0
         return empty
     rng = np.random.default_rng(seed)
-    hashed = [buckets_of(t) for t in texts]
+    hashed = [np.array(buckets_of(t), np.int64) for t in texts]
     once = list({(c, *sorted(set(h))[:3]): i for i, (h, c) in reversed(list(enumerate(zip(hashed, y))))}.values())[::-1]
     hashed, y, langs = [hashed[i] for i in once], y[once], [langs[i] for i in once]
     held = np.arange(len(hashed)) % 5 == 4
     if not held.any() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
         held[:] = False
     fit = np.flatnonzero(~held)
-    seen = {c: np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(np.array(hashed[i], np.int64)) for i in fit if y[i] == c]]), return_counts=True) for c in (0, 1)}
+    seen = {c: np.unique(np.concatenate([np.zeros(0, np.int64), *[np.unique(hashed[i]) for i in fit if y[i] == c]]), return_counts=True) for c in (0, 1)}
     buckets = np.union1d(seen[0][0], seen[1][0])
     df = np.zeros((2, len(buckets)))
     for c in (0, 1):
@@ -186,7 +186,7 @@ def train(texts: list[str], y: np.ndarray, langs: list, sizes: dict[int, int], e
     model = ConvModel(buckets, [(emb @ kernels[i][j]).astype(np.float32) for i, w in enumerate(WIDTHS) for j in range(w)], bias, out, float(c))
     check = np.flatnonzero(held) if held.any() else fit
     laid = [rows[i] for i in check]
-    raw = model.raw(*laid_out(laid))
+    raw = np.concatenate([model.raw(*laid_out(laid[k : k + 100])) for k in range(0, len(laid), 100)])
     weight = class_weights(y, sizes)[check]
     model.scale = platt(raw, y[check], weight)
     scores, lang = model.score(laid), np.array([str(langs[i]) for i in check])
