@@ -27,6 +27,8 @@ from txcompact.llm.common import ascii_lower, stored, table
 
 #: All that is no word character after lower-casing: ASCII but for digits and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Windows to a task and a file in the tables of vocabulary and lookups, so that small ones are one file and large ones many.
+TASK_WINDOWS = 10_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,10 +66,11 @@ def _lookups(windows: DataFrame, frequency: DataFrame, lists: int) -> DataFrame:
 
 def build_index(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: int = 3) -> tuple[DataFrame, DataFrame]:
     """The stored postings and the stored lookups."""
-    vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct().coalesce(1), "vocabulary")
+    tasks = 1 + windows.count() // TASK_WINDOWS
+    vocabulary = stored(windows.select(F.explode("words").alias("term")).distinct().coalesce(tasks), "vocabulary")
     frequency = stored(_tokens(docs, id_col, text_col).select("term").join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "frequency")
-    lookups = stored(_lookups(windows, frequency, lists).coalesce(1), "lookups")
-    wanted = stored(lookups.select("term").distinct().coalesce(1), "terms")
+    lookups = stored(_lookups(windows, frequency, lists).coalesce(tasks), "lookups")
+    wanted = stored(lookups.select("term").distinct().coalesce(tasks), "terms")
     postings = stored(_tokens(docs, id_col, text_col).join(wanted, "term"), "postings")
     return postings, lookups
 
