@@ -399,7 +399,11 @@ def summary_inputs(spark, sf_dir):
     return d.select("hash", F.length("text").cast("long").alias("original_chars"), F.size(lines).cast("long").alias("lines"), F.get(lines, F.lit(0)).alias("first_line"))
 
 
-@query()
+@query(
+    "WITH d AS (SELECT DISTINCT md5(text) AS hash, text FROM documents), l AS (SELECT *, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM d), "
+    r"c AS (SELECT *, list_concat(list_concat(lines[1:2], list_filter(lines, lambda x: regexp_matches(x, '(?i)\b(error|failed|exception|fatal)\b'))[1:3]), lines[-1:]) AS x FROM l) "
+    "SELECT hash, CASE WHEN text IS NOT NULL THEN md5(coalesce(array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), chr(10)), '')) END AS summary_md5, length(text) AS original_chars FROM c"
+)
 def summarise_extractive(spark, sf_dir):
     """Local summaries of all distinct documents."""
     return c.summarise(read(spark, sf_dir, "documents")).select("hash", F.md5("summary").alias("summary_md5"), "original_chars")
