@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txcompact.llm import decontam, line_dedup, packing, simhash, toxicity
+from txcompact.llm import decontam, line_dedup, near_copies, packing, toxicity
 from txcompact.llm.common import stored, table
 
 
@@ -29,10 +29,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """Of each component of near copies (similarity 0.8 on five-word shingles, or four bits) one row with the least id stays."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

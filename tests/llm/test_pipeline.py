@@ -59,3 +59,52 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
             assert sorted((r.doc_id, r.text or "") for r in stage.collect()) == sorted((i, t or "") for i, t in kept), name
     assert sorted((r.doc_id, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
     assert 100 < len(want) < 240
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_of_similarity_four_fifths_go_and_one_row_stays(spark, monkeypatch):
+    from txcompact.llm import near_copies
+
+    rows = []
+    for i in range(12):
+        words = [f"v{zlib.crc32(f'{i}-{k}'.encode()) % 9000}" for k in range(220)]
+        for copy in range(3):
+            own = list(words)
+            for at in range(copy):  # each changed word is in five shingles
+                for k in range(4):
+                    own[20 + 25 * k + 100 * at] = f"new{copy}-{at}-{k}"
+            rows.append((100 * i + copy, " ".join(own), "a"))
+    common = " ".join(f"passage{k}" for k in range(30))
+    rows += [(5000 + i, f"{common} {' '.join(f'own{i}-{k}' for k in range(30))}", "a") for i in range(20)]
+    rows += [(7, "one row of two", "a"), (7, "one row of two", "b"), (None, "no id", "a"), (None, "no id", "a"), (None, "One row of two", "a"), (8, None, "a"), (9, " ", "a")]
+    sets = [plain_shingles(t) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    linked = 0
+    for x in range(len(rows)):
+        for y in range(x):
+            both, either = len(sets[x] & sets[y]), len(sets[x] | sets[y])
+            if 5 * both >= 4 * either:
+                linked += 1
+                parent[top(x)] = top(y)
+    groups = {}
+    for x in range(len(rows)):
+        groups.setdefault(top(x), []).append(rows[x][0])
+    want = sorted((min((i for i in g if i is not None), default=-1) for g in groups.values()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for frequent, limit in ((64, 1024), (3, 4)):
+        monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+        monkeypatch.setattr(near_copies, "LIST_LIMIT", limit)
+        got = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
+    assert linked > 12
