@@ -1,14 +1,15 @@
 """Line dedup: drop the lines whose normalised key is found in many documents.
 
-Lines are exploded, normalised and hashed to 128 bits; distinct documents are counted for each hash
-(first over hash and document, so that a line found everywhere is counted by many tasks); the hashes
-over the threshold are joined back to the documents that hold them, and each document is put together
-again from its other lines in their order. Only hashes are shuffled for the counting, texts once.
+Lines are exploded once with their places, normalised and hashed to 128 bits, and stored. Distinct documents are counted
+for each hash (first over hash and document, so that a line found everywhere is counted by many tasks). The hashes over the
+threshold are joined back to the stored lines, and each document is put together again by position, from the
+stretches between its dropped lines. Only hashes are shuffled for the counting, texts once. In the join a hash is
+salted: the few over the threshold are copied to ``SALTS`` places, a line goes to one of them by its document.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped (its length is
 below ``min_chars``); rows with a null document id count as one document; repeated rows of one id count
-once and each keeps its row; of a text all of whose lines go, the empty text stays; columns of the
-documents named like a result are replaced by it.
+once and each keeps its row; of a text all of whose lines go, the empty text stays; an empty table gives no rows;
+columns of the documents named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -16,44 +17,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txcompact.llm.common import ascii_lower, table
+from txcompact.llm.common import ascii_lower, stored, table
 
 #: What counts as white space at the ends of a line.
-EDGE = r"[ \t-\r]"
+EDGE = " \t\n\x0b\x0c\r"
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z lower-cased."""
-    return ascii_lower(F.regexp_replace(line, f"^{EDGE}+|{EDGE}+\\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(EDGE)))
 
 
-def _hashes(key: Column) -> Column:
-    """128 bits of a key: two 64-bit hashes with different seeds."""
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
+def _lines(text_col: str) -> Column:
+    return F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``docs`` with the kept text in ``text_col`` and ``n_lines``, ``n_dropped`` added."""
-    marks = "_hashes"
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    exploded = (
-        docs.select(F.col(id_col).alias("id"), F.explode(lines).alias("line"))
-        .withColumn("key", line_key(F.col("line")))
+    key = line_key(F.col("line"))
+    lines = stored(
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("part"), F.posexplode(_lines(text_col)).alias("pos", "line"))
+        .select("id", "part", "pos", key.alias("key"))
         .where(F.length("key") >= max(1, min_chars))
-        .select("id", _hashes(F.col("key")).alias("h"))
-        .distinct()
+        .select("id", "part", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")),
+        "lines",
     )
-    often = exploded.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h")
-    hit = exploded.join(often, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias(marks))
-    joined = docs.join(hit, docs[id_col].eqNullSafe(hit["id"]), "left").drop(hit["id"])
-    keep = F.filter(lines, lambda x: ~(F.array_contains(F.col(marks), _hashes(line_key(x))) & (F.length(line_key(x)) >= max(1, min_chars))))
-    kept = F.when(F.col(marks).isNull(), lines).otherwise(keep)
+    often = lines.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    copied = often.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(copied, ["a", "b", "salt"], "left_semi").groupBy("id", "part").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = gone.select(F.col("id").alias("_id"), F.col("part").alias("_part"), F.col("gone").alias("_gone"))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_part"]), "left").drop("_id", "_part")
+    whole = _lines(text_col)
+    ends = F.concat(F.col("_gone"), F.array(F.size(whole)))
+    stretches = F.transform(ends, lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1).alias("begin"), end.alias("end")))
+    kept = F.flatten(F.transform(stretches, lambda s: F.slice(whole, s["begin"] + 1, s["end"] - s["begin"])))
     return (
-        joined.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("_kept", kept)
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn(text_col, F.when(F.col(marks).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join("_kept", "\n")))
-        .drop("_kept", marks)
+        joined.withColumn("n_lines", F.size(whole).cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")))
+        .drop("_gone")
     )
 
 
