@@ -8,9 +8,12 @@ most. The search takes the successor of the piece's length among the residuals a
 larger one until a compatible bin is found; without one it opens a bin.
 
 Only id, length, source and cluster are shuffled, by hash: a source or a cluster that holds a third of all
-rows is spread over all shards, and every piece is packed.
+rows is spread over all shards, and every piece is packed. Repeated rows are counted first and dealt one by one,
+so that rows which share one id, or have none, are spread too.
 
-Defined results: an empty or null text is one piece of length 0 (it fits any compatible bin); null sources are
+Clusters are equal texts here (``packable``); any other duplicate clusters may be given to ``pack``.
+
+Defined results: ids are kept as they are, null ids too; an empty or null text is one piece of length 0 (it fits any compatible bin); null sources are
 one source; the pieces of a text share its cluster, so they lie in different bins; repeated rows are copies of
 one cluster and each is packed; an empty table gives no rows.
 """
@@ -25,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txcompact.llm.common import ascii_lower, table
+from txcompact.llm.common import ascii_lower, stored, table
 
 
 class Bins:
@@ -79,23 +82,31 @@ def pack_shard(rows: pd.DataFrame, capacity: int, per_source: int) -> pd.DataFra
 def pack(items: DataFrame, capacity: int, per_source: int = 4, shard_rows: int = 4096) -> DataFrame:
     """``items``: ``id long, length long, source string, cluster long``. Returns a row for each piece: ``id, piece, start,
     length, bin_id, place, offset``; ``bin_id`` is the shard times 2^32 plus the shard's bin."""
-    pieces = items.select(
+    counted = items.groupBy("id", "source", "cluster", "length").agg(F.count(F.lit(1)).alias("rows"))
+    counted = stored(counted.withColumn("length", F.coalesce("length", F.lit(0)).cast("long")), "packable")
+    piece_count = F.greatest(F.lit(1), F.ceil(F.col("length") / capacity))
+    total = counted.agg(F.coalesce(F.sum(piece_count * F.col("rows")), F.lit(0))).first()[0]
+    each = counted.select("id", "source", "cluster", "length", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"))
+    pieces = each.select(
         "id",
         "source",
         "cluster",
+        "copy",
         "length",
         F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("length") / capacity) - 1))).alias("piece"),
     ).withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("piece") * capacity))
-    shards = max(1, -(-pieces.count() // shard_rows))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
+    shards = max(1, -(-int(total) // shard_rows))
+    # pandas has no null in a column of longs: null ids are named by a column of their own.
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "cluster", "copy"), F.lit(shards))).withColumn("no_id", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long"))).withColumn("cluster", F.coalesce("cluster", F.lit(0).cast("long")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = pack_shard(rows, capacity, per_source)
         return pd.DataFrame(
-            {"id": out["id"], "piece": out["piece"], "start": out["piece"] * capacity, "length": out["length"], "bin_id": out["shard"] * (1 << 32) + out["bin"], "place": out["place"], "offset": out["offset"]}
+            {"id": out["id"], "no_id": out["no_id"], "piece": out["piece"], "start": out["piece"] * capacity, "length": out["length"], "bin_id": out["shard"] * (1 << 32) + out["bin"], "place": out["place"], "offset": out["offset"]}
         )
 
-    return dealt.groupBy("shard").applyInPandas(run, "id long, piece long, start long, length long, bin_id long, place long, offset long")
+    packed = dealt.groupBy("shard").applyInPandas(run, "id long, no_id boolean, piece long, start long, length long, bin_id long, place long, offset long")
+    return packed.withColumn("id", F.when(~F.col("no_id"), F.col("id"))).drop("no_id")
 
 
 def packable(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
