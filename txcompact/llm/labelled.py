@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txcompact.llm.common import in_bucket
+from txcompact.llm.common import in_bucket, stored
 
-#: Most labelled rows that a classifier is fitted on (half of each class, where there are as many), and the
-#: longest text, in characters, among them. Scoring knows no such bounds.
+#: Most labelled rows that a classifier is fitted on (half of each class, where there are as many), and most
+#: characters in all of them. Texts are never cut. Scoring knows no such bounds.
 FIT_ROWS = 8000
-FIT_CHARS = 200_000
+FIT_CHARS = 32_000_000
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS, chars: int = FIT_CHARS, extra: tuple[str, ...] = ()) -> tuple[list, dict[int, int]]:
@@ -19,18 +19,32 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_R
 
     Learns only from ids whose crc32 modulo 5 is not 0. Ids are drawn by a hash; only the drawn ids, at most
     ``rows`` of them, are broadcast to find their texts. Null labels are left out; of several labels of an id the greatest counts,
-    and of several rows of an id the one with the greatest text, so that no more rows than ids reach the driver."""
+    and of several rows of an id the one with the greatest text (null: empty), so that no more rows than ids reach the driver. Of these
+    rows, in a fixed order, those are taken that together have at most ``chars`` characters; of each class the shortest always is."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (in_bucket("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("_label"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("_label").count().collect()}
     drawn = None
     for y in (0, 1):
         part = known.where(F.col("_label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         drawn = part if drawn is None else drawn.union(part)
-    found = docs.select("doc_id", "text", *extra).where(F.length("text") <= chars).join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra).join(F.broadcast(drawn), "doc_id")
     each = found.groupBy("doc_id").agg(F.max(F.struct("text", "_label", *extra)).alias("_row"))
-    got = each.select(F.xxhash64("doc_id", F.lit(1)).alias("o"), "_row.*").collect()
-    got.sort(key=lambda r: (r[0], r[1] or ""))
-    return [(r[1] or "", int(r[2]), *r[3:]) for r in got], sizes
+    each = stored(each.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("_o"), "_row.*"), "fit-sample")
+    taken = within(each.select("doc_id", "_o", "_label", F.length("text").alias("n")).collect(), chars)
+    got = each.join(F.broadcast(each.sparkSession.createDataFrame([(i,) for i in taken], "doc_id long")), "doc_id").select("_o", "text", "_label", *extra).collect()
+    got.sort(key=lambda r: (r[0], r[1]))
+    return [(r[1], int(r[2]), *r[3:]) for r in got], sizes
+
+
+def within(rows: list, chars: int) -> list[int]:
+    """Ids of ``rows`` (id, place in the order, label, length) of at most ``chars`` characters together, and each class's shortest."""
+    shortest = {r[2]: r for r in sorted(rows, key=lambda r: (-r[3], r[0]))}
+    taken, total = {r[0] for r in shortest.values()}, sum(r[3] for r in shortest.values())
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if r[0] not in taken and total + r[3] <= chars:
+            taken.add(r[0])
+            total += r[3]
+    return sorted(taken)
 
 
 def platt(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200) -> tuple[float, float]:

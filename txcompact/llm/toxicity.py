@@ -4,7 +4,7 @@ Words are hashed to buckets; each bucket that is seen in enough fitting texts ha
 share one. Filters of several widths run over the whole text, the greatest value of each filter is
 kept, and a logistic layer gives the raw score. The first component of an embedding starts at the bucket's
 smoothed class log-odds, so that max pooling finds the telling words from the start; all is then trained by
-mini-batches (Adagrad). Copies and near copies (texts of one class with the same three least buckets) count
+mini-batches (Adagrad). Copies and near copies (texts of one class with the same eight least buckets) count
 once, else the words of one much copied text pass for telling ones. A fifth of the sample is kept from training to calibrate: Platt's sigmoid gives
 the score, and for every language the threshold with the best F1 on the calibration rows (0.5 where a
 language has too few rows of a class). The language picks a threshold only; no score sees it.
@@ -114,7 +114,7 @@ def train(texts: list[str], y: np.ndarray, langs: list, sizes: dict[int, int], e
         return empty
     rng = np.random.default_rng(seed)
     hashed = [np.array(buckets_of(t), np.int64) for t in texts]
-    once = list({(c, *sorted(set(h))[:3]): i for i, (h, c) in reversed(list(enumerate(zip(hashed, y))))}.values())[::-1]
+    once = list({(c, *sorted(set(h))[:8]): i for i, (h, c) in reversed(list(enumerate(zip(hashed, y))))}.values())[::-1]
     hashed, y, langs = [hashed[i] for i in once], y[once], [langs[i] for i in once]
     held = np.arange(len(hashed)) % 5 == 4
     if not held.any() or y[held].min() == y[held].max() or y[~held].min() == y[~held].max():
@@ -239,7 +239,8 @@ def scored(docs: DataFrame, model: ConvModel, id_cols: tuple[str, ...] = ("doc_i
 
 
 def toxic_rows(docs: DataFrame, model: ConvModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with ``score`` and ``rejected``: the score reaches its language's calibrated threshold."""
+    """``docs`` with ``score`` and ``rejected`` (in place of columns of these names): the score reaches its language's calibrated threshold."""
+    docs = docs.drop("score", "rejected")
     both = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", text_col)
     found = scored(both, model, ("_row",), text_col)
     cut = F.create_map(*[x for k, v in model.thresholds.items() for x in (F.lit(k), F.lit(v))]) if model.thresholds else None
