@@ -10,8 +10,9 @@ innermost active rule. Points are dealt to buckets by a hash of the url, and the
 few beside the urls, go to each bucket: a host that holds a third of the urls is spread evenly.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; an
-empty rule list gives the default verdict to all; of rules with the same host and path, block wins;
-repeated urls and repeated page ids each keep their row; further columns of the input are ignored.
+empty rule list gives the default verdict to all; of rules with the same host and path, block wins; of fitting rules of
+one length the one with the longer host wins, then block; repeated urls and repeated page ids each keep their row;
+columns of the input named ``host``, ``path``, ``rule`` or ``verdict`` are replaced by the results.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
 
 def _events(compiled: DataFrame) -> DataFrame:
     """Opening and closing of each rule, with the rule that is innermost afterwards."""
-    own = compiled.select("host_key", "path", F.struct("rule", "action", F.length("rule").alias("long")).alias("top"))
+    own = compiled.select("host_key", "path", F.struct("rule", "action", F.length("rule").alias("long"), F.length("host_key").alias("deep")).alias("top"))
     lengths = own.select("host_key", F.length("path").alias("n")).distinct()
     outer = own.select("host_key", F.col("path").alias("outer_path"), F.col("top").alias("outer_top"))
     parents = (
@@ -87,7 +88,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     compiled = compile_rules(rules)
     deepest = compiled.agg(F.max("depth")).first()[0] or 0
-    keyed = urls.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    keyed = urls.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col]).withColumn("_url", F.col(url_col)).withColumn("host", url_host(F.col("_url"))).withColumn("path", url_path(F.col("_url"))).drop("_url")
     if not deepest:
         return keyed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     places = keyed.where(F.col("host") != "").select("host", "path").distinct()
@@ -98,7 +99,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
             F.pmod(F.hash("host", "path"), F.lit(buckets)).alias("bucket"),
             _key(F.expr("slice(labels, 1, depth)"), F.col("path")).alias("key"),
             F.lit(1).alias("is_point"),
-            F.lit(None).cast("struct<event:boolean,rule:struct<rule:string,action:string,long:int>>").alias("state"),
+            F.lit(None).cast("struct<event:boolean,rule:struct<rule:string,action:string,long:int,deep:int>>").alias("state"),
             "host",
             "path",
         )
@@ -110,12 +111,13 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .withColumn("active", F.last("state", ignorenulls=True).over(sweep))
         .where((F.col("is_point") == 1) & F.col("active.rule").isNotNull())
         .groupBy("host", "path")
-        .agg(F.max_by("active.rule", F.col("active.rule.long")).alias("best"))
-    )
-    return (
-        keyed.join(judged, ["host", "path"], "left")
-        .select(*[F.col(c) for c in keyed.columns], F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+        .agg(F.max(F.struct("active.rule.long", "active.rule.deep", "active.rule.action", "active.rule.rule")).alias("best"))
     )
+    # Urls without a host fit no rule and need no join, where they would share one key.
+    with_host = keyed.where(F.col("host") != "").join(judged, ["host", "path"], "left")
+    out = lambda df, rule, action: df.select(*[F.col(c) for c in keyed.columns], rule.alias("rule"), F.coalesce(action, F.lit(default)).alias("verdict"))
+    none = F.lit(None).cast("string")
+    return out(with_host, F.col("best.rule"), F.col("best.action")).unionByName(out(keyed.where(F.col("host") == ""), none, none))
 
 
 #: The rules that the query judges by.
@@ -123,7 +125,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "rule string, action string")
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(a).alias("action")) for r, a in RULES])))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
