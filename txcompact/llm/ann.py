@@ -8,16 +8,17 @@ that edges stay diverse. Kept edges also go back, and full nodes are pruned agai
 shard by a beam from several entry points; cosines of what it finds are worked out on the original vectors
 in double precision, and the best of all shards stay.
 
-The graphs are stored, a row for each shard; queries meet them in blocks.
+The graphs are stored, a row for each shard; queries meet them in blocks, each block once for each shard, joined and
+dealt by shard and block, so that no key and no task holds the index. Every shard is searched for every query: on vectors
+without clusters, near ones lie in all parts of space, and asking few parts only would miss them.
 
 Defined results: null, zero and non-finite vectors, vectors with null components, and rows without an id take
-no part; vectors of different lengths are never neighbours; repeated ids count as one row each.
+no part; vectors of different lengths are never neighbours; of repeated ids each row is a candidate, an id appears once with
+its best score, and the answer to a repeated query id is for all its vectors together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,6 +143,11 @@ def unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def tasks_for(spark: SparkSession, groups: int) -> int:
+    """Partitions for work on so many groups, each of which takes long: one for each, within a few waves of the session's partitions."""
+    return max(1, min(groups, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def build_index(valid: DataFrame, k: int, shard_rows: int, degree: int, beam: int, alpha: float) -> DataFrame:
     """Stored: a row for each shard and vector length with packed ids, vectors, neighbours and entries."""
     shards = max(1, -(-valid.count() // shard_rows))
@@ -164,13 +170,16 @@ def build_index(valid: DataFrame, k: int, shard_rows: int, degree: int, beam: in
             {"shard": [rows["shard"].iloc[0]], "width": [rows["width"].iloc[0]], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "point": [point.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "entries": [entries.astype(np.int64).tobytes()]}
         )
 
-    return stored(few.groupBy("shard", "width").applyInPandas(run, "shard int, width int, ids binary, vectors binary, point binary, graph binary, entries binary"), "ann-index")
+    dealt = few.drop("_n").repartition(tasks_for(valid.sparkSession, shards), "shard", "width")
+    return stored(dealt.groupBy("shard", "width").applyInPandas(run, "shard int, width int, ids binary, vectors binary, point binary, graph binary, entries binary"), "ann-index")
 
 
 def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, degree: int = 40, build_beam: int = 64, beam: int = 192, alpha: float = 1.2, block_rows: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each valid row that ``query_filter`` (SQL over ``vec_id``) picks, its ``k`` nearest others."""
+    spark = vectors.sparkSession
     valid = valid_vectors(vectors, id_col, vector_col)
     index = build_index(valid, k, shard_rows, degree, build_beam, alpha)
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     queries = valid.where(query_filter).distinct()
     blocks = max(1, -(-queries.count() // block_rows))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
@@ -183,13 +192,14 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "ve
 
     asked = stored(asked.groupBy("block").applyInPandas(packed, "block int, width int, q_ids binary, q_vectors binary"), "ann-queries")
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
+    def search(graphs: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        for r in graphs.itertuples(index=False):
+            for asks in questions.itertuples(index=False):
                 ids, point = np.frombuffer(r.ids, np.int64), np.frombuffer(r.point, np.int64)
                 v = np.frombuffer(r.vectors, np.float64).reshape(len(ids), r.width)
-                q_ids = np.frombuffer(r.q_ids, np.int64)
-                q = np.frombuffer(r.q_vectors, np.float64).reshape(len(q_ids), r.width)
+                q_ids = np.frombuffer(asks.q_ids, np.int64)
+                q = np.frombuffer(asks.q_vectors, np.float64).reshape(len(q_ids), r.width)
                 members = np.argsort(point, kind="stable")
                 first = np.searchsorted(point[members], np.arange(point.max() + 2))
                 x = unit(v[members[first[:-1]]])
@@ -198,7 +208,6 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "ve
                 norms = np.linalg.norm(v, axis=1)
                 for a in range(0, len(q), 256):
                     near, _ = beam_search(x, graph, entries, unit(q[a : a + 256]), beam)
-                    out = []
                     for qi, row in zip(range(a, a + len(near)), near):
                         row = row[row >= 0][: 4 * (k + 1)]
                         rows_of = np.concatenate([members[first[p] : first[p + 1]] for p in row])
@@ -206,12 +215,15 @@ def nearest(vectors: DataFrame, query_filter: str, k: int = 5, id_col: str = "ve
                         cos = (v[rows_of] @ q[qi]) / (norms[rows_of] * np.linalg.norm(q[qi]))
                         best = np.lexsort((ids[rows_of], -cos))[:k]
                         out.append(pd.DataFrame({"query_id": q_ids[qi], "vec_id": ids[rows_of[best]], "score": cos[best]}))
-                    yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        return pd.concat(out)
 
-    met = index.join(asked.withColumnRenamed("width", "q_width"), F.col("width") == F.col("q_width"))
-    found = met.repartition("shard", "block").select("ids", "vectors", "point", "graph", "entries", "width", "q_ids", "q_vectors").mapInPandas(search, "query_id long, vec_id long, score double")
+    key = ["shard", "width", "block"]
+    each = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    sides = index.select("*", each("block", blocks)), asked.select("*", each("shard", shards))
+    one, two = (df.repartition(tasks_for(spark, shards * blocks), *key).groupBy(*key) for df in sides)
+    found = one.cogroup(two).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
