@@ -25,10 +25,13 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a temporary folder is made and set."""
+    Only where that is unset and the master is local, as in tests, a temporary folder is made and set; on a cluster, whose
+    executors would each write to a disk of their own, it is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         at = spark.sparkContext.getCheckpointDir()
+        if at is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = at or tempfile.mkdtemp(prefix="spark-checkpoint-")
         if at is None:
             spark.sparkContext.setCheckpointDir(found)

@@ -6,7 +6,7 @@
 3. The index is stored: postings ``term, document, position`` for every looked-up term.
 4. Lists are intersected from the rarest term on. A posting minus its term's place in a window is the
    start at which the whole window would stand; a start survives if the next-rarest list has it too.
-5. Surviving starts are held against the documents' words (exact phrases), or, with ``slop``, lists may
+5. Surviving starts are held against the documents' words (exact phrases, by 128 bits of hash of the window), or, with ``slop``, lists may
    disagree by some words (proximity matches).
 
 The vocabulary and the lookups are stored tables, so Spark knows their size and broadcasts them only
@@ -35,8 +35,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), "")
 
 
+def _proof(words: Column) -> Column:
+    return F.struct(F.xxhash64(words).alias("a"), F.xxhash64(F.lit(1), words).alias("b"))
+
+
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", width: int = 13) -> DataFrame:
-    """Distinct windows: ``window_id, words, items`` (the sorted ids of the items that hold it)."""
+    """Distinct windows: ``window_id, proof`` (two hashes), ``words, items`` (the sorted ids of the items that hold it)."""
     return (
         items.where(F.col(id_col).isNotNull())
         .select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("w"))
@@ -45,7 +49,7 @@ def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
         .select("item", F.slice("w", F.col("at"), F.lit(width)).alias("words"))
         .groupBy("words")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
-        .select(F.xxhash64("words").alias("window_id"), "words", "items")
+        .select(F.xxhash64("words").alias("window_id"), _proof(F.col("words")).alias("proof"), "words", "items")
     )
 
 
@@ -107,11 +111,11 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str
     postings, lookups = build_index(docs, windows, id_col, text_col, lists)
     starts = (
         candidate_starts(postings, lookups, lists)
-        .join(windows, "window_id")
+        .join(windows.select("window_id", "proof", F.size("words").alias("n"), "items"), "window_id")
         .groupBy("doc", "part")
-        .agg(F.collect_list(F.struct("start", F.size("words").alias("n"), "words", "items")).alias("_found"))
+        .agg(F.collect_list(F.struct("start", "n", "proof", "items")).alias("_found"))
     )
-    exact = F.filter("_found", lambda c: F.slice(F.col("_words"), c["start"] + 1, c["n"]) == c["words"])
+    exact = F.filter("_found", lambda c: _proof(F.slice(F.col("_words"), c["start"] + 1, c["n"])) == c["proof"])
     spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("end")))))
     covered = F.aggregate(
         spans,

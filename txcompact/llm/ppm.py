@@ -8,9 +8,10 @@ seen), and the next shorter context leaves out the bytes already excluded. As al
 context are also seen in the shorter one, what an exclusion leaves is a fixed number for each trie node,
 so a gram's code length is worked out once and looked up in a hash table by every position that needs it.
 
-The trie is broadcast while it has at most ``node_limit`` grams; beyond, it is cut by the last two bytes
-of the context into shards below that limit, and each shard scores the positions that are its own: any
-size is scored exactly. ``adaptive_log10`` instead starts from nothing and learns along each text.
+The trie is broadcast while it has at most ``node_limit`` grams; beyond, the last two bytes of the context are
+dealt, by their measured numbers of grams, to shards of at most that limit (one pair of bytes may exceed it
+alone), and each shard scores the positions that are its own: any size is scored exactly. Each shard is one
+more pass over the texts; their number follows that of the distinct grams, which grows far slower than the corpus. ``adaptive_log10`` instead starts from nothing and learns along each text.
 
 The unigram base score needs the corpus count of every token: counts of the frequent tokens (a bounded
 number) are broadcast, all others are joined by a shuffle.
@@ -25,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +84,11 @@ class Trie:
     left: list[np.ndarray]
     slots: np.ndarray
     values: np.ndarray
-    shards: int = 1
+    dealt: np.ndarray | None = None  #: the shard of each pair of bytes; None: one shard holds all
     shard: int = 0
 
     @staticmethod
-    def build(top: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None, shards: int = 1, shard: int = 0) -> Trie:
+    def build(top: np.ndarray, n: np.ndarray, order: int, low: tuple[np.ndarray, np.ndarray] | None = None, dealt: np.ndarray | None = None, shard: int = 0) -> Trie:
         """``top``: sorted grams of the highest order with counts; ``low``: grams of order 1 over all shards."""
         grams, counts = [], []
         for k in range(order + 1):
@@ -110,7 +112,7 @@ class Trie:
             else:
                 left.append(np.zeros((2, len(at))))
         bits = max(4, int(2 * len(top)).bit_length())
-        trie = Trie(order, grams, counts, contexts, totals, kinds, left, np.full(1 << bits, EMPTY), np.zeros(1 << bits), shards, shard)
+        trie = Trie(order, grams, counts, contexts, totals, kinds, left, np.full(1 << bits, EMPTY), np.zeros(1 << bits), dealt, shard)
         values = trie.walk(top)
         slot, todo = trie._slot(top), np.arange(len(top))
         while len(todo):
@@ -172,17 +174,30 @@ class Trie:
             out[miss[found]] = self.values[slot[miss[found]]]
             miss = miss[~found]
         if lost and len(lost := np.concatenate(lost)):
-            if self.shards > 1:
+            if self.dealt is not None:
                 out[lost] = 0
-                lost = lost[shard_of(code[lost], self.shards) == self.shard]
+                lost = lost[self.dealt[pair_of(code[lost])] == self.shard]
             u, inv = np.unique(code[lost], return_inverse=True)
             out[lost] = self.walk(u)[inv]
         return out
 
 
-def shard_of(code: np.ndarray, shards: int) -> np.ndarray:
-    """By the last two bytes of the context."""
-    return (((code >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(shards)).astype(np.int64)
+def pair_of(code: np.ndarray) -> np.ndarray:
+    """The last two bytes of the context."""
+    return ((code >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def deal_pairs(sizes: dict[int, int], limit: int) -> np.ndarray:
+    """A shard for each pair of bytes, such that none but a single pair's exceeds ``limit`` grams: largest first, into the emptiest that has room."""
+    dealt, loads = np.zeros(1 << 16, np.int32), []
+    for pair, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if loads and loads[0][0] + n <= limit:
+            load, shard = heappop(loads)
+        else:
+            load, shard = 0, len(loads)
+        dealt[pair] = shard
+        heappush(loads, (load + n, shard))
+    return dealt
 
 
 def adaptive_log10(text: bytes, order: int = 4) -> float:
@@ -298,11 +313,17 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
     tokens, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     all_tokens, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     den = all_tokens + 1 * (kinds + 1)
-    shards = max(1, -(-grams.count() // node_limit))
+    byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
+    pair = byte(6) * 256 + byte(7)
+    dealt, shards = None, 1
+    if grams.count() > node_limit:
+        dealt = deal_pairs({r[0]: r[1] for r in grams.groupBy(pair.alias("pair")).count().collect()}, node_limit)
+        shards = int(dealt.max()) + 1
+        named = spark.createDataFrame([(i, int(s)) for i, s in enumerate(dealt)], "pair int, shard int")
+        grams = stored(grams.withColumn("pair", pair).join(F.broadcast(named), "pair").select("key", "n", "shard").repartition("shard"), "lm-grams")
     rows = docs.select(id_col, is_training, F.col(text_col).cast("binary").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
     if shards > 1:
         rows = stored(rows, "lm-texts")
-    byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
     low = None
     if shards > 1:
         got = grams.groupBy((byte(7) * 256 + byte(8)).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()
@@ -311,8 +332,8 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
     kind = dict(docs.dtypes)[id_col]
 
     def trie_of(shard: int):
-        own = grams if shards == 1 else grams.where((byte(6) * 256 + byte(7)) % shards == shard)
-        return spark.sparkContext.broadcast(Trie.build(*_grams(own), order, low, shards, shard))
+        own = grams if shards == 1 else grams.where(F.col("shard") == shard)
+        return spark.sparkContext.broadcast(Trie.build(*_grams(own), order, low, dealt, shard))
 
     def scorer(trie, with_base: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +354,7 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
                             rest = Counter(x for x in w if x not in have) if len(hits) < len(w) else {}
                             out.append((len(w), len(hits), sum(hits), list(rest.keys()), list(rest.values())))
                     code, first, last = codes_of(part, model.order)
-                    p = model.log10(code) if model.shards == 1 else np.where(shard_of(code, model.shards) == model.shard, model.log10(code), 0)
+                    p = model.log10(code) if model.dealt is None else np.where(model.dealt[pair_of(code)] == model.shard, model.log10(code), 0)
                     scores.append(np.add.reduceat(np.r_[p, 0], np.column_stack([first, last]).ravel())[::2])
                 score = pa.array(np.concatenate([np.zeros(0), *scores]))
                 if with_base:
@@ -361,7 +382,9 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
     if shards > 1:
         parts = None
         for s in range(1, shards):
-            one = stored(rows.mapInArrow(scorer(trie_of(s), False), "_row long, score double"), "lm-shard")
+            trie = trie_of(s)
+            one = stored(rows.mapInArrow(scorer(trie, False), "_row long, score double"), "lm-shard")
+            trie.unpersist()
             parts = one if parts is None else parts.union(one)
         whole = whole.join(parts.groupBy("_row").agg(F.sum("score").alias("others")), "_row", "left")
         score = score + F.coalesce("others", F.lit(0.0))
