@@ -1,9 +1,9 @@
 """SimHash near-dedup: 64-bit fingerprints linked by a Gray-order hierarchical index.
 
 Fingerprints: bit majority over the XXH64 values of a text's word shingles. Distinct fingerprints are
-joined for Hamming distance ``d`` as follows. Cut into ``d + 1`` (or, for many rows, ``d + 2``) blocks,
-two near fingerprints agree on at least one (two) of them, so each fingerprint is dealt once for every
-choice of blocks to the group with the same bits there. In a group rows stand in Gray-code order, where
+joined for Hamming distance ``d`` as follows. Cut into ``b`` blocks (``d + 1``, and more the more rows there
+are), two near fingerprints agree on at least ``b - d`` of them, so each fingerprint is dealt once for every
+choice of so many blocks to the group with the same bits there. In a group rows stand in Gray-code order, where
 neighbours share long patterns. Over runs of rows, leaves and upper nodes hold the bits that all rows
 below share; a node keeps only the bits that its parent does not hold yet. A search adds up differing
 bits from the top on and drops a whole node as soon as they exceed ``d``. Groups above ``group_limit``
@@ -141,10 +141,17 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, blocks - distance)]
 
 
+def blocks_for(n: int, distance: int, group: int = 512) -> int:
+    """The least number of blocks whose groups would hold ``group`` of ``n`` evenly spread fingerprints or fewer."""
+    blocks = distance + 1
+    while n / 2 ** (64 * (blocks - distance) / blocks) > group and blocks < 2 * distance + 2:
+        blocks += 1
+    return blocks
+
+
 def near_links(fps: DataFrame, distance: int = 4, group_limit: int = 4096, blocks: int | None = None) -> DataFrame:
     """``a, b``: links within ``distance`` between the distinct longs of ``fps.fp`` that connect all that can be connected."""
-    n = fps.count()
-    masks = block_masks(distance, blocks or distance + (1 if n <= 1 << 22 else 2))
+    masks = block_masks(distance, blocks or blocks_for(fps.count(), distance))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     dealt = fps.select("fp", F.posexplode(F.array(*[F.lit(m).cast("long") for m in signed])).alias("choice", "mask")).select("fp", "choice", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     hot = stored(dealt.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit), "hot-groups")
@@ -181,12 +188,20 @@ def near_links(fps: DataFrame, distance: int = 4, group_limit: int = 4096, block
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges(a, b)``: rounds that point each node to its least neighbour and contract."""
+    """``node, root`` for every node of ``edges(a, b)``.
+
+    In each round a node points to that one of its neighbours and itself which stands first in an order drawn anew, pointers are
+    followed twice, and the graph is contracted to what they lead to. As the order is a new one each time, chains of any
+    order shrink by a constant factor a round, so the rounds grow with the logarithm of the nodes."""
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    mapping = None
+    mapping, turn = None, 0
     while edges.take(1):
+        turn += 1
+        draw = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("r"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
-        step = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "step")
+        step = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(draw("b")).alias("m")).select("node", F.least(draw("node"), F.col("m"))["to"].alias("root")), "step")
+        for _ in range(2):
+            step = stored(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "step")
         one = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         two = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = stored(edges.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
