@@ -45,6 +45,15 @@ def test_line_dedup_matches_plain(odd_docs):
     assert sorted(got, key=key) == sorted(plain_line_dedup(pairs(odd_docs)), key=key)
 
 
+def test_line_dedup_of_blank_runs_and_empty_tables(spark):
+    blanks = "x" + " " * 1_000_000 + "y"
+    rows = [(i, f"{blanks}\n\t{' ' * 1_000_000}\n{i}") for i in range(10)] + [(None, blanks), (None, None), (3, "3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(1)).withColumn("n_dropped", F.lit(7))
+    got = [tuple(r) for r in line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    assert sorted(got, key=str) == sorted(plain_line_dedup(rows), key=str)
+    assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
+
+
 def test_decontamination_matches_plain(spark, odd_docs):
     items = [(1, "quick brown fox jumps over the lazy dog again and again today shared line"), (2, "lazy DOG"), (2, "again"), (3, None), (4, "..."), (None, "the"), (5, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc", F.lit(1))
@@ -84,8 +93,17 @@ def test_url_filter_nested_rules_and_odd_urls(spark):
     assert url_filter.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_url_filter_ties_and_clashing_columns(spark):
+    rules = spark.createDataFrame([("b.c/xy", "block"), ("a.b.c/x", "allow"), ("d.e/", "allow"), ("D.e/", "block")], "rule string, action string")
+    urls = [(1, "http://a.b.c/xy", "p", "q", "r", "s"), (2, "http://d.e/", "p", "q", "r", "s"), (3, None, "p", "q", "r", "s")]
+    df = spark.createDataFrame(urls, "page_id long, url string, host string, path string, rule string, verdict string")
+    got = url_filter.judge_urls(df, rules)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert {r.page_id: (r.host, r.rule, r.verdict) for r in got.collect()} == {1: ("a.b.c", "a.b.c/x", "allow"), 2: ("d.e", "D.e/", "block"), 3: ("", None, "allow")}
+
+
 def test_simhash_matches_plain(spark, odd_docs, sf_dir):
-    for docs in (odd_docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
+    for docs in (odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")):
         want = plain_components([(i, plain_fingerprint(t)) for i, t in ((r.doc_id, r.text) for r in docs.collect())])
         got = [(r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(docs).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
@@ -112,13 +130,28 @@ def test_simhash_hot_groups_are_cut_into_cells(spark):
         assert {(f, min(g)) for g in groups.values() for f in g} == want
 
 
-def test_components_of_a_chain(spark):
+def test_components_of_chains(spark):
     order = np.random.default_rng(0).permutation(200).tolist()
-    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
-    assert {r.root for r in simhash.components(edges).collect()} == {0}
+    for chain in (order, list(range(5000))):
+        edges = spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")
+        rows = simhash.components(edges).collect()
+        assert len(rows) == len(chain) and len({r.root for r in rows}) == 1
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+def test_more_fingerprints_are_cut_into_more_blocks(spark):
+    assert [simhash.blocks_for(n, 4) for n in (1, 1 << 20, 1 << 26, 1 << 34, 1 << 40)] == [5, 5, 6, 7, 8]
+    rng = np.random.default_rng(8)
+    fps = {int(x) ^ sum(1 << int(b) for b in set(rng.integers(0, 63, k))) for x in rng.integers(0, 1 << 62, 60) for k in (0, 3, 4, 6)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for blocks in (5, 6, 7):
+        links = simhash.components(simhash.near_links(df, 4, blocks=blocks)).collect()
+        found, groups = {r.node: r.root for r in links}, defaultdict(list)
+        for f in fps:
+            groups[found.get(f, f)].append(f)
+        assert {(f, min(g)) for g in groups.values() for f in g} == {(f, c) for f, _, c in plain_components([(f, f) for f in fps])}
+
+
 def test_token_counts_match_the_library(odd_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -126,12 +159,39 @@ def test_token_counts_match_the_library(odd_docs):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     whole = lambda t: len(tok.encode(t or "", add_special_tokens=False))
     want = sorted(((i, len((t or "").encode()), whole(t)) for i, t in pairs(odd_docs)), key=str)
-    for chunk, cut in ((65536, True), (65536, False), (500, True)):
-        got = [tuple(r) for r in token_count.count_tokens(odd_docs, chunk=chunk, exact_cut=cut).collect()]
+    for chunk in (65536, 8192, 700):
+        got = [tuple(r) for r in token_count.count_tokens(odd_docs, chunk=chunk).collect()]
         assert sorted(got, key=str) == want
+    assert token_count.count_tokens(odd_docs.limit(0)).count() == 0
     encode = lambda s: tok.encode(s, add_special_tokens=False)
+
+    def spliced(t, chunk, overlap, margin):
+        bounds = token_count.chunk_bounds(len(t), chunk, overlap)
+        return token_count.spliced_count(encode, t, bounds, [encode(t[a:b]) for a, b in bounds], margin)
+
+    assert token_count.cuts_at_spaces(tok.to_str())
     for t in ("a" * 9000, "x y " * 3000, " \n\n  " * 2000, "foo<|endoftext|>bar  <|endoftext|> " * 500, "日本語 " * 2000, LONG[:50_000]):
-        assert token_count.chunked_count(encode, t, 300, 20, 16) == whole(t) == token_count.chunked_count(encode, t, 2000, 64, 64)
+        assert spliced(t, 300, 40, 16) == whole(t) == spliced(t, 2000, 128, 64) == spliced(t, 8192, 256, 64)
+
+
+def test_tokenizers_that_cannot_be_cut_are_given_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert not token_count.splices(tok.to_str()) and not token_count.cuts_at_spaces(tok.to_str())
+    docs = spark.createDataFrame([(1, "Hello  wide\nworld " * 900)], "doc_id long, text string")
+    want = len(tok.encode(docs.first().text, add_special_tokens=False))
+    assert token_count.count_tokens(docs, "word_bpe_49k.json", chunk=500).first().n_tokens == want
+
+
+def test_pairs_are_dealt_below_the_limit():
+    sizes = {i: 1 + (i * 7919) % 97 for i in range(500)} | {501: 1000}
+    dealt = ppm.deal_pairs(sizes, 300)
+    loads = Counter()
+    for pair, n in sizes.items():
+        loads[dealt[pair]] += n
+    assert sorted(loads.values())[-1] == 1000 and sorted(loads.values())[-2] <= 300 and len(loads) < 2 * sum(sizes.values()) / 300
 
 
 def plain_ppm(train, text, order):
@@ -224,6 +284,16 @@ def test_packing_is_whole_and_keeps_conflicts_apart(spark):
     assert packing.pack(items.limit(0), 100).count() == 0
 
 
+def test_packing_keeps_ids_as_they_are(spark):
+    big = (1 << 60) + 1
+    rows = [(big, 3, "a", 1), (None, 4, None, 2), (None, 4, None, 2), (None, 250, "b", None), (7, None, "b", 4)]
+    got = packing.pack(spark.createDataFrame(rows, "id long, length long, source string, cluster long"), 100).collect()
+    assert Counter((r.id, r.length) for r in got) == Counter([(big, 3), (None, 4), (None, 4), (None, 100), (None, 100), (None, 50), (7, 0)])
+    same = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.explode(F.array_repeat(F.lit(1).cast("long"), 5000)).alias("length"), F.lit("s").alias("source"), F.lit(9).cast("long").alias("cluster"))
+    shards = Counter(r.bin_id >> 32 for r in packing.pack(same, 10, shard_rows=500).collect())
+    assert sum(shards.values()) == 5000 and len(shards) == 10
+
+
 def test_packing_shard_is_best_fit():
     import pandas as pd
 
@@ -253,7 +323,7 @@ def test_neighbours_recall_and_order(spark, sf_dir):
     ids = np.array(sorted(v))
     x = np.stack([v[i] for i in ids])
     found = defaultdict(list)
-    for r in ann.nearest(vectors, "vec_id % 20 = 0", shard_rows=200, beam=48).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(vectors, "vec_id % 20 = 0", shard_rows=200, beam=48, block_rows=10).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     hits = 0
     for q in ids[ids % 20 == 0]:
@@ -266,6 +336,22 @@ def test_neighbours_recall_and_order(spark, sf_dir):
     assert hits >= 0.9 * 5 * len(found)
 
 
+def test_recall_of_the_registered_search(spark):
+    at = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{at}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in queries.QUERIES["op10_nearest"](spark, at).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        cos = x @ x[q]
+        cos[q] = -9
+        hits += len(found[ids[q]] & set(ids[np.argsort(-cos)[:5]].tolist()))
+    assert hits >= 0.9 * 5 * len(found)
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 0.0]) for i in range(1, 40)] + [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (100, None), (150, [0.0, 0.0]), (200, [nan, 1.0]), (250, [inf, 1.0]), (300, [None, 1.0]), (None, [1.0, 1.0]), (350, [1.0, 2.0, 3.0]), (400, [1e-30, 1e-30]), (450, [])]
@@ -302,7 +388,9 @@ def test_classifiers_on_odd_rows(spark, odd_docs):
     for some in (labels, labels.limit(0), labels.where("toxic = 1")):
         model = toxicity.fit(odd_docs, some)
         assert toxicity.scored(odd_docs, model).where("score between 0 and 1").count() == n
-        assert toxicity.toxic_rows(odd_docs.drop("score", "rejected"), model).where("rejected is not null").count() == n
+        assert toxicity.toxic_rows(odd_docs, model).where("rejected is not null").count() == n
+        assert toxicity.scored(odd_docs.limit(0), model).count() == 0 == toxicity.toxic_rows(odd_docs.limit(0), model).count()
+        assert quality.scored(odd_docs.limit(0), quality.fit(odd_docs, some)).count() == 0
         assert quality.scored(odd_docs, quality.fit(odd_docs, some)).where("score between 0 and 1").count() == n
 
 
@@ -314,6 +402,63 @@ def test_fit_sample_takes_an_id_once(spark):
     assert sorted(sample) == sorted(("text 2", i % 2, "en") for i in learnt)
     assert sizes == {y: n for y in (0, 1) if (n := sum(i % 2 == y for i in learnt))}
     assert len(fit_sample(docs, labels, "toxic", rows=2)[0]) == 2
+    nulls = docs.withColumn("text", F.when(F.col("doc_id") != 1, F.col("text")))
+    assert "" in [r[0] for r in fit_sample(nulls, labels, "toxic")[0]]
+    long = docs.withColumn("text", F.expr("repeat('x', int(10 + doc_id))"))
+    few = fit_sample(long, labels, "toxic", chars=30)[0]
+    assert sum(len(r[0]) for r in few) <= 30 and {r[1] for r in few} == {0, 1}
+    assert fit_sample(docs.limit(0), labels, "toxic")[0] == []
+
+
+def test_toxicity_scores_match_a_direct_convolution():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{w}" for w in rng.integers(0, 30, rng.integers(1, 25))) + (" bad idiot" if i % 3 == 0 else "") for i in range(90)]
+    model = toxicity.train(texts, np.array([int(i % 3 == 0) for i in range(90)]), ["en"] * 90, {0: 60, 1: 30}, epochs=2)
+    pad = max(toxicity.WIDTHS)
+    for t in [*texts[:20], "", "unseen words only"]:
+        rows = toxicity.rows_of(model.buckets, [toxicity.buckets_of(t)])[0].tolist()
+        padded, pooled, k = rows + [0] * pad, [], 0
+        for i, w in enumerate(toxicity.WIDTHS):
+            # A window may reach into the padding but not beyond it.
+            starts = range(len(rows) + pad - max(toxicity.WIDTHS) + 1)
+            values = [sum(model.tables[k + j][padded[s + j]] for j in range(w)) for s in starts]
+            pooled.append(np.maximum(np.max(values, axis=0) + model.bias[i], 0))
+            k += w
+        raw = float(np.concatenate(pooled) @ model.out + model.out_bias)
+        a, b = model.scale
+        assert model.score([rows])[0] == pytest.approx(1 / (1 + math.exp(-(a * raw + b))), abs=1e-5)
+
+
+def test_quality_matches_a_plain_ftrl():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{w}" for w in rng.integers(0, 40, 12)) + (" junk !! junk" if i % 3 == 0 else " fine text") for i in range(60)]
+    y = np.array([int(i % 3 != 0) for i in range(60)])
+    model = quality.train(texts, y, {0: 20, 1: 40}, epochs=2)
+    alpha, beta, l1, l2 = 0.5, 1.0, 1e-4, 1e-4
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    def vector(t):
+        at, x = quality.features(quality.word_hashes(t.encode(), {}))
+        return {**dict(zip(at.tolist(), x.tolist())), "bias": 1.0}
+
+    order = np.random.default_rng(1)
+    for _ in range(2):
+        for k in order.permutation([i for i in range(60) if i % 5 != 4]):
+            x = vector(texts[k])
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y[k]) * v
+                s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    for t in [*texts[:15], "v1 v2 never seen"]:
+        raw = sum(weight(i) * v for i, v in vector(t).items())
+        at, x = quality.features(quality.word_hashes(t.encode(), {}))
+        assert model.raw(at, x) == pytest.approx(raw, abs=1e-5)
 
 
 def test_repeated_texts_score_alike(odd_docs):
