@@ -3,10 +3,12 @@
 Two texts are linked if their sets of five-word shingles (lower-cased words, 64-bit hashes) have a Jaccard similarity of 0.8 or
 more, or if their fingerprints differ in four bits or fewer. Candidates come by prefix filtering: with all shingles in
 one order, two sets that similar share one of their first ``n - ceil(0.8 n) + 1``, so no pair is missed whatever
-the order is. Shingles that many prefixes hold come last in it. Of a pair in the same posting list an upper bound of the overlap
-(least counts in 128 buckets) must reach what 0.8 needs; what is left is intersected exactly. A first round links chains of each
-list, a second compares only members that are in different components by then. Lists above ``LIST_LIMIT`` sets are dealt in
-square cells, so that any two of their sets meet in some cell.
+the order is. Shingles that many prefixes hold come last in it. Candidates are looked for on the hashes' upper 32 bits, with two
+more hashes in each prefix than that, as shingles may share them. Of a pair in the same posting list an upper bound of the overlap
+(least counts in 128 buckets) must reach what 0.8 needs, then the same bound over buckets as many as half of the longer set; what
+is left is intersected exactly, on sets that are made anew from the texts in question. A first round links each list's members
+with its least one, a second compares only members that are in different components by then, in lists that hold several. Lists
+above ``LIST_LIMIT`` sets are dealt in square cells, so that any two of their sets meet in some cell.
 
 Defined results: null, empty and blank texts have no shingles and are equal; a text of fewer than five words is one shingle.
 """
@@ -49,13 +51,19 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique((h ^ (h >> np.uint64(32))).view(np.int64))
 
 
+def upper(h: np.ndarray) -> np.ndarray:
+    """Distinct upper halves of hashes, ascending."""
+    return np.unique((h >> 32).astype(np.int32))
+
+
 def prefix_length(n):
-    """So many first shingles of a set of ``n`` meet those of any set with similarity 0.8."""
-    return n - (4 * n + 4) // 5 + 1
+    """So many first shingles of a set of ``n`` meet those of any set with similarity 0.8, even if two pairs of shingles share a hash."""
+    return n - (4 * n + 4) // 5 + 3
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, th, fp, sid, n, shingles, counts``: for each row the text's hash, fingerprint and set; equal sets have one ``sid``."""
+    """``id_col, th, fp, sid, n, shingles, counts``: for each row the text's hash, its fingerprint, and its set (upper halves,
+    its size, counts by bucket); equal sets have one ``sid``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as xxh
@@ -68,13 +76,17 @@ def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sizes = [len(x) for x in sets]
                 fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
                 sids = np.array([xxh(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-                counts = [np.bincount(x & (BUCKETS - 1), minlength=BUCKETS).clip(0, 65535).astype(np.uint16).tobytes() for x in sets]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(sets), pa.int64()))
+                counts = [np.bincount(x & (BUCKETS - 1), minlength=BUCKETS).clip(0, 255).astype(np.uint8).tobytes() for x in sets]
+                lists = listed([upper(x) for x in sets], pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(sids), pa.array(sizes, pa.int32()), lists, pa.array(counts, pa.binary())], names=[id_col, "th", "fp", "sid", "n", "shingles", "counts"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(id_col, F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, f"{id_col} {kind}, th long, fp long, sid long, n int, shingles array<long>, counts binary")
+    return rows.mapInArrow(run, f"{id_col} {kind}, th long, fp long, sid long, n int, shingles array<int>, counts binary")
+
+
+def listed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays), kind))
 
 
 def postings(sets: DataFrame, last: np.ndarray) -> DataFrame:
@@ -92,9 +104,9 @@ def postings(sets: DataFrame, last: np.ndarray) -> DataFrame:
                         h = np.r_[h[~late], h[late]] if late.any() else h
                     got.append(h[: prefix_length(len(h))] if len(h) else h)
                 sids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in got])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got), pa.int64()), pa.array(sids, pa.int64())], names=["h", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got), pa.int32()), pa.array(sids, pa.int64())], names=["h", "sid"])
 
-    return sets.where("n > 0").select("sid", "shingles").mapInArrow(run, "h long, sid long")
+    return sets.where("n > 0").select("sid", "shingles").mapInArrow(run, "h int, sid long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000) -> Iterator[pa.Table]:
@@ -131,7 +143,7 @@ def shared_lists(found: DataFrame) -> DataFrame:
             ok = np.flatnonzero(size > 1)
             yield pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[ok]) for c in (0, 1)] + [pa.array(size[ok], pa.int32()), pa.array(at[ok], pa.int32())], names=["h", "sid", "size", "at"])
 
-    return found.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h long, sid long, size int, at int")
+    return found.repartition("h").sortWithinPartitions("h", "sid").mapInArrow(run, "h int, sid long, size int, at int")
 
 
 def _may_be_near(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -139,17 +151,16 @@ def _may_be_near(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray
     ok = 5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y])
     at = np.flatnonzero(ok)
     bound = np.minimum(counts[x[at]], counts[y[at]]).sum(axis=1, dtype=np.int64)
-    ok[at] = (9 * bound >= 4 * (n[x[at]] + n[y[at]])) | (np.maximum(n[x[at]], n[y[at]]) > 65535)
+    full = counts.max(axis=1, initial=0) == 255
+    ok[at] = (9 * bound >= 4 * (n[x[at]] + n[y[at]])) | full[x[at]] | full[y[at]]
     return ok
 
 
-def _chains(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, *_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Neighbours in each list, in an order that differs from list to list."""
-    mixed = (h ^ sid).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.lexsort((mixed ^ (mixed >> np.uint64(31)), h))
-    x, y = order[:-1], order[1:]
-    same = h[x] == h[y]
-    yield x[same], y[same]
+def _stars(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, *_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The least set of each list with all others of it."""
+    sizes = np.diff(np.r_[starts, len(h)])
+    x, y = np.repeat(starts, sizes), np.arange(len(h))
+    yield x[x != y], y[x != y]
 
 
 def _across(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, root: np.ndarray, c: np.ndarray, mixed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -175,7 +186,7 @@ def candidates(lists: DataFrame, pick: Callable, keys: list[str], rest: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, len(keys), 20_000):
             of = {name: rows.column(name).to_numpy() for name in rows.column_names if name != "counts"}
-            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+            counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
             n, sid = of["n"].astype(np.int64), of["sid"]
             mixed = [of["i"] != of["j"]] if "i" in of else []
             found = [np.empty((0, 2), np.int64)]
@@ -190,40 +201,90 @@ def candidates(lists: DataFrame, pick: Callable, keys: list[str], rest: list[str
             ab = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
 
-    dealt = lists.select(*keys, "sid", "n", "counts", *rest).repartition(*keys).sortWithinPartitions(*keys)
+    dealt = lists.select(*keys, "sid", "n", "counts", *rest).repartition(*keys).sortWithinPartitions(*keys, "sid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs whose sets have similarity 0.8 or more."""
-    asked = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "asked")
+def folded(h: np.ndarray) -> np.ndarray:
+    """Counts of a set by bucket, up to 255, with a power of two of buckets, about half as many as the set has members."""
+    size = 1 << max(6, int(len(h) // 2).bit_length())
+    return np.bincount((h >> 7) & (size - 1), minlength=size).clip(0, 255).astype(np.uint8)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> float:
+    """At most so many members do the sets of two ``folded`` counts share."""
+    if max(x.max(), y.max()) == 255:
+        return np.inf
+    x, y = (a.astype(np.int64) for a in ((x, y) if len(x) <= len(y) else (y, x)))
+    return float(np.minimum(x, y.reshape(-1, len(x)).sum(axis=0)).sum())
+
+
+def _asked(pairs: DataFrame, docs: DataFrame, texts: DataFrame, make: Callable, kind: str, arrow: pa.DataType) -> DataFrame:
+    """``sid, n, s`` for the sets of ``pairs``: what ``make`` gives of each, made once for a text and task."""
+    asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    asked = stored(asked.join(texts, "sid"), "asked")
     asked = F.broadcast(asked) if asked.count() <= MOST_ASKED else asked
-    own = stored(sets.select("sid", "n", "shingles").join(asked, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("s")), "asked-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                b = batch.slice(k, 512)
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                sids = b.column(0).to_pylist()
+                new = [i for i, x in enumerate(sids) if x not in seen and not seen.add(x)]
+                if new:
+                    sets = [shingles(t) for t in b.column(1).take(pa.array(new)).to_pylist()]
+                    made = listed([make(x) for x in sets], arrow) if arrow is not None else pa.array([make(x).tobytes() for x in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([sids[i] for i in new], pa.int64()), pa.array([len(x) for x in sets], pa.int32()), made], names=["sid", "n", "s"])
+
+    met = docs.select(F.xxhash64("t").alias("th"), F.col("t").cast("binary").alias("t")).join(asked, "th").select("sid", "t")
+    return stored(met.mapInArrow(run, f"sid long, n int, s {kind}").dropDuplicates(["sid"]), "asked-sets")
+
+
+def _both(pairs: DataFrame, own: DataFrame) -> DataFrame:
     one, two = (own.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(one, "a").join(two, "b")
+    return pairs.join(one, "a").join(two, "b")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs whose sets have similarity 0.8 or more. ``docs.t`` are the texts, ``texts`` names the hash of one for each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint8) for v in b.column(c).to_pylist()] for c in (4, 5))
+            total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+            ok = np.array([9 * overlap_bound(p, q) >= 4 * n for p, q, n in zip(x, y, total)], bool)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
+
+    rough = _both(pairs, _asked(pairs, docs, texts, folded, "binary", None)).select("a", "b", "na", "nb", "sa", "sb")
+    left = stored(rough.mapInArrow(run, "a long, b long"), "bound-pairs")
+    both = _both(left, _asked(left, docs, texts, lambda x: x, "array<long>", pa.int64()))
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def jaccard_links(sets: DataFrame) -> DataFrame:
+def jaccard_links(sets: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: links between sids with similarity 0.8 or more that connect all that can be connected."""
-    often = postings(sets, np.empty(0, np.int64)).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FREQUENT).orderBy(F.desc("k"), "h").limit(MOST_FREQUENT)
-    last = np.sort(np.array([r.h for r in often.collect()], np.int64))
+    often = postings(sets, np.empty(0, np.int32)).groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FREQUENT).orderBy(F.desc("k"), "h").limit(MOST_FREQUENT)
+    last = np.sort(np.array([r.h for r in often.collect()], np.int32))
     lists = stored(shared_lists(postings(sets, last)), "shared-lists")
     facts = stored(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "set-facts")
     lists = stored(lists.join(facts, "sid"), "posting-lists")
-    first = stored(confirmed(stored(candidates(lists, _chains, ["h"], []), "chain-pairs"), sets), "chain-links")
+    first = stored(confirmed(stored(candidates(lists, _stars, ["h"], []), "star-pairs"), docs, texts), "star-links")
     roots = components(first).select(F.col("node").alias("sid"), "root")
     cells = F.when(F.col("size") > LIST_LIMIT, F.ceil(F.col("size") * 2 / LIST_LIMIT)).otherwise(F.lit(1)).cast("int")
+    rooted = stored(lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-lists")
+    several = rooted.groupBy("h").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("h")
     placed = (
-        lists.join(roots, "sid", "left")
-        .withColumn("root", F.coalesce("root", "sid"))
+        rooted.join(several, "h", "left_semi")
         .withColumn("m", cells)
         .withColumn("c", F.col("at") % F.col("m"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         .withColumn("i", F.least("c", "x"))
         .withColumn("j", F.greatest("c", "x"))
     )
-    second = confirmed(stored(candidates(placed, _across, ["h", "i", "j"], ["root", "c"]), "cross-pairs"), sets)
+    second = confirmed(stored(candidates(placed, _across, ["h", "i", "j"], ["root", "c"]), "cross-pairs"), docs, texts)
     return first.unionByName(stored(second, "cross-links"))
 
 
@@ -234,7 +295,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ends = [by_print.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     by_bits = near_links(by_print.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     same_print = sets.select("fp", "sid").distinct().join(by_print, "fp").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
-    roots = components(jaccard_links(sets).unionByName(by_bits).unionByName(same_print)).select(F.col("node").alias("sid"), "root")
+    texts = stored(sets.groupBy("sid").agg(F.min("th").alias("th")), "set-texts")
+    links = jaccard_links(sets, docs.select(F.col(text_col).alias("t")), texts)
+    roots = components(links.unionByName(by_bits).unionByName(same_print)).select(F.col("node").alias("sid"), "root")
     rows = sets.groupBy("sid", F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_rows"))
     least = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_th", "_rows")).alias("x")
     stay = stored(rows.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(least).select("x._id", "x._th", "x._rows"), "kept-rows")
