@@ -191,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``.
 
     In each round a node points to that one of its neighbours and itself which stands first in an order drawn anew, pointers are
-    followed twice, and the graph is contracted to what they lead to. As the order is a new one each time, chains of any
+    followed once more, and the graph is contracted to what they lead to. As the order is a new one each time, chains of any
     order shrink by a constant factor a round, so the rounds grow with the logarithm of the nodes."""
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     mapping, turn = None, 0
@@ -200,8 +200,7 @@ def components(edges: DataFrame) -> DataFrame:
         draw = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("r"), F.col(c).alias("to"))  # noqa: B023, E731
         both = edges.union(edges.select("b", "a"))
         step = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(draw("b")).alias("m")).select("node", F.least(draw("node"), F.col("m"))["to"].alias("root")), "step")
-        for _ in range(2):
-            step = stored(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "step")
+        step = stored(step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root")), "step")
         one = step.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         two = step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         edges = stored(edges.join(one, "a").join(two, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
