@@ -49,7 +49,7 @@ def saving_percent(saved: Column, original: Column) -> Column:
 
 
 def trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+\z", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def unix_lines(x: Column) -> Column:
@@ -76,7 +76,8 @@ def is_bar(line: Column, need_bar: bool = False) -> Column:
 
 
 def collapse_whitespace(x: Column) -> Column:
-    return trimmed(F.regexp_replace(F.regexp_replace(x, r"(?m)[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(x, "\n", -1), lambda line: F.rtrim(line, F.lit(" \t")))
+    return trimmed(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def minify_json(x: Column) -> Column:

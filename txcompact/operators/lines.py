@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txcompact.functions.text import trimmed
+
 
 def by_block(*more: str) -> Window:
     return Window.partitionBy("block_id", *more)
@@ -86,7 +88,7 @@ def context_budget(lines: DataFrame, changed: Column, allowed: int = 1) -> DataF
 def dedup_lines(lines: DataFrame, min_count: int = 3, consecutive_only: bool = False) -> DataFrame:
     """Of a line found ``min_count`` times or more in its block (trimmed; blank lines never) the first stays, followed by
     a line that says how many went. ``consecutive_only`` looks at unbroken runs only."""
-    keyed = lines.withColumn("_key", F.regexp_replace("line", r"^\s+|\s+\z", ""))
+    keyed = lines.withColumn("_key", trimmed(F.col("line")))
     parts = ["block_id", "_key"]
     if consecutive_only:
         broke = F.when(F.lag("_key").over(in_order()).eqNullSafe(F.col("_key")), 0).otherwise(1)

@@ -14,8 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from txcompact.functions import text as t
 from txcompact.operators.clean import clean
-from txcompact.operators.lines import by_block, context_budget, fold_records, group_and_cap, in_order, keep_with_context, so_far, to_lines
+from txcompact.operators.lines import by_block, fold_records, group_and_cap, in_order, so_far
 
 
 def T() -> Column:  # noqa: N802
@@ -59,6 +60,7 @@ class Rule:
     ends: str | None = None
     keep: str | None = None
     drop: str | None = None
+    within: str | None = None  #: lines of an island that stay; None: all
     rewrite: tuple[str, str] | None = None
     cap: int | None = None
     fallback: str | None = None  #: lines that stay if nothing else does
@@ -82,10 +84,10 @@ RULES = [
     Rule("gitStatus", lambda: T().startswith("On branch ") | T().startswith("HEAD detached at"), "status"),
     Rule("gitBranch", _git_branch, "branch"),
     Rule("cargoTest", lambda: T().rlike(r"test .+\.\.\. (ok|FAILED)"), "islands", opens=r"FAILED|error\[|panicked at|^---- .* stdout ----$", ends=r"^(test result:|failures:|error: test failed)", fallback=r"^test result:"),
-    Rule("cargoBuild", lambda: T().rlike(r"error\[E\d+\]") | (has("Compiling") & some("error", "warning")), "islands", opens=r"^error(\[E\d+\])?:(?! aborting| could not compile)|^warning(\[.*?\])?:", ends=r"^error: (aborting|could not compile)", fallback=r"Finished|error: could not compile"),
+    Rule("cargoBuild", lambda: T().rlike(r"error\[E\d+\]") | (has("Compiling") & some("error", "warning")), "islands", opens=r"^error(\[E\d+\])?:(?! aborting| could not compile)|^warning(\[.*?\])?:", ends=r"^error: (aborting|could not compile)", within=r"^(  -->|   \||   =)", fallback=r"Finished|error: could not compile"),
     Rule("vitest", lambda: some("✓", "✕", "×") & some("Test Files", "PASS", "FAIL"), "islands", opens=r"[×✕]|\bFAIL\b|AssertionError|Error:|Expected|Received", ends=r"^(Test Files|Tests|Duration|Suites)", fallback=r"^(Test Files|Tests|Duration)"),
     Rule("playwright", lambda: (some("playwright") | T().rlike(r"\.(spec|test)\.(ts|js)")) & some("passed", "failed", "Error", "FAILED"), "islands", opens=r"^\s*([✘×✕]|FAILED)\s", closes=r"^\s*[✓✔]\s", ends=r"^\s*\d+\s+(passed|failed|skipped|flaky)|^Finished in", keep=r"Error:|TimeoutError|Slowest", fallback=r"\d+\s+(passed|failed)"),
-    Rule("pyTraceback", lambda: some("Traceback (most recent call last)") | has("FAILED", ".py::"), "islands", opens=r"^Traceback \(most recent call last\)|^(FAILED|ERROR) .+::", ends=r"^(PASSED|passed \d+|failed \d+|error \d+|=+ \d+ (passed|failed|error))|^[A-Za-z_][\w.]*(Error|Exception|Exit|Interrupt)\b", fallback=r"\d+ (passed|failed|error)"),
+    Rule("pyTraceback", lambda: some("Traceback (most recent call last)") | has("FAILED", ".py::"), "islands", opens=r"^Traceback \(most recent call last\)|^(FAILED|ERROR) .+::", ends=r"^(PASSED|passed \d+|failed \d+|error \d+|=+ \d+ (passed|failed|error))", fallback=r"\d+ (passed|failed|error)"),
     Rule("goTest", lambda: T().rlike(r"^--- (PASS|FAIL):") | T().rlike(r"^(ok|FAIL)\s+\S+\s+[\d.]+s"), "islands", opens=r"^(--- FAIL:|FAIL|panic:)", closes=r"^(--- PASS:|ok\s)", fallback=r"^(ok|FAIL)\s"),
     Rule("tsc", lambda: T().rlike(r"error TS\d+:"), "tsc"),
     Rule("eslint", lambda: T().rlike(r"\d+:\d+\s+(error|warning)\s+"), keep=r"\d+:\d+\s+(error|warning)|^[/\\]|^\w:[/\\]|\d+ (problem|error|warning)", rewrite=(r"\s+https?://\S+", "")),
@@ -94,8 +96,8 @@ RULES = [
     Rule("pkgInstall", lambda: T().rlike(r"added \d+ package") | (some("packages are looking for funding") & (F.size(F.split("text", "\n")) > 5)), keep=r"added \d+|removed \d+|Done in|\d+ packages? in \d|warn|vulnerabilit|up to date"),
     Rule("pkgList", lambda: has("├──") & (some("@") | T().rlike(r"\bv\d+\.\d+")), "packages", cap=60),
     Rule("pkgOutdated", lambda: T().rlike(r"(?i)Current\s+Wanted\s+Latest"), "cap", cap=30, what="outdated packages"),
-    Rule("terraform", lambda: (has("# ") & some("will be created", "will be destroyed", "must be replaced")) | some("Terraform will perform"), keep=r"^\s*#.*(will be|must be|has been)|Plan:|Apply complete|No changes|Destroy complete|[Ee]rror:"),
-    Rule("npx", lambda: T().rlike(r"^npm warn|^npm error|Packages: .*installed|npx: installed"), "drop", drop=r"^npm warn (deprecated|WARN)|^npx: installed \d+|^Packages: \d+"),
+    Rule("terraform", lambda: (has("# ") & some("will be created", "will be destroyed", "must be replaced")) | some("Terraform will perform"), keep=r"^\s*#.*(will be|must be|has been)|Plan:|Apply complete|No changes|Destroy complete|[Ee]rror:", rewrite=(r"^\s+(?=#|.*(Plan:|Apply complete|No changes|Destroy complete))", "")),
+    Rule("npx", lambda: T().rlike(r"^npm warn|^npm error|Packages: .*installed|npx: installed"), "banner"),
     Rule("dockerPs", lambda: has("CONTAINER ID", "IMAGE"), "drop", drop=r"^$", rewrite=(r"^([a-f0-9]{12})[a-f0-9]{52}\s", "$1  ")),
     Rule("dockerImages", lambda: has("REPOSITORY", "TAG", "IMAGE ID"), "drop", drop=r"^(?!REPOSITORY).*<none>|^$", rewrite=(r"\b([a-f0-9]{12})[a-f0-9]{52}\b", "$1")),
     Rule("kubectl", lambda: T().rlike(r"^NAME\s+(READY\s+STATUS|STATUS\s+ROLES|TYPE\b|AGE\b|SHORTNAMES\b)"), "drop", drop=r"^$", rewrite=(r"\s{2,}", "  ")),
@@ -107,7 +109,9 @@ RULES = [
     Rule("curl", lambda: some("* Connected to") | (line_share("^>")[0] > 3), "curl"),
     Rule("wget", lambda: has("--") & some("Resolving ", "Connecting to ", "HTTP request sent", "saved ["), keep=r"saved \[|200 OK|404 Not Found|Error|ERROR|^\d{4}-\d{2}-\d{2}.*saved"),
 ]
+# Words of error lines, and the wider list by which output counts as dense in errors.
 ERROR = r"\b(Error|ERROR|error|FATAL|fatal|Exception|exception|failed|FAILED)\b"
+DENSE = r"\b(Error|ERROR|error|FATAL|fatal|WARN|Warning|warning|Exception|exception|failed|FAILED)\b"
 COMMENT = r"^\s*//"
 #: Structural lines by language, and how a language shows in the first 30 lines.
 LANGUAGES = [
@@ -122,7 +126,7 @@ def _bash_pattern(rules: list[Rule]) -> Column:
     out = None
     for r in rules:
         out = F.when(r.applies(), r.name) if out is None else out.when(r.applies(), r.name)
-    errors, total = line_share(ERROR.replace("Exception|exception", "WARN|Warning|warning|Exception|exception"), "(?s)^.*")
+    errors, total = line_share(rf"^(?!\s*//).*{DENSE}", "(?s)^.*")
     dense = (total >= 30) & (errors > 0) & (errors <= total * 0.5)
     return out.when(dense, "errorExtracted").otherwise("truncated")
 
@@ -141,8 +145,15 @@ def classify(blocks: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 def coverage(classified: DataFrame) -> DataFrame:
-    """``pattern, n``: how often each rule fired."""
-    return classified.where("pattern is not null").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    """``pattern, n, section, fallback, cut``: how often each rule fired, most often first in a report.
+
+    ``section`` tells command output from searches and file reads; ``fallback`` marks the rules for output of no known command;
+    ``cut`` counts the blocks that the rule made shorter, where ``classified`` has ``compact_chars`` (as ``compact_blocks`` gives it)."""
+    shorter = F.count_if(F.col("compact_chars") < F.col("original_chars")) if "compact_chars" in classified.columns else F.lit(None).cast("long")
+    name = F.regexp_replace("pattern", ":.*", "")
+    section = F.when(name.startswith("read"), "read").when(name.startswith("grep"), "grep").when(name.startswith("glob"), "glob").otherwise("bash")
+    hits = classified.where("pattern is not null").groupBy(name.alias("pattern")).agg(F.count(F.lit(1)).alias("n"), shorter.alias("cut"))
+    return hits.select("pattern", "n", section.alias("section"), name.isin("errorExtracted", "truncated").alias("fallback"), "cut")
 
 
 def _pick(rules: list[Rule], field: str, default: Column) -> Column:
@@ -153,141 +164,222 @@ def _pick(rules: list[Rule], field: str, default: Column) -> Column:
     return out
 
 
-def _noted(kept: DataFrame, note: Column, first: bool = False) -> DataFrame:
-    """One more line for each block with a non-null ``note`` (an aggregate), before or after its lines."""
-    notes = kept.groupBy("block_id").agg(note.alias("line"), F.lit(-1 if first else 1 << 40).cast("long").alias("pos")).where("line is not null")
-    return kept.select("block_id", F.col("pos").cast("long").alias("pos"), "line").unionByName(notes.select("block_id", "pos", "line"))
+def _named(rules: list[Rule], *kinds: str) -> Column:
+    return F.col("pattern").isin(*[r.name for r in rules if r.kind in kinds] or [""])
 
 
-def _capped(lines: DataFrame, limit: Column, what: Column) -> DataFrame:
-    rn = lines.where(L().rlike(r"\S")).withColumn("rn", F.row_number().over(in_order())).withColumn("cap", limit).withColumn("what", what)
-    more = F.count(F.when(F.col("rn") > F.col("cap"), 1))
-    noted = _noted(rn, F.when(more > 0, F.concat(F.lit("... ["), more.cast("string"), F.lit(" "), F.first("what"), F.lit("]"))))
-    return noted.join(rn.where("rn > cap").select("block_id", "pos"), ["block_id", "pos"], "left_anti")
+def _band(critical: int, high: int, normal: int) -> Column:
+    """A number by pressure."""
+    return F.when(F.col("pressure") >= 0.9, critical).when(F.col("pressure") >= 0.75, high).otherwise(normal)
 
 
-def compact_blocks(blocks: DataFrame, rules: list[Rule] = RULES, pressure: float = 0.0, id_col: str = "block_id") -> DataFrame:
-    """``block_id, pattern, text, original_chars, compact_chars`` for blocks with ``tool`` and ``text``."""
-    named = blocks.select(F.col(id_col).alias("block_id"), "tool", "text")
-    is_read = F.lower(F.coalesce("tool", F.lit(""))) == "read"
-    cleaned = clean(named.where(~is_read)).unionByName(clean(named.where(is_read), "read"))
-    found = classify(cleaned.join(named.select("block_id", "tool"), "block_id"), rules)
-    found = found.persist(StorageLevel.DISK_ONLY)  # every kind of rule below reads it
-    lines = to_lines(found.where("pattern is not null")).join(found.select("block_id", "pattern"), "block_id")
-    only = lambda *names: lines.where(F.col("pattern").isin(*names))
-    kinds = lambda *k: [r.name for r in rules if r.kind in k] or [""]
-    parts: list[DataFrame] = []
-    add = lambda df: parts.append(df.select("block_id", F.col("pos").cast("long").alias("pos"), "line"))
-
-    # Islands, kept lines, dropped lines: one pass for all such rules.
+def _lines(found: DataFrame, which: Column) -> DataFrame:
+    return found.where(which).select("block_id", "pattern", "pressure", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
+def _kept(lines: DataFrame, line: Column, pos: Column | None = None, before: Column | None = None, after: Column | None = None, name: Column | None = None) -> DataFrame:
+    """Lines that stay, and notes for their block: ``before`` and ``after`` its text, and names to list."""
+    none = F.lit(None).cast("string")
+    at = F.col("pos") if pos is None else pos
+    return lines.select("block_id", at.cast("long").alias("pos"), line.alias("line"), *[(none if x is None else x).alias(n) for x, n in ((before, "before"), (after, "after"), (name, "name"))])
+
+
+def _omitted(n: Column, what: str) -> Column:
+    return F.when(n > 0, F.format_string(f"... [%d {what}]", n.cast("long")))
+
+
+def island_lines(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rules of islands, kept and dropped lines: one pass of windows."""
     never, blank = F.lit(False), L().rlike(r"^\s*\z")
-    simple = only(*kinds("islands", "lines", "drop"))
     opens, closes, ends, keep, drop = (_pick(rules, f, never) for f in ("opens", "closes", "ends", "keep", "drop"))
-    event = F.when(opens, 1).when(ends | closes | blank, 0)
-    dropping = F.col("pattern").isin(*kinds("drop"))
-    inside = event.isNull() & (F.last("_event", ignorenulls=True).over(so_far()) == 1)
-    marked = simple.withColumn("_event", event).withColumn("_keep", F.when(dropping, ~drop).otherwise(opens | ends | keep | inside))
+    within = _pick(rules, "within", F.lit(True))
+    loose = (F.col("pattern") == "pyTraceback") & ~opens & ~blank & ~L().rlike(r"^[ \t]")
+    trace = (F.col("pattern") == "pyTraceback") & L().startswith("Traceback (most recent call last)")
+    event = F.when(trace, 2).when(opens, 1).when(ends | closes | blank, 0)
+    marked = lines.withColumn("_e", event).withColumn("_open", opens).withColumn("_loose", F.sum(loose.cast("int")).over(so_far()))
+    marked = marked.withColumn("_state", F.last("_e", ignorenulls=True).over(so_far())).withColumn("_since", F.col("_loose") - F.last(F.when(trace, F.col("_loose")), ignorenulls=True).over(so_far()))
+    # A traceback goes on up to its first line without an indent.
+    inside = ~F.col("_open") & F.when(F.col("_state") == 2, F.when(loose, F.col("_since") == 1).otherwise((F.col("_since") == 0) & ~blank)).otherwise(F.col("_e").isNull() & (F.col("_state") == 1) & within)
+    marked = marked.withColumn("_keep", F.when(_named(rules, "drop"), ~drop).otherwise(F.col("_open") | ends | keep | F.coalesce(inside, never)))
     marked = marked.withColumn("_any", F.max(F.col("_keep").cast("int")).over(by_block()))
-    kept = marked.where(F.col("_keep") | ((F.col("_any") == 0) & _pick(rules, "fallback", F.lit(True))))
     line = L()
     for r in rules:
         if r.rewrite:
             line = F.when(F.col("pattern") == r.name, F.regexp_replace(L(), *r.rewrite)).otherwise(line)
-    add(kept.withColumn("line", line))
-
-    # Caps on the first lines.
-    cap, what = F.lit(0), F.lit("")
+    return _kept(marked.where(F.col("_keep") | ((F.col("_any") == 0) & _pick(rules, "fallback", F.lit(True)))), line)
+
+
+def counted_lines(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rules that keep lines by their place, their number or what stands beside them: one pass of windows."""
+    is_ = lambda *names: F.col("pattern").isin(*names)
+    filled, never = L().rlike(r"\S"), F.lit(False)
+    total = lambda x: F.sum(x.cast("int")).over(by_block())
+    running = lambda x: F.sum(x.cast("int")).over(so_far())
+    context = ~L().rlike(r"^(diff --git|index |--- |\+\+\+ |@@|[+-])")
+    current, nested = L().startswith("* "), filled & L().rlike(r"^[\s│]")
+    banner = F.min(F.when(L().rlike(r"^npx: installed \d+|^Packages: \d+"), F.col("pos"))).over(by_block())
+    error = L().rlike(ERROR) & ~L().rlike(COMMENT)
+    structural = never
+    for name, _, pattern in LANGUAGES:
+        structural = F.when(is_(f"readSemantic:{name}"), L().rlike(pattern)).otherwise(structural)
+    one = (
+        lines.withColumn("_all", F.count(F.lit(1)).over(by_block()))
+        .withColumn("_nth", running(filled))
+        .withColumn("_filled", total(filled))
+        .withColumn("_context", running(context))
+        .withColumn("_cur", running(current))
+        .withColumn("_curs", total(current))
+        .withColumn("_nested", total(nested))
+        .withColumn("_direct", running(filled & ~nested))
+        .withColumn("_banner", banner)
+        .withColumn("_box", F.last(F.when(L().rlike(r"^\s*[┌╔]"), 1).when(L().rlike(r"^\s*[└╚]"), 0), ignorenulls=True).over(so_far()))
+        .withColumn("_share", F.avg(L().rlike("^[><*]").cast("int")).over(by_block()))
+        .withColumn("_body", F.min(F.when(L().rlike(r"^(\* Connected|\z|\{|\[|<)"), F.col("pos"))).over(by_block()))
+        .withColumn("_near", F.max(F.when(error, 1).otherwise(0)).over(in_order().rowsBetween(-1, 1)))
+        .withColumn("_near", (F.col("_near") == 1) & (error | filled))
+        .withColumn("_code", total(structural))
+        .withColumn("_packages", total(L().rlike('^"?[a-z@]')))
+    )
+    two = (
+        one.withColumn("_since", F.col("_context") - F.last(F.when(~context, F.col("_context")), ignorenulls=True).over(so_far()))
+        .withColumn("_output", F.min(F.when((F.col("pos") > F.col("_banner")) & filled & ~L().rlike("^npm (warn|error)"), F.col("pos"))).over(by_block()))
+        .withColumn("_errors", total(F.col("_near")))
+        .withColumn("_log", _band(10, 20, 30))
+    )
+    limit, what = F.when(is_("gitLog"), F.col("_log")).otherwise(F.lit(0)), F.when(is_("gitLog"), "more commits").otherwise("")
     for r in rules:
         if r.kind == "cap":
-            cap, what = F.when(F.col("pattern") == r.name, r.cap).otherwise(cap), F.when(F.col("pattern") == r.name, r.what if r.what.startswith("more") else f"more {r.what}").otherwise(what)
-    add(_capped(only(*kinds("cap")), cap, what))
-
-    # Diffs: headers, changed lines, a little context.
-    changed = L().rlike(r"^(diff --git|index |--- |\+\+\+ |@@|[+-])")
-    add(context_budget(only("gitDiff").where(changed | L().startswith(" ")), changed, 0 if pressure >= 0.9 else 1).where(changed | (F.col("pos") > 0)))
-
-    # Logs: verbose ones become a line for each commit, then the first stay.
-    log, most = only("gitLog"), 10 if pressure >= 0.9 else 20 if pressure >= 0.75 else 30
-    verbose = log.withColumn("_v", F.max(L().rlike("^Author:").cast("int")).over(by_block()))
-    message = F.min_by(F.regexp_replace("line", r"^\s+|\s+\z", ""), F.when(~L().rlike(r"^(commit |Author:|Date:)|^\s*\z"), F.col("pos")))
-    value = lambda p: F.max(F.when(L().rlike(p), F.regexp_replace(F.regexp_replace("line", p, ""), r"\s*<.*|\s+\z", "")))
-    commits = fold_records(verbose.where("_v = 1"), L().startswith("commit "), F.format_string("%s %s (%s, %s)", F.substring(value("^commit "), 1, 7), F.coalesce(message, F.lit("")), F.coalesce(value(r"^Author:\s*"), F.lit("")), F.coalesce(value(r"^Date:\s*"), F.lit(""))).alias("line"))
-    add(_capped(commits.select("block_id", "pos", "line").unionByName(verbose.where("_v = 0").select("block_id", "pos", "line")), F.lit(most), F.lit("more commits")))
-
-    # Status: files by section with counts.
-    section = F.when(L().startswith("Changes to be committed"), "1+ Staged").when(L().startswith("Changes not staged"), "2~ Modified").when(L().startswith("Untracked files:"), "3? Untracked").when(L().rlike("^(nothing to commit|no changes added)"), "")
-    status = only("gitStatus").withColumn("_s", section).withColumn("_in", F.last("_s", ignorenulls=True).over(so_far()))
-    files = status.where(F.col("_s").isNull() & (F.col("_in") != "") & L().rlike(r"^(\t|  )\s*[^\s(]")).withColumn("f", F.regexp_replace("line", r"^\s+((modified|new file|deleted|renamed|both modified|copied):\s+)?|\s+\z", ""))
-    grouped = files.groupBy("block_id", "_in").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: F.concat(F.lit("   "), x["f"])).alias("fs"))
-    add(grouped.select("block_id", F.substring("_in", 1, 1).cast("long").alias("pos"), F.concat(F.format_string("%s: %d file%s\n", F.expr("substring(_in, 2)"), "n", F.when(F.col("n") == 1, "").otherwise("s")), F.array_join("fs", "\n")).alias("line")))
-    head = status.groupBy("block_id").agg(F.max(F.when(L().startswith("On branch "), F.expr("substring(line, 11)")).when(L().startswith("HEAD detached"), L())).alias("b"), F.max_by(F.regexp_replace("line", r"^\s+|\s+\z", ""), F.when(L().rlike("ahead|behind|diverged"), F.col("pos"))).alias("t"), F.min(F.when(L().rlike("nothing to commit|working tree clean"), L())).alias("c"))
-    add(head.select("block_id", F.lit(0).alias("pos"), F.concat(F.lit("* "), "b", F.coalesce(F.concat(F.lit(" ["), "t", F.lit("]")), F.lit(""))).alias("line")))
-    add(head.where("c is not null").join(files.select("block_id"), "block_id", "left_anti").select("block_id", F.lit(9).alias("pos"), F.col("c").alias("line")))
-
-    # Branches: the current one and the first others.
-    branch = only("gitBranch").where(~blank).withColumn("_cur", L().startswith("* ")).withColumn("_n", F.count(F.lit(1)).over(by_block())).withColumn("_rn", F.row_number().over(Window.partitionBy("block_id", "_cur").orderBy("pos")))
-    few = branch.where((F.col("_n") <= 20) | (F.col("_cur") & (F.col("_rn") == 1)) | (~F.col("_cur") & (F.col("_rn") <= 15)))
-    left = F.first("_n") - F.count(F.lit(1))
-    add(_noted(few.withColumn("pos", F.when(F.col("_cur") & (F.col("_n") > 20), -1).otherwise(F.col("pos")).cast("long")), F.when(left > 0, F.format_string("... [%d more branches]", left))))
-
-    # Compiler errors by file, searches by file: groups with caps.
-    where_ = F.regexp_extract("line", r"^(.+?)\(\d+,\d+\):", 1)
-    tsc = group_and_cap(only("tsc").where(L().rlike(r"(error|warning) TS\d+:")), F.when(where_ == "", "unknown").otherwise(where_), 5)
-    add(tsc.select("block_id", "pos", F.col("group_no").alias("g"), F.concat(F.when(F.col("nth") == 1, F.format_string("%s: %d error(s)\n", "key", "n_in_group")).otherwise(""), F.lit("  "), F.regexp_replace("line", r"^.+?\(\d+,\d+\):\s*", "")).alias("line")).withColumn("pos", F.col("g").cast("long") * (1 << 30) + F.col("pos")))
-    per_file = 4 if pressure >= 0.9 else 6 if pressure >= 0.75 else 8
-    grep = group_and_cap(only("grepCompacted").where(L() != ""), F.when(L().rlike("^[^:]+:"), F.regexp_extract("line", "^([^:]+):", 1)).otherwise(""), per_file + 1)
-    shown = F.when(F.col("nth") > per_file, "  ... (+more)").otherwise(F.regexp_replace(F.regexp_replace("line", r"^[^:]+:(\d+:)?", ""), r"^\s+|\s+\z", ""))
-    title = F.when(F.col("nth") == 1, F.format_string("%s%s (%d match%s):\n", F.when(F.col("group_no") > 1, "\n").otherwise(""), "key", "n_in_group", F.when(F.col("n_in_group") == 1, "").otherwise("es"))).otherwise("")
-    few_files = grep.where("group_no <= 30").select("block_id", (F.col("group_no").cast("long") * (1 << 30) + F.col("pos")).alias("pos"), F.concat(F.when(F.col("key") == "", "").otherwise(title), F.lit("  "), shown).alias("line"))
-    add(few_files)
-    add(grep.groupBy("block_id").agg(F.max("group_no").alias("g")).where("g > 30").select("block_id", F.lit(1 << 60).alias("pos"), F.format_string("\n... [%d more files]", F.col("g") - 30).alias("line")))
-
-    # Paths: files by directory.
+            limit, what = F.when(is_(r.name), r.cap).otherwise(limit), F.when(is_(r.name), r.what if r.what.startswith("more") else f"more {r.what}").otherwise(what)
+    capped, n = is_("gitLog") | _named(rules, "cap"), F.col("_filled")
+    found_errors = is_("errorExtracted") & (F.col("_all") - F.col("_errors") > 10)
+    tail, longest, last = is_("truncated", "errorExtracted") & ~found_errors, _band(50, 80, 80), _band(30, 50, 50)
+    code = F.col("pattern").startswith("readSemantic") & (F.col("_code") >= 2)
+    ends = (is_("readHeadTail") | F.col("pattern").startswith("readSemantic")) & ~code
+    rest = F.col("_all") - 180
+    branches = F.col("_filled") > 20
+    other = F.col("_nth") - F.col("_cur")
+    keep = (
+        F.when(capped, filled & (F.col("_nth") <= limit))
+        .when(is_("gitDiff"), ~context | (L().startswith(" ") & (F.col("_since") <= F.when(F.col("pressure") >= 0.9, 0).otherwise(1))))
+        .when(is_("gitBranch"), filled & (~branches | F.when(current, F.col("_cur") == 1).otherwise(other <= 15)))
+        .when(is_("pkgList"), filled & ((F.col("_nested") == 0) | (~nested & (F.col("_direct") <= 60))))
+        .when(is_("npx"), F.when(F.col("_output").isNotNull(), F.col("pos") >= F.col("_output")).otherwise(~L().rlike("^npm warn (deprecated|WARN)")))
+        .when(is_("prisma"), filled & ~L().rlike(r"^\s*[┌╔└╚]") & (F.coalesce("_box", F.lit(0)) == 0))
+        .when(is_("curl"), (F.coalesce("_body", F.lit(0)) < 3) | (F.col("_share") <= 0.4) | ~L().rlike(r"^[>*]|^\s*\z"))
+        .when(found_errors, F.col("_near"))
+        .when(tail, (F.col("_all") <= longest) | (F.col("pos") >= F.col("_all") - last))
+        .when(is_("readLockfile"), F.col("pos") == 0)
+        .when(code, structural)
+        .when(ends, (F.col("pos") < 100) | (F.col("pos") >= F.col("_all") - 80))
+        .otherwise(never)
+    )
+    after = (
+        F.when(capped & (n > limit), F.concat(F.lit("... ["), (n - limit).cast("string"), F.lit(" "), what, F.lit("]")))
+        .when(is_("gitBranch") & branches, _omitted(n - 1 - F.least(F.lit(15), n - F.col("_curs")), "more branches"))
+        .when(
+            is_("pkgList") & (F.col("_nested") > 0),
+            F.concat_ws("\n", _omitted(F.col("_nested"), "nested packages omitted"), _omitted(n - F.col("_nested") - 60, "more direct packages")),
+        )
+        .when(found_errors, _omitted(F.col("_all") - F.col("_errors"), "non-error lines omitted"))
+        .when(code, _omitted(F.col("_all") - F.col("_code"), "implementation lines omitted"))
+    )
+    before = F.when(tail & (F.col("_all") > longest), _omitted(F.col("_all") - last, "earlier lines omitted"))
+    # Fixed value: the sentence that stands for a lock file.
+    lock = F.format_string("[lockfile — %d lines, ~%d packages — omitted to save tokens]", "_all", "_packages")
+    line = F.when(is_("readLockfile"), lock).when(ends & (F.col("pos") == 99), F.concat("line", F.lit("\n\n"), _omitted(rest, "lines omitted"), F.lit(" ...\n"))).otherwise(L())
+    heading = F.trim(F.regexp_extract("line", r"^@@[^@]+@@\s+(.+)", 1))
+    function = F.regexp_extract(F.regexp_replace(heading, r"^(export\s+)?(default\s+)?(async\s+)?(function\s+)?", ""), r"^(\w[^\s(:{<]*)", 1)
+    place = F.when(is_("gitBranch") & branches & current, -1).otherwise(F.col("pos"))
+    return _kept(two.where(keep), line, place, before, after, F.when(is_("gitDiff"), F.nullif(function, F.lit(""))))
+
+
+def commit_lines(lines: DataFrame) -> DataFrame:
+    """Verbose logs as a line for each commit, of which the first stay."""
+    message = F.min_by(t.trimmed(L()), F.when(~L().rlike(r"^(commit |Author:|Date:)|^\s*\z"), F.col("pos")))
+    value = lambda head: F.max(F.when(L().startswith(head), F.expr(f"substring(line, {len(head) + 1})")))
+    none = F.lit("")
+    author = t.trimmed(F.split_part(F.coalesce(value("Author:"), none), F.lit("<"), F.lit(1)))
+    folded = F.format_string("%s %s (%s, %s)", F.substring(value("commit "), 1, 7), F.coalesce(message, none), author, t.trimmed(F.coalesce(value("Date:"), none)))
+    commits = fold_records(lines, L().startswith("commit "), folded.alias("line"), F.first("pressure").alias("pressure"))
+    numbered = commits.withColumn("_nth", F.row_number().over(in_order())).withColumn("_n", F.count(F.lit(1)).over(by_block())).withColumn("_most", _band(10, 20, 30))
+    return _kept(numbered.where("_nth <= _most"), L(), after=_omitted(F.col("_n") - F.col("_most"), "more commits"))
+
+
+def status_texts(lines: DataFrame) -> DataFrame:
+    """A status as branch, files by section with counts, or the remark that nothing changed."""
+    sections = (("staged", "+ Staged"), ("modified", "~ Modified"), ("untracked", "? Untracked"))
+    section = F.when(L().startswith("Changes to be committed"), "staged").when(L().startswith("Changes not staged"), "modified").when(L().startswith("Untracked files:"), "untracked").when(L().rlike("^(nothing to commit|no changes added)"), "")
+    remark = L().rlike("ahead|behind|diverged") & ~L().rlike("^(On branch |HEAD detached at)")
+    marked = lines.withColumn("_s", F.when(~remark, section)).withColumn("_in", F.last("_s", ignorenulls=True).over(so_far()))
+    is_file = F.col("_s").isNull() & ~remark & L().rlike(r"^(\t|  )\s*[^\s(]")
+    file = F.regexp_replace(t.trimmed(L()), r"^(modified|new file|deleted|renamed|both modified|copied):\s+", "")
+    listed = [F.array_sort(F.collect_list(F.when(is_file & (F.col("_in") == s), F.struct("pos", file.alias("f"))))).alias(s) for s, _ in sections]
+    branch = F.max(F.when(L().startswith("On branch "), t.trimmed(F.expr("substring(line, 11)"))).when(L().startswith("HEAD detached at"), t.trimmed(L())))
+    clean_ = F.min_by(t.trimmed(L()), F.when(L().rlike("nothing to commit|working tree clean"), F.col("pos")))
+    one = marked.groupBy("block_id").agg(branch.alias("b"), F.max_by(t.trimmed(L()), F.when(remark, F.col("pos"))).alias("t"), clean_.alias("c"), *listed)
+    shown = lambda s, title: F.when(
+        F.size(s) > 0,
+        F.concat(F.format_string(f"{title}: %d file%s\n", F.size(s), F.when(F.size(s) == 1, "").otherwise("s")), F.array_join(F.transform(s, lambda x: F.concat(F.lit("   "), x["f"])), "\n")),
+    )
+    top = F.concat(F.lit("* "), "b", F.coalesce(F.concat(F.lit(" ["), "t", F.lit("]")), F.lit("")))
+    nothing = F.when((F.size("staged") == 0) & (F.size("modified") == 0) & (F.size("untracked") == 0), F.col("c"))
+    return _kept(one, F.concat_ws("\n", top, *[shown(s, title) for s, title in sections], nothing), F.lit(0))
+
+
+def grouped_lines(lines: DataFrame) -> DataFrame:
+    """Compiler errors and searches by file, paths by directory: groups in the order of appearance, with caps and true counts."""
+    is_ = lambda name: F.col("pattern") == name
+    where_ = F.trim(F.regexp_extract("line", r"^(.+?)\(\d+,\d+\):", 1))
     path = F.replace(L(), F.lit("\\"), F.lit("/"))
-    dirs = only("globCompacted").where(~blank).withColumn("d", F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("."))
-    per_dir = dirs.groupBy("block_id", "d").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    add(per_dir.select("block_id", F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("n"), "first")).alias("pos"), F.format_string("%s/ (%d files)", "d", "n").alias("line")))
-    add(per_dir.groupBy("block_id").agg(F.sum("n").alias("n")).select("block_id", F.lit(0).alias("pos"), F.format_string("%d files total:", "n").alias("line")))
-
-    # Packages: direct ones, and how many nested.
-    pk = only("pkgList").where(~blank).withColumn("_nested", L().rlike(r"^[\s│]")).withColumn("_rn", F.row_number().over(Window.partitionBy("block_id", "_nested").orderBy("pos"))).withColumn("_nn", F.sum(F.col("_nested").cast("int")).over(by_block()))
-    add(_noted(pk.where((~F.col("_nested") & (F.col("_rn") <= 60)) | (F.col("_nn") == 0)), F.when(F.first("_nn") > 0, F.format_string("... [%d nested packages omitted]", F.first("_nn")))))
-
-    # Boxes go; what a verbose transfer says goes if it is most of the text.
-    box = only("prisma").withColumn("_e", F.when(L().rlike(r"^\s*[┌╔]"), 1).when(L().rlike(r"^\s*[└╚]"), 0)).withColumn("_in", F.coalesce(F.last("_e", ignorenulls=True).over(so_far()), F.lit(0)))
-    add(box.where(F.col("_e").isNull() & (F.col("_in") == 0) & ~blank))
-    curl = only("curl").withColumn("_share", F.avg(L().rlike("^[><*]").cast("int")).over(by_block())).withColumn("_body", F.min(F.when(L().rlike(r"^(\* Connected|\z|\{|\[|<)"), F.col("pos"))).over(by_block()))
-    add(curl.where((F.coalesce("_body", F.lit(0)) < 3) | (F.col("_share") <= 0.4) | ~L().rlike(r"^[>*]|^\s*\z")))
-
-    # Long output: errors with their neighbours, or the last lines.
-    dense = only("errorExtracted").withColumn("_all", F.count(F.lit(1)).over(by_block()))
-    near = keep_with_context(dense, L().rlike(ERROR) & ~L().rlike(COMMENT)).withColumn("_got", F.count(F.lit(1)).over(by_block())).where(F.col("_all") - F.col("_got") > 10)
-    gone = F.first(F.col("_all") - F.col("_got"))
-    add(_noted(near, F.format_string("... [%d non-error lines omitted]", gone)))
-    longest, last = (50, 30) if pressure >= 0.9 else (80, 50)
-    rest = dense.drop("_all").join(near.select("block_id").distinct(), "block_id", "left_anti").unionByName(only("truncated"))
-    tail = rest.withColumn("_n", F.count(F.lit(1)).over(by_block())).where((F.col("_n") <= longest) | (F.col("pos") >= F.col("_n") - last))
-    add(_noted(tail, F.when(F.first("_n") > longest, F.format_string("... [%d earlier lines omitted]", F.first("_n") - last)), first=True))
-
-    # Files read: lock files, structure, head and tail.
-    lock = only("readLockfile").groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(L().rlike('^"?[a-z@]')).alias("p"))
-    add(lock.select("block_id", F.lit(0).alias("pos"), F.format_string("[lockfile — %d lines, ~%d packages — omitted to save tokens]", "n", "p").alias("line")))
-    structural = never
-    for name, _, pattern in LANGUAGES:
-        structural = F.when(F.col("pattern") == f"readSemantic:{name}", L().rlike(pattern)).otherwise(structural)
-    code = lines.where(F.col("pattern").startswith("readSemantic")).withColumn("_k", structural).withColumn("_n", F.sum(F.col("_k").cast("int")).over(by_block())).withColumn("_all", F.count(F.lit(1)).over(by_block()))
-    add(_noted(code.where("_k and _n >= 2"), F.format_string("... [%d implementation lines omitted]", F.first(F.col("_all") - F.col("_n")))))
-    plain = only("readHeadTail").unionByName(code.where("_n < 2").select("block_id", "pos", "line", "pattern"))
-    counted = plain.withColumn("_n", F.count(F.lit(1)).over(by_block()))
-    add(counted.where((F.col("pos") < 100) | (F.col("pos") >= F.col("_n") - 80)).withColumn("line", F.when(F.col("pos") == 99, F.concat("line", F.format_string("\n\n... [%d lines omitted] ...\n", F.col("_n") - 180))).otherwise(L())))
-
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    texts = every.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("short"))
+    folder = F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(".")
+    key = F.when(is_("tsc"), F.when(where_ == "", "unknown").otherwise(where_)).when(is_("globCompacted"), folder).otherwise(F.when(L().rlike("^[^:]+:"), F.split_part(L(), F.lit(":"), F.lit(1))).otherwise(""))
+    wanted = F.when(is_("tsc"), L().rlike(r"(error|warning) TS\d+:")).otherwise(L().rlike(r"\S"))
+    most = F.when(is_("tsc"), 5).when(is_("globCompacted"), 0).otherwise(_band(4, 6, 8))
+    found = group_and_cap(lines.where(wanted), key, 9).withColumn("_all", F.sum(F.when(F.col("nth") == 1, F.col("n_in_group"))).over(by_block())).withColumn("_groups", F.max("group_no").over(by_block()))
+    nth, n, grep = F.col("nth"), F.col("n_in_group"), is_("grepCompacted")
+    plural = F.when(n == 1, "").otherwise("es")
+    title = F.when(is_("tsc"), F.format_string("%s: %d error(s)\n", "key", n)).when(F.col("key") == "", "").otherwise(F.format_string("%s (%d match%s):\n", "key", n, plural))
+    gap = F.when(grep & (nth == 1) & (F.col("group_no") > 1), "\n").otherwise("")
+    body = F.when(is_("tsc"), t.trimmed(F.regexp_replace("line", r"^.+?\(\d+,\d+\):\s*", ""))).when(nth > most, "  ... (+more)").when(F.col("key") == "", L()).otherwise(t.trimmed(F.regexp_replace("line", r"^[^:]+:(\d+:)?", "")))
+    line = F.when(is_("globCompacted"), F.format_string("%s/ (%d files)", "key", n)).otherwise(F.concat(gap, F.when(nth == 1, title).otherwise(""), F.when(grep & (F.col("key") == ""), "").otherwise("  "), body))
+    stays = F.when(is_("globCompacted"), nth == 1).when(is_("tsc"), nth <= most).otherwise((F.col("group_no") <= 30) & (nth <= most + 1))
+    place = F.when(is_("globCompacted"), (F.lit(1 << 31) - n) * (1 << 31) + F.col("group_no")).otherwise(F.col("group_no").cast("long") * (1 << 31) + F.col("pos"))
+    after = F.when(grep & (F.col("_groups") > 30), F.concat(F.lit("\n"), _omitted(F.col("_groups") - 30, "more files")))
+    before = F.when(is_("globCompacted"), F.format_string("%d files total:", "_all"))
+    return _kept(found.where(stays), line, place, before, after)
+
+
+def compact_blocks(blocks: DataFrame, rules: list[Rule] = RULES, pressure: Column | float = 0.0, id_col: str = "block_id") -> DataFrame:
+    """``block_id, pattern, text, original_chars, compact_chars`` for blocks with ``tool`` and ``text``.
+
+    ``pressure`` (a number, or a column of ``blocks``) tightens the caps. Every block's lines are exploded once, in one of five
+    branches by its pattern; windows and the final aggregation of a branch share the exchange by block."""
+    at = pressure if isinstance(pressure, Column) else F.lit(float(pressure))
+    named = blocks.select(F.col(id_col).alias("block_id"), "tool", "text", F.coalesce(at, F.lit(0.0)).alias("pressure"))
+    is_read = F.lower(F.coalesce("tool", F.lit(""))) == "read"
+    cleaned = clean(named.where(~is_read)).unionByName(clean(named.where(is_read), "read"))
+    found = classify(cleaned.join(named.select("block_id", "tool", "pressure", F.length("text").alias("original_chars")), "block_id"), rules)
+    found = found.persist(StorageLevel.DISK_ONLY)  # each branch below reads its own blocks of it
+    verbose = (F.col("pattern") == "gitLog") & F.col("text").startswith("commit ") & F.col("text").contains("Author:") & F.col("text").contains("Date:")
+    simple, status = _named(rules, "islands", "lines", "drop"), F.col("pattern") == "gitStatus"
+    groups = F.col("pattern").isin("tsc", "grepCompacted", "globCompacted")
+    parts = [
+        island_lines(_lines(found, simple), rules),
+        counted_lines(_lines(found, F.col("pattern").isNotNull() & ~simple & ~verbose & ~status & ~groups), rules),
+        commit_lines(_lines(found, verbose)),
+        status_texts(_lines(found, status)),
+        grouped_lines(_lines(found, groups)),
+    ]
+    in_place = lambda what, value: F.transform(F.array_sort(F.collect_list(F.when(what, F.struct("pos", value)))), lambda x: x[value])
+    texts = None
+    for part in parts:
+        whole = part.groupBy("block_id").agg(in_place(F.lit(True), "line").alias("kept"), F.max("before").alias("before"), F.max("after").alias("after"), F.array_distinct(in_place(F.col("name").isNotNull(), "name")).alias("names"))
+        texts = whole if texts is None else texts.unionByName(whole)
+    changed = F.when((F.size("kept") > 100) & (F.size("names") > 0), F.concat(F.lit("Changed: "), F.array_join("names", ", ")))
+    body = F.nullif(F.array_join("kept", "\n"), F.lit(""))
+    short = texts.where(body.isNotNull()).select("block_id", F.concat_ws("\n", changed, "before", body, "after").alias("short"))
     return (
-        found.join(texts, "block_id", "left")
-        .join(named.select("block_id", F.length("text").alias("original_chars")), "block_id")
-        .select("block_id", F.regexp_replace("pattern", ":.*", "").alias("pattern"), F.coalesce(F.nullif("short", F.lit("")), "text").alias("text"), "original_chars")
+        found.join(short, "block_id", "left")
+        .select("block_id", F.regexp_replace("pattern", ":.*", "").alias("pattern"), F.coalesce("short", "text").alias("text"), "original_chars")
         .withColumn("compact_chars", F.length("text"))
     )
