@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txcompact.operators import compact as c
 from txcompact.operators import savings as s
 from txcompact.plans import queries as core
-from txcompact.plans import reports, streams  # noqa: F401
+from txcompact.plans import compaction, outputs, reports, streams  # noqa: F401
 from txcompact.streaming import usage
 from txcompact.streaming.run import available
 
@@ -112,3 +112,40 @@ def test_training_pairs_by_a_users_function(spark):
             yield f.assign(compressed=[t[: len(t) // 2] if v == "balanced" else None for t, v in zip(f["text"], f["variant"])]).drop(columns="text")
 
     assert [(r.variant, r.ratio) for r in c.training_pairs(docs, half).where("compressed is not null").collect()] == [("balanced", 1 - 9 / 19)]
+
+
+def test_short_ids_that_texts_share_name_none_of_them(spark):
+    store = spark.createDataFrame([("abcdef" + "0" * 26, "abcdef", "one"), ("abcdef" + "1" * 26, "abcdef", "two"), ("123456" + "0" * 26, "123456", "three")], "hash string, block_id6 string, text string")
+    blocks = spark.createDataFrame([(1, "[tx:abcdef -90%] x"), (2, "[tx:" + "abcdef" + "1" * 26 + " -90%] x"), (3, "[tx:123456] same output"), (4, "plain")], "turn int, text string")
+    assert {r.turn: r.text for r in c.reinflate(blocks, store).collect()} == {1: "[tx:abcdef -90%] x", 2: "two", 3: "three", 4: "plain"}
+    assert c.reinflate(blocks, store).count() == 4
+    calls = spark.createDataFrame([("expand", '{"id": "abcdef"}'), ("expand", '{"id": "123456"}'), ("other", '{"id": "123456"}')], "name string, input string")
+    assert sorted((r.block_id6, r.found, r.original) for r in c.expand_calls(calls, store).collect()) == [("123456", True, "three"), ("abcdef", False, None)]
+
+
+def test_pressure_tightens_the_rules(spark):
+    from txcompact.operators.rules import compact_blocks
+
+    text = "\n".join(f"plain line number {i}" for i in range(70))
+    blocks = spark.createDataFrame([(str(p), "bash", text, p) for p in (0.0, 0.75, 0.9, 1.0)], "block_id string, tool string, text string, p double")
+    got = {float(r.block_id): len(r.text.split("\n")) for r in compact_blocks(blocks, pressure=F.col("p")).collect()}
+    assert got == {0.0: 70, 0.75: 70, 0.9: 31, 1.0: 31}
+    assert len(compact_blocks(blocks, pressure=0.95).first().text.split("\n")) == 31
+
+
+def test_trims_are_linear(spark):
+    from txcompact.functions import text as t
+
+    blanks = "x" + " " * 1_000_000 + "y" + "\t" * 1_000_000
+    df = spark.createDataFrame([(blanks,)], "text string").select(t.trimmed(F.col("text")).alias("a"), t.collapse_whitespace(F.col("text")).alias("b"))
+    assert df.select(F.length("a"), F.length("b")).first() == (1_000_002, 1_000_002)
+
+
+def test_a_users_summariser_sees_a_bounded_part_and_prompts_more(spark):
+    def echo(frames):
+        for f in frames:
+            yield f.assign(summary=f["text"].map(lambda x: str(len(x)))).drop(columns="text")
+
+    prompts = spark.createDataFrame([("word " * 5000,)], "text string")
+    assert c.compact_prompts(prompts, echo).first().text == "10000"
+    assert c.summarise(prompts, echo).first().summary == "4000"

@@ -67,9 +67,9 @@ def test_prose_spares_code(spark):
 def test_numbers_and_times(spark):
     row = spark.sql("select -2.5D as x, timestamp'2024-01-07 23:59:00' as ts, timestamp'2024-01-01' as now").select(
         t.half_up(F.col("x")), s.slot(F.col("ts")), s.week_start(F.col("ts")).cast("string"), t.duration_seconds(F.lit("6m0s")), t.duration_seconds(F.lit("120ms")), t.reset_time(F.lit("1h"), F.col("now")).cast("string"),
-        t.project_of(F.lit("x <cwd>/home/me/thing</cwd>")), t.project_of(F.lit("see /home/me/proj/deep/file.py")), t.project_of(F.lit("nothing")), t.project_of(F.lit("see /home/me/proj/file.py"), legacy=True),
+        t.project_of(F.lit("x <cwd>/home/me/thing</cwd>")), t.project_of(F.lit("see /home/me/proj/deep/file.py")), t.project_of(F.lit("nothing")), t.project_of(F.lit("see C:\\\\Users\\\\dev\\\\shop\\\\src")),
     ).first()
-    assert tuple(row) == (-2, 4, "2024-01-07", 360.0, 0.12, "2024-01-01 01:00:00", "thing", "file.py", "unknown", "me")
+    assert tuple(row) == (-2, 4, "2024-01-07", 360.0, 0.12, "2024-01-01 01:00:00", "thing", "me", "unknown", "shop")
 
 
 def test_conversations_save_and_reinflate(spark):

@@ -120,17 +120,25 @@ def reset_time(x: Column, now: Column) -> Column:
     return F.when(x.rlike(r"^\d{4}-"), F.try_to_timestamp(x)).when(x.rlike(r"^\d+$"), F.timestamp_seconds(x.try_cast("long"))).otherwise(F.timestamp_micros((F.unix_micros(now) + duration_seconds(x) * 1_000_000).cast("long")))
 
 
-def project_of(text: Column, legacy: bool = False) -> Column:
-    """Project name: ``<cwd>`` tag, then a working-directory remark, then a path, else ``unknown``. The last
-    segment counts; ``legacy`` takes a path's first segment that is not a common folder."""
-    last = lambda p: F.element_at(F.split(F.regexp_replace(F.replace(p, F.lit("\\"), F.lit("/")), r"/+\z", ""), "/"), -1)
-    tag = F.regexp_extract(text, r"<cwd>([^<]+)</cwd>", 1)
-    said = F.regexp_extract(text, r"(?i)(?:cwd|current working directory):\s*([^\s\n]+)", 1)
-    path = F.regexp_extract(text, r"(?:^|\s)((?:/[\w.\-]+){2,})", 1)
-    skip = F.array(*[F.lit(s) for s in ("home", "users", "root", "var", "tmp", "usr", "opt", "src", "documents", "desktop", "projects")])
-    names = F.filter(F.split(path, "/"), lambda s: (s != "") & ~F.array_contains(skip, F.lower(s)))
-    segment = F.get(names, F.lit(0)) if legacy else F.when(F.size(names) > 0, F.element_at(names, -1))
-    return F.coalesce(F.nullif(last(tag), F.lit("")), F.nullif(last(said), F.lit("")), segment, F.lit("unknown"))
+# Where projects lie, and folders that are none.
+PROJECT_ROOTS = r"(?i)((?:[a-z]:[\\/]|/(?:users|home|workspace|projects|documents)[\\/])[^\s<>\"*?|]+)"
+NO_PROJECTS = (
+    "users", "home", "documents", "workspace", "projects", "desktop", "dev", "src", "repos", "mnt", "c", "var", "tmp", "opt", "usr", "lib", "bin", "etc", "node_modules", ".claude", ".config",
+)
+
+
+def project_of(text: Column) -> Column:
+    """Project name: the last folder of a ``<cwd>`` tag or a working-directory remark; else the first folder of a path under a
+    usual root that is none of the common ones, else its last; else ``unknown``."""
+    parts = lambda p: F.filter(F.split(F.replace(trimmed(p), F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    last = lambda xs: F.when(F.size(xs) > 0, F.element_at(xs, -1))
+    tag = parts(F.regexp_extract(text, r"<cwd>([^<]+)</cwd>", 1))
+    said = parts(F.regexp_extract(text, r"(?i)(?:current working directory|cwd)[:\s]+([^\n<]+)", 1))
+    path = F.regexp_extract(text, PROJECT_ROOTS, 1)
+    names = F.when(~path.contains("://"), parts(path))
+    skip = F.array(*[F.lit(s) for s in NO_PROJECTS])
+    own = F.get(F.filter(names, lambda x: ~F.array_contains(skip, F.lower(x)) & ~x.rlike("^(?i)[a-z]:$") & (F.length(x) > 1)), F.lit(0))
+    return F.coalesce(last(tag), last(said), own, last(names), F.lit("unknown"))
 
 
 # Clients that a hint may name, and for each family of calls the words of a user agent in their order.

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from txcompact.config import CompactionConfig
 from txcompact.functions import text as t
+from txcompact.operators.clean import clean
+from txcompact.sources.transcripts import tool_input_fields
 
-#: Most characters of a block that a summariser sees.
-SUMMARY_INPUT = 4000
+#: Most characters of a block, and of a system prompt, that a summariser sees.
+SUMMARY_INPUT, PROMPT_INPUT = 4000, 10_000
 
 
 def dedup_blocks(blocks: DataFrame, scope: list[str] = ["conv_id"], order: list[str] = ["turn", "part"], keep: str = "last", min_len: int = 200) -> DataFrame:
@@ -46,17 +48,42 @@ def id_collisions(store: DataFrame) -> DataFrame:
     return store.groupBy("block_id6").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def _by_ref(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """``rows`` with ``_original``: the stored text that ``_ref`` names, a whole hash or its first six digits. Short ids that
+    several texts share name none of them, so a row stays one row."""
+    alone = store.join(id_collisions(store).select("block_id6"), "block_id6", "left_anti")
+    by_hash = store.select(F.col("hash").alias("_ref"), F.col("text").alias("_whole"))
+    by_id = alone.select(F.col("block_id6").alias("_ref"), F.col("text").alias("_short"))
+    return rows.join(by_hash, "_ref", "left").join(by_id, "_ref", "left").withColumn("_original", F.coalesce("_whole", "_short")).drop("_whole", "_short")
+
+
 def reinflate(blocks: DataFrame, store: DataFrame, tag: str = "tx") -> DataFrame:
-    """Texts that begin with a tag or placeholder get the original back."""
-    ref = F.nullif(F.regexp_extract("text", rf"^\[{tag}:([0-9a-f]{{6}})[ \]]", 1), F.lit(""))
-    originals = store.select(F.col("block_id6").alias("_ref"), F.col("text").alias("_original"))
-    return blocks.withColumn("_ref", ref).join(originals, "_ref", "left").withColumn("text", F.coalesce("_original", "text")).drop("_ref", "_original")
+    """Texts that begin with a tag or placeholder get the original back, where its id names one text only."""
+    ref = F.nullif(F.regexp_extract("text", rf"^\[{tag}:([0-9a-f]{{6}}|[0-9a-f]{{32}})[ \]]", 1), F.lit(""))
+    return _by_ref(blocks.withColumn("_ref", ref), store).withColumn("text", F.coalesce("_original", "text")).drop("_ref", "_original")
+
+
+#: Answers of a model in two shapes: blocks of content, or choices with calls.
+ANSWER = (
+    "struct<content:array<struct<type:string,name:string,input:string>>,"
+    "choices:array<struct<message:struct<tool_calls:array<struct<function:struct<name:string,arguments:string>>>>>>>"
+)
+
+
+def calls_in(answers: DataFrame, body_col: str = "body") -> DataFrame:
+    """A row for each tool call in answers (JSON), with ``name`` and ``input`` (JSON) and the other columns."""
+    parsed = answers.withColumn("_a", F.from_json(body_col, ANSWER))
+    empty = F.array().cast("array<struct<name:string,input:string>>")
+    blocks = F.transform(F.filter("_a.content", lambda b: b["type"] == "tool_use"), lambda b: F.struct(b["name"].alias("name"), b["input"].alias("input")))
+    choices = F.flatten(F.transform("_a.choices", lambda c: F.transform(c["message"]["tool_calls"], lambda x: F.struct(x["function"]["name"].alias("name"), x["function"]["arguments"].alias("input")))))
+    return parsed.select(*[c for c in answers.columns if c != body_col], F.inline(F.concat(F.coalesce(blocks, empty), F.coalesce(choices, empty))))
 
 
 def expand_calls(calls: DataFrame, store: DataFrame) -> DataFrame:
-    """Calls of the tool ``expand`` (``name``, ``input`` as JSON with an id) with ``found`` and the original."""
-    asked = calls.where("name = 'expand'").withColumn("block_id6", F.get_json_object("input", "$.id"))
-    return asked.join(store.select("block_id6", F.col("text").alias("original")), "block_id6", "left").withColumn("found", F.col("original").isNotNull())
+    """Calls of the tool ``expand`` (``name``, ``input`` as JSON with an id or hash) with ``found`` and the original."""
+    asked = calls.where("name = 'expand'").withColumn("_ref", F.get_json_object("input", "$.id"))
+    found = _by_ref(asked, store).withColumn("found", F.col("_original").isNotNull())
+    return found.withColumnRenamed("_ref", "block_id6").withColumnRenamed("_original", "original")
 
 
 def eligible(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
@@ -86,18 +113,52 @@ def rank_from_end(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("from_end", F.row_number().over(Window.partitionBy("conv_id", "kind").orderBy(F.desc("turn"), F.desc("part"))))
 
 
+#: Roles of the model's own turns in the four shapes.
+MODEL_ROLES = ("assistant", "model")
+
+
 def select_candidates(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
-    """Old, large, eligible tool results."""
+    """Old, large, eligible tool results. ``cfg.new_rule`` keeps only new ones: those of the last message, or those after
+    the model's last turn."""
     sized = with_threshold(with_pressure(blocks, cfg.context_chars), cfg)
-    last = F.max(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    found = eligible(rank_from_end(sized.withColumn("_last", last)), cfg).where((F.col("kind") == "tool_result") & (F.col("from_end") > cfg.keep_recent) & (F.length("text") >= F.col("threshold")) & ~F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.no_summary))
-    return (found.where(F.col("turn") > F.coalesce("_last", F.lit(-1))) if cfg.new_only else found).drop("_last")
+    conv = Window.partitionBy("conv_id")
+    bounds = sized.withColumn("_last", F.max("turn").over(conv)).withColumn("_model", F.max(F.when(F.col("role").isin(*MODEL_ROLES), F.col("turn"))).over(conv))
+    summarised = ~F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.no_summary)
+    old = (F.col("kind") == "tool_result") & (F.col("from_end") > cfg.keep_recent) & (F.length("text") >= F.col("threshold"))
+    found = eligible(rank_from_end(bounds), cfg).where(old & summarised)
+    new = {None: F.lit(True), "last_message": F.col("turn") == F.col("_last"), "after_model": F.col("turn") > F.coalesce("_model", F.lit(-1))}[cfg.new_rule]
+    return found.where(new).drop("_last", "_model")
 
 
-def prose_candidates(blocks: DataFrame, role: str, keep_recent: int, min_len: int) -> DataFrame:
+def _old_turns(blocks: DataFrame, keep_recent: int) -> DataFrame:
+    back = F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return blocks.withColumn("_back", back).where(F.col("_back") > keep_recent).drop("_back")
+
+
+def prose_candidates(blocks: DataFrame, roles: str | tuple[str, ...], keep_recent: int, min_len: int) -> DataFrame:
     """Texts of a role but those of its last ``keep_recent`` turns."""
-    own = blocks.where((F.col("kind") == "text") & (F.col("role") == role))
-    return own.withColumn("_back", F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where((F.col("_back") > keep_recent) & (F.length("text") >= min_len)).drop("_back")
+    own = (roles,) if isinstance(roles, str) else roles
+    return _old_turns(blocks.where((F.col("kind") == "text") & F.col("role").isin(*own)), keep_recent).where(F.length("text") >= min_len)
+
+
+def clean_prose_blocks(blocks: DataFrame, id_col: str = "block_id") -> DataFrame:
+    """``block_id, text``: the base clean, then the prose rules; a text that gets no shorter stays as it is."""
+    was = blocks.select(F.col(id_col).alias("block_id"), F.col("text").alias("_was"))
+    made = clean(blocks, id_col=id_col).join(was, "block_id")
+    short = t.clean_prose(F.col("text"))
+    return made.select("block_id", F.when(F.length(short) < F.length("_was"), short).otherwise(F.col("_was")).alias("text"))
+
+
+def clean_tool_inputs(blocks: DataFrame, keep_recent: int = 3, min_len: int = 200) -> DataFrame:
+    """``block_id, text``: inputs (JSON) of the model's older turns whose long fields the base clean makes shorter, written back."""
+    own = _old_turns(blocks.where((F.col("kind") == "tool_use") & F.col("role").isin(*MODEL_ROLES)), keep_recent)
+    fields = tool_input_fields(own, min_len).withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")).withColumn("field_id", F.concat_ws("/", "block_id", "field"))
+    shorter = fields.join(clean(fields.withColumn("text", F.col("value")), id_col="field_id").withColumnRenamed("block_id", "field_id"), "field_id").where(F.length("text") < F.length("value"))
+    # In the input a field stands as JSON writes a string, so exactly that is replaced.
+    quoted = lambda x: F.expr(f"substring(to_json(struct({x})), {len(x) + 5}, length(to_json(struct({x}))) - {len(x) + 5})")
+    pairs = shorter.select("block_id", "field", quoted("value").alias("old"), quoted("text").alias("new")).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("field", "old", "new"))).alias("pairs"))
+    ids = own.withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")).select("block_id", "text")
+    return ids.join(pairs, "block_id").select("block_id", F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["old"], p["new"])).alias("text"))
 
 
 def split_known(blocks: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -118,14 +179,14 @@ def extractive(text: Column) -> Column:
     return F.array_join(F.array_distinct(F.concat(F.slice(lines, 1, 2), said, F.when(F.size(lines) > 0, F.array(F.element_at(lines, -1))).otherwise(F.array().cast("array<string>")))), "\n")
 
 
-def summarise(misses: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None) -> DataFrame:
+def summarise(misses: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None, limit: int = SUMMARY_INPUT) -> DataFrame:
     """``hash, summary, original_chars``: each distinct text goes to ``fn`` (frames ``hash, text`` to ``hash, summary``;
-    null: failed) once, cut to what a summariser sees; without ``fn`` the local summary is taken."""
+    null: failed) once, cut to the ``limit`` that a summariser sees; without ``fn`` the local summary of the whole text is taken."""
     distinct = misses.select(F.md5("text").alias("hash"), "text").dropDuplicates(["hash"])
     sizes = distinct.withColumn("original_chars", F.length("text"))
     if fn is None:
         return sizes.select("hash", extractive(F.col("text")).alias("summary"), "original_chars")
-    made = sizes.select("hash", F.substring("text", 1, SUMMARY_INPUT).alias("text")).mapInPandas(fn, "hash string, summary string")
+    made = sizes.select("hash", F.substring("text", 1, limit).alias("text")).mapInPandas(fn, "hash string, summary string")
     return sizes.select("hash", "original_chars").join(made, "hash", "left")
 
 
@@ -139,39 +200,56 @@ def compact_prompts(prompts: DataFrame, fn=None, min_len: int = 2000, enough: fl
     """``hash, text, original_chars, compact_chars, by`` for distinct system prompts: short ones stay, others are cleaned,
     and summarised only where cleaning saves no more than ``enough``."""
     distinct = prompts.select("text").distinct().withColumn("hash", F.md5("text")).withColumn("original_chars", F.length("text"))
-    cleaned = distinct.withColumn("clean", t.collapse_whitespace(t.strip_timestamps(t.strip_ansi(t.unix_lines(F.col("text"))))))
+    cleaned = distinct.join(clean(distinct, id_col="hash").select(F.col("block_id").alias("hash"), F.col("text").alias("clean")), "hash")
     saves = 1 - F.length("clean") / F.col("original_chars")
     marked = cleaned.withColumn("by", F.when(F.col("original_chars") < min_len, "untouched").when(saves > enough, "clean").otherwise("summary"))
-    made = summarise(marked.where("by = 'summary'").select(F.col("clean").alias("text")), fn).select(F.col("hash").alias("_h"), "summary")
+    made = summarise(marked.where("by = 'summary'").select(F.col("clean").alias("text")), fn, PROMPT_INPUT).select(F.col("hash").alias("_h"), "summary")
     out = marked.join(made, (F.col("by") == "summary") & (F.md5("clean") == F.col("_h")), "left")
     text = F.when(F.col("by") == "untouched", F.col("text")).when(F.col("by") == "clean", F.col("clean")).otherwise(F.coalesce("summary", "clean"))
     return out.select("hash", text.alias("text"), "original_chars", F.length(text).alias("compact_chars"), "by")
 
 
 def compact_conversations(blocks: DataFrame, cfg: CompactionConfig = CompactionConfig(), summaries: DataFrame | None = None, fn=None) -> tuple[DataFrame, DataFrame]:
-    """Compacted blocks and a row of savings for each block, by one source: dedup, clean, prose or summary."""
+    """Compacted blocks and a row of savings for each block, by one source: dedup, summary, clean, prose or input.
+
+    A conversation's pressure sets the size threshold and tightens the rules. ``overhead`` is the length of the tag in front of a
+    summary. Where the shapes differ in what they spare, ``cfg.for_shape`` says so."""
     from txcompact.operators.rules import compact_blocks
 
-    keyed = blocks.withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part"))
-    ok = eligible(keyed, cfg).select("block_id").withColumn("_ok", F.lit(True))
-    dup = dedup_blocks(keyed.where("kind = 'tool_result' and not skip"), min_len=cfg.dedup_min).select("block_id", "kept_ref")
-    rules = compact_blocks(keyed.where("kind = 'tool_result'")).select("block_id", F.col("text").alias("_rules"))
-    chosen = select_candidates(keyed, cfg).select("block_id", "text", F.md5("text").alias("hash"))
+    keyed = with_pressure(blocks.withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")), cfg.context_chars)
+    results, plain = keyed.where("kind = 'tool_result'"), keyed.drop("pressure")
+    ok = eligible(plain, cfg).select("block_id").withColumn("_ok", F.lit(True))
+    kept = F.when(F.col("kept_ref").isNotNull(), F.substring("hash", 1, cfg.ref_chars))
+    dup = dedup_blocks(plain.where("kind = 'tool_result' and not skip"), min_len=cfg.dedup_min).select("block_id", kept.alias("kept_ref"))
+    rules = compact_blocks(results, pressure=F.col("pressure")).select("block_id", F.col("text").alias("_rules"))
+    chosen = select_candidates(plain, cfg).select("block_id", "text", F.md5("text").alias("hash"))
     known = summaries.select("hash", "summary") if summaries is not None else None
     todo = chosen if known is None else chosen.join(known, "hash", "left_anti")
     made = summarise(todo, fn).select("hash", "summary")
     have = made if known is None else made.unionByName(known)
     summed = chosen.join(have, "hash").where("summary is not null").select("block_id", F.col("hash").alias("_hash"), "summary")
-    old = prose_candidates(keyed, "assistant", cfg.keep_recent, cfg.prose_min).unionByName(prose_candidates(keyed, "user", 1, cfg.prose_min)).select("block_id").withColumn("_prose", F.lit(cfg.prose))
-    all_ = keyed
-    for part in (ok, dup, rules, summed, old):
+    old = prose_candidates(plain, MODEL_ROLES, cfg.prose_recent, cfg.prose_min).unionByName(prose_candidates(plain, "user", 1, cfg.prose_min))
+    prose = clean_prose_blocks(old).withColumnRenamed("text", "_prose")
+    inputs = clean_tool_inputs(plain, cfg.keep_recent).withColumnRenamed("text", "_input")
+    all_ = plain
+    for part in (ok, dup, rules, summed, prose, inputs):
         all_ = all_.join(part, "block_id", "left")
-    original = F.col("text")
-    short = tagged(F.substring("_hash", 1, 6), F.col("summary"), F.length(original), cfg.tag)
-    by = F.when(F.col("_ok").isNull(), "none").when(F.col("kept_ref").isNotNull(), "dedup").when(F.col("summary").isNotNull() & (F.length(short) < F.length(original)), "summary").when(F.col("_rules").isNotNull() & (F.col("kind") == "tool_result"), "clean").when(F.col("_prose") & (F.col("kind") == "text"), "prose").otherwise("none")
-    text = F.when(F.col("by") == "dedup", placeholder(F.col("tool"), F.col("kept_ref"), cfg.tag)).when(F.col("by") == "summary", short).when(F.col("by") == "clean", F.col("_rules")).when(F.col("by") == "prose", t.clean_prose(original)).otherwise(original)
-    out = all_.withColumn("by", by).withColumn("_new", text)
-    savings = out.select("conv_id", "turn", "part", "tool", F.col("by").alias("source"), F.length("text").alias("original_chars"), F.length("_new").alias("compact_chars"), (F.length("text") - F.length("_new")).alias("saved_chars"))
+    original, by = F.col("text"), F.col("by")
+    short = tagged(F.substring("_hash", 1, cfg.ref_chars), F.col("summary"), F.length(original), cfg.tag)
+    source = (
+        F.when(F.col("_ok").isNull(), "none")
+        .when(F.col("kept_ref").isNotNull(), "dedup")
+        .when(F.col("summary").isNotNull() & (F.length(short) < F.length(original)), "summary")
+        .when(F.col("_rules").isNotNull(), "clean")
+        .when(F.lit(cfg.prose) & F.col("_prose").isNotNull(), "prose")
+        .when(F.lit(cfg.prose) & F.col("_input").isNotNull(), "input")
+        .otherwise("none")
+    )
+    text = F.when(by == "dedup", placeholder(F.col("tool"), F.col("kept_ref"), cfg.tag)).when(by == "summary", short).when(by == "clean", F.col("_rules")).when(by == "prose", F.col("_prose")).when(by == "input", F.col("_input")).otherwise(original)
+    out = all_.withColumn("by", source).withColumn("_new", text)
+    overhead = F.when(by == "summary", F.length("_new") - F.length("summary")).otherwise(0)
+    sizes = F.length("text").alias("original_chars"), F.length("_new").alias("compact_chars"), (F.length("text") - F.length("_new")).alias("saved_chars")
+    savings = out.select("conv_id", "turn", "part", "tool", by.alias("source"), *sizes, overhead.alias("overhead"))
     return out.select("conv_id", "turn", "part", "kind", "role", "tool", "call_id", F.col("_new").alias("text"), "skip"), savings
 
 

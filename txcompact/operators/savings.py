@@ -182,3 +182,13 @@ def upsert_sessions(history: DataFrame, current: DataFrame) -> DataFrame:
 def next_reset(limit_events: DataFrame, now: Column, by: str = "client") -> DataFrame:
     """The least reset time after ``now``; null if there is none."""
     return limit_events.groupBy(by).agg(F.min(F.when(F.col("reset_ts") > now, F.col("reset_ts"))).alias("next_ts"))
+
+
+def period_cost(requests: DataFrame, prices: DataFrame, unit: str = "month") -> DataFrame:
+    """``<unit>, requests, saved_chars, saved_cost``: the saved cost of all requests by their models' prices, divided among the
+    periods by what each of them saved."""
+    total = model_cost(requests, prices).agg(F.sum("saved").alias("_cost"))
+    per = requests.groupBy(F.date_trunc(unit, "ts").cast("date").alias(unit)).agg(F.count(F.lit(1)).alias("requests"), F.sum("saved_chars").alias("saved_chars"))
+    whole = per.agg(F.sum("saved_chars").alias("_all"))
+    both = per.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(whole))  # one row each
+    return both.select(unit, "requests", "saved_chars", F.when(F.col("_all") != 0, F.col("_cost") * F.col("saved_chars") / F.col("_all")).otherwise(0.0).alias("saved_cost"))

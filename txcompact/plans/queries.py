@@ -187,8 +187,8 @@ def truncation_audit(spark, sf_dir):
 
 @query()
 def pattern_coverage(spark, sf_dir):
-    """How often each rule fires, documents taken for command output. Literal fixtures test the rules themselves."""
-    return rules.coverage(rules.classify(document_blocks(spark, sf_dir).withColumn("tool", F.lit("bash"))))
+    """How often each rule fires, documents taken for command output. ``rule_coverage`` counts rules on output of commands."""
+    return rules.coverage(rules.classify(document_blocks(spark, sf_dir).withColumn("tool", F.lit("bash")))).select("pattern", "n")
 
 
 @query()
@@ -198,11 +198,6 @@ def rule_compaction(spark, sf_dir):
     return rules.compact_blocks(document_blocks(spark, sf_dir).withColumn("tool", tool)).select("block_id", "pattern", "original_chars", "compact_chars", F.md5("text").alias("body"))
 
 
-@query()
-def clean_text(spark, sf_dir):
-    return clean(document_blocks(spark, sf_dir)).select("block_id", F.length("text").alias("chars"), F.md5("text").alias("body"))
-
-
 @query("SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(replace(text, ' des ', ' '), ' the ', ' in order to '), '(?i)\\bin order to\\b', 'to', 'g'), '  +', ' ', 'g')) AS body FROM conversations")
 def verbose_phrases(spark, sf_dir):
     """A verbose phrase is put into the texts and shortened again."""
@@ -307,13 +302,6 @@ def price_match_legacy(spark, sf_dir):
     return s.match_prices(requests(spark, sf_dir), prices(spark), legacy_order=True)
 
 
-@query(f"{REQ} SELECT CAST(date_trunc('month', ts) AS DATE)::VARCHAR AS month, count(*) AS requests, round(sum(saved_chars) / 3.5 * 3.0 / 1e6 * 1.0, 6) AS saved_cost, CAST(sum(saved_chars) AS DOUBLE) / sum(sum(saved_chars)) OVER () AS share FROM req GROUP BY 1")
-def cost_period_scaled(spark, sf_dir):
-    """A flat cost by month, and each month's share of all saving."""
-    per = requests(spark, sf_dir).groupBy(F.trunc(F.to_date("ts"), "month").cast("string").alias("month")).agg(F.count(F.lit(1)).alias("requests"), F.sum("saved_chars").alias("x"))
-    return per.select("month", "requests", F.round(F.col("x") / 3.5 * 3.0 / 1e6 * 1.0, 6).alias("saved_cost"), (F.col("x") / F.sum("x").over(Window.partitionBy())).alias("share"))
-
-
 @query(f"{REQ} SELECT CAST(hour(ts) // 5 AS BIGINT) AS bucket, {TOTAL}, {PERCENT} FROM req GROUP BY 1")
 def slots_5h(spark, sf_dir):
     return s.savings_over_time(requests(spark, sf_dir), s.slot(F.col("ts")))
@@ -324,15 +312,6 @@ def week_sunday(spark, sf_dir):
     return s.savings_over_time(requests(spark, sf_dir), s.week_start(F.col("ts")).cast("string"))
 
 
-@query(f"{REQ}, spine AS (SELECT unnest(generate_series((SELECT min(ts) FROM req)::DATE, (SELECT max(ts) FROM req)::DATE, INTERVAL 1 DAY))::DATE AS day), d AS (SELECT ts::DATE AS day, count(*) AS n FROM req WHERE tool = 'purchase' AND session_id = '7' GROUP BY 1) SELECT spine.day::VARCHAR AS day, coalesce(n, 0) AS requests FROM spine LEFT JOIN d USING (day)")
-def day_spine(spark, sf_dir):
-    """Every day appears, with or without requests."""
-    r = requests(spark, sf_dir)
-    spine = r.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    per = r.where("tool = 'purchase' and session_id = '7'").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return spine.join(per, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("requests"))
-
-
 @query(f"{REQ}, c AS (SELECT session_id, CASE tool WHEN 'view' THEN 'read' WHEN 'click' THEN 'bash' ELSE tool END AS tool, original_chars AS hash, original_chars, saved_chars, request_id % 3 > 0 AS hit FROM req), p AS (SELECT session_id, count(*) FILTER (tool = 'read') AS r, count(*) FILTER (tool = 'bash') AS b, count(*) FILTER (tool = 'read') - count(DISTINCT hash) FILTER (tool = 'read') AS d, sum(saved_chars) FILTER (tool = 'read') AS s, sum(original_chars) FILTER (tool = 'read') AS o, avg(CAST(hit AS INT)) AS h FROM c GROUP BY session_id), f AS (SELECT session_id, list_filter([CASE WHEN r > 20 THEN 'reads_red' WHEN r > 5 THEN 'reads' END, CASE WHEN d > 0 THEN 'repeated_reads' END, CASE WHEN b > 30 THEN 'bash' END, CASE WHEN r > 3 AND s * 10 < o THEN 'reads_save_little' END, CASE WHEN h > 0.5 THEN 'cache_works' END], lambda x: x IS NOT NULL) AS fs FROM p) SELECT session_id, unnest(CASE WHEN len(fs) = 0 THEN ['none'] ELSE fs END) AS flag FROM f")
 def habit_flags(spark, sf_dir):
     calls = requests(spark, sf_dir).withColumn("tool", F.when(F.col("tool") == "view", "read").when(F.col("tool") == "click", "bash").otherwise(F.col("tool"))).withColumn("hash", F.col("original_chars")).withColumn("hit", F.col("request_id") % 3 > 0)
@@ -367,16 +346,16 @@ def outage_streaks(spark, sf_dir):
 
 
 def known_summaries(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.md5("text").alias("hash"), F.substring("text", 1, 20).alias("summary")).dropDuplicates(["hash"])
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select(F.md5("text").alias("hash"), F.upper("text").alias("summary")).dropDuplicates(["hash"])
 
 
-KNOWN = "k AS (SELECT md5(text) AS hash, any_value(substr(text, 1, 20)) AS summary FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)"
+KNOWN = "k AS (SELECT md5(text) AS hash, any_value(md5(upper(text))) AS summary FROM documents WHERE lang = 'en' GROUP BY 1)"
 
 
 @query(f"WITH {KNOWN} SELECT doc_id, md5(text) AS hash, summary FROM documents JOIN k ON md5(text) = hash")
 def cache_hits_join(spark, sf_dir):
     hits, _ = c.split_known(read(spark, sf_dir, "documents").select("doc_id", "text"), known_summaries(spark, sf_dir))
-    return hits.select("doc_id", "hash", "summary")
+    return hits.select("doc_id", "hash", F.md5("summary").alias("summary"))
 
 
 @query(f"WITH {KNOWN} SELECT doc_id, md5(text) AS hash FROM documents WHERE md5(text) NOT IN (SELECT hash FROM k)")
@@ -419,16 +398,3 @@ def reinflate(spark, sf_dir):
     kept = docs.withColumn("ref", t.content_id(F.col("text"))).join(unique.select(F.col("block_id6").alias("ref")), "ref", "left_anti").select("doc_id", "text")
     tagged = short.join(kept.select("doc_id"), "doc_id", "left_anti").unionByName(kept)
     return c.reinflate(tagged, unique).select("doc_id", F.md5("text").alias("body"))
-
-
-@query()
-def compacted_conversations(spark, sf_dir):
-    """Whole conversations: dedup, rules, prose and summaries, with the source of every saving."""
-    _, saved = c.compact_conversations(blocks(spark, sf_dir), CompactionConfig(context_chars=SMALL, prose_min=200))
-    return saved.groupBy("source").agg(F.count(F.lit(1)).alias("blocks"), F.sum("original_chars").alias("original_chars"), F.sum("compact_chars").alias("compact_chars"))
-
-
-@query("SELECT how AS \"by\", count(*) AS prompts FROM (SELECT DISTINCT text, CASE WHEN length(text) < 300 THEN 'untouched' ELSE 'summary' END AS how FROM conversations WHERE role = 'system') GROUP BY how")
-def system_prompts(spark, sf_dir):
-    prompts = read(spark, sf_dir, "conversations").where("role = 'system'")
-    return c.compact_prompts(prompts, min_len=300).groupBy("by").agg(F.count(F.lit(1)).alias("prompts"))

@@ -117,15 +117,6 @@ def tool_inputs(spark, sf_dir):
     return tool_input_fields(calls).select("conv_id", "tool", "field", F.md5("value").alias("value_md5"))
 
 
-@query("WITH s AS (SELECT DISTINCT substr(md5(text), 1, 6) AS id FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, s.id IS NOT NULL AS found FROM documents LEFT JOIN s ON substr(md5(text), 1, 6) = s.id")
-def expand_lookups(spark, sf_dir):
-    """Calls that ask for a stored text, half of which are in the store."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    calls = docs.select("doc_id", F.lit("expand").alias("name"), F.to_json(F.struct(t.content_id(F.col("text")).alias("id"))).alias("input"))
-    store = c.build_store(docs.where("doc_id % 2 = 0")).dropDuplicates(["block_id6"])
-    return c.expand_calls(calls, store).select("doc_id", "found")
-
-
 PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '')"
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,20 +15,23 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (found or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
 
 
-def available(result: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """All rows that a streaming ``result`` gives. In mode ``update`` a key's row of the last batch counts."""
+def available(result: DataFrame, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """All rows that a streaming ``result`` gives, each micro-batch put through ``each``. In mode ``update`` a key's row of the last batch counts."""
     spark = result.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        each(rows).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     run = result.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    spark.createDataFrame([], result.schema).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
+    each(spark.createDataFrame([], result.schema)).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
     rows = spark.read.parquet(f"{at}/rows")
     if mode != "update":
         return rows.drop("batch")
