@@ -7,7 +7,7 @@ the order is. Shingles that many prefixes hold come last in it. Candidates are l
 more hashes in each prefix than that, as shingles may share them. Of a pair in the same posting list an upper bound of the overlap
 (least counts in 128 buckets) must reach what 0.8 needs, then the same bound over buckets as many as half of the longer set; what
 is left is intersected exactly, on sets that are made anew from the texts in question. A first round links each list's members
-with its least one, a second compares only members that are in different components by then, in lists that hold several. Lists
+with that one whose lists hold most sets (of a group of copies the one they come from, which has all they share), a second compares only members that are in different components by then, in lists that hold several. Lists
 above ``LIST_LIMIT`` sets are dealt in square cells, so that any two of their sets meet in some cell.
 
 Defined results: null, empty and blank texts have no shingles and are equal; a text of fewer than five words is one shingle.
@@ -156,10 +156,12 @@ def _may_be_near(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray
     return ok
 
 
-def _stars(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, *_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The least set of each list with all others of it."""
+def _stars(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, weight: np.ndarray, *_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The heaviest set of each list (the least of several) with all others of it."""
     sizes = np.diff(np.r_[starts, len(h)])
-    x, y = np.repeat(starts, sizes), np.arange(len(h))
+    own = np.repeat(np.arange(len(starts)), sizes)
+    hub = np.lexsort((sid, -weight, own))[starts]
+    x, y = np.repeat(hub, sizes), np.arange(len(h))
     yield x[x != y], y[x != y]
 
 
@@ -270,8 +272,9 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFra
     last = np.sort(np.array([r.h for r in often.collect()], np.int32))
     lists = stored(shared_lists(postings(sets, last)), "shared-lists")
     facts = stored(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "set-facts")
-    lists = stored(lists.join(facts, "sid"), "posting-lists")
-    first = stored(confirmed(stored(candidates(lists, _stars, ["h"], []), "star-pairs"), docs, texts), "star-links")
+    weights = stored(lists.groupBy("sid").agg(F.sum("size").alias("weight")).join(facts, "sid"), "weights")
+    lists = stored(lists.join(weights, "sid"), "posting-lists")
+    first = stored(confirmed(stored(candidates(lists, _stars, ["h"], ["weight"]), "star-pairs"), docs, texts), "star-links")
     roots = components(first).select(F.col("node").alias("sid"), "root")
     cells = F.when(F.col("size") > LIST_LIMIT, F.ceil(F.col("size") * 2 / LIST_LIMIT)).otherwise(F.lit(1)).cast("int")
     rooted = stored(lists.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted-lists")
