@@ -125,3 +125,36 @@ def test_near_copies_of_similarity_four_fifths_go_and_one_row_stays(spark, monke
         assert got.columns == docs.columns
         assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == want
     assert linked > 12
+
+
+def test_each_pair_of_the_second_round_is_given_once_and_none_is_lost(spark):
+    import random
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from txcompact.llm import near_copies as nc
+
+    rng = random.Random(3)
+    of = {sid: sorted(rng.sample(range(60), 30)) for sid in range(40)}
+    counts = bytes([1] * nc.BUCKETS)
+    rows = [(h, sid, 0, 0, 0, 128, counts, sid % 7, (hs + [nc.NO_HASH] * nc.CARRIED)[: nc.CARRIED]) for sid, hs in of.items() for h in hs]
+    kinds = "h int, sid long, i int, j int, c int, n int, counts binary, root long, least array<int>"
+    lists = spark.createDataFrame(rows, kinds).repartition(5)
+    want = sorted((a, b) for a, b in itertools.combinations(of, 2) if a % 7 != b % 7 and set(of[a]) & set(of[b]))
+    for given in (lists, lists.drop("least"), lists.withColumn("least", F.array_repeat(F.lit(nc.NO_HASH), nc.CARRIED))):
+        got = nc.candidates(given, nc._across, ["h", "i", "j"], ["root", "c"])
+        assert sorted(map(tuple, got.collect())) == want
+    # Without the final distinct the pairs that carry a common hash come once.
+    h = nc.np.array([5, 9, 9], nc.np.int32)
+    least = nc.np.array([[5, 9], [5, 9], [9, nc.NO_HASH]], nc.np.int32)
+    at = lambda *x: nc.np.array(x)
+    assert nc._met_before(h, least, at(1, 1, 0), at(0, 2, 2)).tolist() == [True, False, False]
+
+
+def test_a_chain_of_drifting_texts_is_one_group(spark):
+    words = [f"d{zlib.crc32(str(k).encode()) % 100000}" for k in range(700)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(60)] + [(100 + i, " ".join(words[400 + 60 * i : 500 + 60 * i])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 100, 101, 102, 103]

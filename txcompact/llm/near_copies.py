@@ -7,8 +7,9 @@ the order is. Shingles that many prefixes hold come last in it. Candidates are l
 more hashes in each prefix than that, as shingles may share them. Of a pair in the same posting list an upper bound of the overlap
 (least counts in 128 buckets) must reach what 0.8 needs, then the same bound over buckets as many as half of the longer set; what
 is left is intersected exactly, on sets that are made anew from the texts in question. A first round links each list's members
-with that one whose lists hold most sets (of a group of copies the one they come from, which has all they share), a second compares only members that are in different components by then, in lists that hold several. Lists
-above ``LIST_LIMIT`` sets are dealt in square cells, so that any two of their sets meet in some cell.
+with that one whose lists hold most sets (of a group of copies the one they come from, which has all they share), a second compares only members that are in different components by then, in lists that hold several. Each set
+carries the least hashes of its lists there: two sets are compared in the first list that they share as far as these tell, and not
+again in others. Lists above ``LIST_LIMIT`` sets are dealt in square cells, so that any two of their sets meet in some cell.
 
 Defined results: null, empty and blank texts have no shingles and are equal; a text of fewer than five words is one shingle.
 """
@@ -30,6 +31,8 @@ BUCKETS = 128
 #: A shingle in more prefixes than this goes last in the order; the order holds so many of them at most. Neither changes results.
 FREQUENT, MOST_FREQUENT = 64, 100_000
 LIST_LIMIT = 1024
+#: So many least hashes of its lists a set carries; fewer make more repeated pairs, not other results.
+CARRIED, NO_HASH = 16, 2**31 - 1
 #: Up to so many ids of sets to be intersected are broadcast, which saves a shuffle of all sets.
 MOST_ASKED = 500_000
 
@@ -156,6 +159,13 @@ def _may_be_near(n: np.ndarray, counts: np.ndarray, x: np.ndarray, y: np.ndarray
     return ok
 
 
+def _met_before(h: np.ndarray, least: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """True where the sets of rows x and y carry a common hash below that of the list they are in."""
+    own, other = least[x], least[y]
+    below = np.where(own < h[x][:, None], own, NO_HASH)
+    return ((below[:, :, None] == other[:, None, :]) & (below != NO_HASH)[:, :, None]).any(axis=(1, 2))
+
+
 def _stars(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, starts: np.ndarray, weight: np.ndarray, *_) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The heaviest set of each list (the least of several) with all others of it."""
     sizes = np.diff(np.r_[starts, len(h)])
@@ -183,27 +193,34 @@ def _across(h: np.ndarray, sid: np.ndarray, n: np.ndarray, counts: np.ndarray, s
 
 
 def candidates(lists: DataFrame, pick: Callable, keys: list[str], rest: list[str]) -> DataFrame:
-    """``a, b``: distinct pairs that ``pick`` gives and that may be near."""
+    """``a, b``: distinct pairs that ``pick`` gives and that may be near. With a column ``least`` a pair is given by the first of its lists."""
+    carried = ["least"] if "least" in lists.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole_groups(batches, len(keys), 20_000):
-            of = {name: rows.column(name).to_numpy() for name in rows.column_names if name != "counts"}
+            of = {name: rows.column(name).to_numpy() for name in rows.column_names if name not in ("counts", "least")}
             counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
             n, sid = of["n"].astype(np.int64), of["sid"]
             mixed = [of["i"] != of["j"]] if "i" in of else []
+            least = rows.column("least").combine_chunks().flatten().to_numpy().reshape(-1, CARRIED) if carried else None
             found = [np.empty((0, 2), np.int64)]
             for x, y in pick(of["h"], sid, n, counts, _starts(rows, len(keys)), *[of[c] for c in rest], *mixed):
                 for k in range(0, len(x), 100_000):
                     p, q = x[k : k + 100_000], y[k : k + 100_000]
                     ok = _may_be_near(n, counts, p, q)
-                    p, q = sid[p[ok]], sid[q[ok]]
+                    p, q = p[ok], q[ok]
+                    if carried:
+                        parts = [slice(i, i + 10_000) for i in range(0, len(p), 10_000)]
+                        again = np.concatenate([np.empty(0, bool), *[_met_before(of["h"], least, p[i], q[i]) for i in parts]])
+                        p, q = p[~again], q[~again]
+                    p, q = sid[p], sid[q]
                     found.append(np.column_stack([np.minimum(p, q), np.maximum(p, q)]))
                 if sum(map(len, found)) > 1_000_000:
                     found = [np.unique(np.concatenate(found), axis=0)]
             ab = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], names=["a", "b"])
 
-    dealt = lists.select(*keys, "sid", "n", "counts", *rest).repartition(*keys).sortWithinPartitions(*keys, "sid")
+    dealt = lists.select(*keys, "sid", "n", "counts", *rest, *carried).repartition(*keys).sortWithinPartitions(*keys, "sid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -272,8 +289,9 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFra
     last = np.sort(np.array([r.h for r in often.collect()], np.int32))
     lists = stored(shared_lists(postings(sets, last)), "shared-lists")
     facts = stored(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "set-facts")
-    weights = stored(lists.groupBy("sid").agg(F.sum("size").alias("weight")).join(facts, "sid"), "weights")
-    lists = stored(lists.join(weights, "sid"), "posting-lists")
+    least = F.slice(F.array_sort(F.concat(F.collect_list("h"), F.array_repeat(F.lit(NO_HASH), CARRIED))), 1, CARRIED)
+    weights = stored(lists.groupBy("sid").agg(F.sum("size").alias("weight"), least.alias("least")).join(facts, "sid"), "weights")
+    lists = stored(lists.join(weights.drop("least"), "sid"), "posting-lists")
     first = stored(confirmed(stored(candidates(lists, _stars, ["h"], ["weight"]), "star-pairs"), docs, texts), "star-links")
     roots = components(first).select(F.col("node").alias("sid"), "root")
     cells = F.when(F.col("size") > LIST_LIMIT, F.ceil(F.col("size") * 2 / LIST_LIMIT)).otherwise(F.lit(1)).cast("int")
@@ -281,6 +299,7 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFra
     several = rooted.groupBy("h").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("h")
     placed = (
         rooted.join(several, "h", "left_semi")
+        .join(weights.select("sid", "least"), "sid")
         .withColumn("m", cells)
         .withColumn("c", F.col("at") % F.col("m"))
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
