@@ -77,6 +77,20 @@ def test_outages_in_two_levels(skewed_log):
     assert sorted(map(tuple, s.outage_streaks(calls).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_alerts_of_a_hot_backend_over_three_batches(skewed_log):
+    calls = skewed_log.withColumnRenamed("key", "backend").where("ts is not null")
+    rows = sorted(calls.collect(), key=lambda r: (r.ts, r.event_id))
+    want, streak = [], {}
+    for r in rows:
+        streak[r.backend] = 0 if r.ok else streak.get(r.backend, 0) + 1
+        want += [(r.backend, r.ts)] if streak[r.backend] == 3 else []
+    cuts, got, left = [rows[700].ts, rows[1500].ts], [], None
+    for part in (F.col("ts") < cuts[0], (F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1]), F.col("ts") >= cuts[1]):
+        found, left = usage.failure_alerts()(calls.where(part), left)
+        got += [(r.backend, r.ts) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 100
+
+
 def test_dedup_of_a_hot_text(spark):
     rows = [(i, None if i % 5 == 0 else "x", "hot" * 100 if i % 3 else None if i % 6 else f"text {i} " * 50) for i in range(600)]
     blocks = spark.createDataFrame(rows, "turn int, conv_id string, text string")
@@ -97,7 +111,7 @@ def test_alerts_go_on_over_batches(spark, tmp_path):
         rows = [("b", start + dt.timedelta(minutes=10 * k + i), 10 * k + i, ok) for i, ok in enumerate(oks)]
         spark.createDataFrame(rows, "backend string, ts timestamp, event_id long, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema("backend string, ts timestamp, event_id long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = [(r.ts - start).seconds // 60 for r in available(usage.failure_alerts(source)).collect()]
+    got = [(r.ts - start).seconds // 60 for r in available(source, carry=usage.failure_alerts()).collect()]
     assert sorted(got) == [10, 22]
     totals = source.groupBy("backend").agg(F.count(F.lit(1)).alias("n"))
     assert [tuple(r) for r in available(totals, "update", ["backend"]).collect()] == [("b", 10)]

@@ -13,6 +13,7 @@ from txcompact.operators.clean import clean
 from txcompact.plans import queries
 from txcompact.sources.transcripts import SCHEMAS, to_blocks, tool_input_fields, usage_from_events
 from txcompact.streaming import usage
+from txcompact.streaming.run import available
 
 
 def rows(spark, shape, *docs):
@@ -118,7 +119,8 @@ def test_streams_equal_batches(spark, sf_dir, tmp_path):
     assert {r[:3] for r in streamed(spark, tmp_path, usage.usage_by_day, "complete")} == want
     slots = streamed(spark, tmp_path, usage.savings_by_slot, "complete")
     assert sum(r[2] for r in slots) == log.agg(F.sum("saved_chars")).first()[0]
-    alerts = streamed(spark, tmp_path, usage.failure_alerts, "append")
+    source = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+    alerts = available(source, carry=usage.failure_alerts()).collect()
     streaks = s.outage_streaks(log.withColumn("event_id", F.col("request_id"))).collect()
     assert len(alerts) == len(streaks)
 

@@ -21,17 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
 
 
-def available(result: DataFrame, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
-    """All rows that a streaming ``result`` gives, each micro-batch put through ``each``. In mode ``update`` a key's row of the last batch counts."""
+def available(result: DataFrame, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] = lambda rows: rows, carry: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """All rows that a streaming ``result`` gives, each micro-batch put through ``each``. In mode ``update`` a key's row of the last batch counts.
+
+    ``carry`` makes of a micro-batch and what the one before left (None at first) its rows and what it leaves itself, which
+    is stored by the batch's number."""
     spark = result.sparkSession
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(rows: DataFrame, number: int) -> None:
+        if carry:
+            rows, left = carry(rows, spark.read.parquet(f"{at}/left/{number - 1}") if number else None)
+            left.write.mode("overwrite").parquet(f"{at}/left/{number}")
         each(rows).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
     run = result.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    each(spark.createDataFrame([], result.schema)).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
+    none = spark.createDataFrame([], result.schema)
+    each(carry(none, None)[0] if carry else none).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
     rows = spark.read.parquet(f"{at}/rows")
     if mode != "update":
         return rows.drop("batch")

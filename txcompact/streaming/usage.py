@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from txcompact.operators.savings import slot
+from txcompact.operators.savings import slot, with_earlier
 
 
 def timed(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -36,24 +33,29 @@ def first_of_each(stream: DataFrame, keys: list[str], late: str = "1 hour") -> D
     return timed(stream, late).dropDuplicatesWithinWatermark(keys)
 
 
-def failure_alerts(stream: DataFrame, by: str = "backend", min_run: int = 3) -> DataFrame:
-    """A row when a backend's failures in sequence reach ``min_run``: ``by, ts, failures``.
-
-    A backend's calls of one micro-batch (three narrow columns) are put in order together, as Arrow cuts them anywhere; the
-    source's rate limits bound them. State is one number."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([f[["ts", "event_id", "ok"]] for f in frames]).sort_values(["ts", "event_id"])
-        ok = rows["ok"].fillna(False).astype(bool).to_numpy()
-        place = np.arange(len(ok))
-        last_ok = np.maximum.accumulate(np.where(ok, place, -1)) if len(ok) else place
-        before = state.get[0] if state.exists else 0
-        streak = np.where(ok, 0, place - last_ok + np.where(last_ok < 0, before, 0))
-        if len(ok):
-            state.update((int(streak[-1]),))
-        hit = rows[streak == min_run]
-        yield pd.DataFrame({by: [key[0]] * len(hit), "ts": hit["ts"].to_numpy(), "failures": np.full(len(hit), min_run, np.int32)})
-
-    kind = dict(stream.dtypes)[by]
-    calls = timed(stream.select(by, "ts", "event_id", "ok"))
-    return calls.groupBy(by).applyInPandasWithState(run, f"{by} {kind}, ts timestamp, failures int", "streak int", "append", GroupStateTimeout.NoTimeout)
+def failure_alerts(by: str = "backend", min_run: int = 3) -> Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]:
+    """For ``available``'s ``carry``: a row when a backend's failures in sequence reach ``min_run`` (``by, ts, failures``), and the
+    failures at the end of each backend's calls, up to ``min_run``, which later batches go on from.
+
+    Successes before a call are counted within hours and added up over hours, so no task holds a backend's calls together; of
+    a run's failures each hour gives its first ``min_run`` only."""
+
+    def run(calls: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        ok = F.coalesce(F.col("ok"), F.lit(False))
+        if before is None:
+            before = calls.select(by, F.lit(0).alias("streak")).limit(0)
+        before = before.withColumnRenamed(by, "_by")
+        same = F.col(by).eqNullSafe(F.col("_by"))
+        rows = with_earlier(calls.withColumn("ts", F.col("ts").cast("timestamp")), [by], "hour", F.sum(ok.cast("long")), F.sum)
+        so_far = Window.partitionBy(by, "_bucket").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        runs = rows.withColumn("_run", F.coalesce("_earlier", F.lit(0)) + F.sum(ok.cast("long")).over(so_far))
+        first = F.row_number().over(Window.partitionBy(by, "_bucket", "_run").orderBy("ts", "event_id"))
+        few = runs.where(~ok).withColumn("_k", first).where(F.col("_k") <= min_run)
+        place = F.row_number().over(Window.partitionBy(by, "_run").orderBy("ts", "event_id")) + F.when(F.col("_run") == 0, F.coalesce("streak", F.lit(0))).otherwise(0)
+        alerts = few.join(before, same, "left").withColumn("_place", place).where(F.col("_place") == min_run)
+        last = runs.groupBy(by, "_run").agg(F.count_if(~ok).alias("failures")).groupBy(by).agg(F.max(F.struct("_run", "failures")).alias("last"))
+        streak = F.coalesce("last.failures", F.lit(0)) + F.when(F.coalesce("last._run", F.lit(0)) == 0, F.coalesce("streak", F.lit(0))).otherwise(0)
+        state = last.join(before, same, "full").select(F.when(F.col("last").isNull(), F.col("_by")).otherwise(F.col(by)).alias(by), F.least(streak, F.lit(min_run)).cast("int").alias("streak"))
+        return alerts.select(by, "ts", F.lit(min_run).alias("failures")), state
+
+    return run
