@@ -346,10 +346,10 @@ def outage_streaks(spark, sf_dir):
 
 
 def known_summaries(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where("lang = 'en'").select(F.md5("text").alias("hash"), F.upper("text").alias("summary")).dropDuplicates(["hash"])
+    return read(spark, sf_dir, "documents").where("lang = 'en'").select(F.md5("text").alias("hash"), F.concat(F.lit("known: "), "text").alias("summary")).dropDuplicates(["hash"])
 
 
-KNOWN = "k AS (SELECT md5(text) AS hash, any_value(md5(upper(text))) AS summary FROM documents WHERE lang = 'en' GROUP BY 1)"
+KNOWN = "k AS (SELECT md5(text) AS hash, any_value(md5('known: ' || text)) AS summary FROM documents WHERE lang = 'en' GROUP BY 1)"
 
 
 @query(f"WITH {KNOWN} SELECT doc_id, md5(text) AS hash, summary FROM documents JOIN k ON md5(text) = hash")
