@@ -131,3 +131,19 @@ def test_islands_of_lines(spark):
     kept = ln.keep_islands(lines, F.col("line") == "start", F.col("line").isin("stop", ""))
     assert ln.to_texts(kept).first().text == "start\nbody\nstart\nmore"
     assert ln.to_texts(ln.dedup_lines(ln.to_lines(spark.createDataFrame([(1, "a\na\na\nb\na")], "block_id int, text string")), consecutive_only=True)).first().text == "a\n  ... [repeated 2 more times]\nb\na"
+
+
+def test_money_and_counted_requests(spark):
+    got = [r.x for r in spark.createDataFrame([(0.0,), (None,), (0.004,), (0.01,), (1.5,), (12.345,), (1234.999,)], "d double").select(t.money(F.col("d")).alias("x")).collect()]
+    assert got == ["—", "—", "<$0.01", "$0.01", "$1.50", "$12.35", "$1235.00"]
+    rows = [("a", 0, 5), ("a", 1, 0), ("b", 0, 5), ("b", 0, 0), (None, 0, 5)]
+    usage_ = spark.createDataFrame(rows, "client string, input_tokens long, output_tokens long").withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
+    assert {r.client: r.requests for r in s.usage_daily(usage_, F.col("client") == "b").collect()} == {"a": 1, "b": 1, None: 0}
+
+
+def test_overrides_bypasses_and_shares(spark):
+    rows = spark.createDataFrame([(1, "x", 10), (2, "y", 0), (None, "z", 5)], "id int, project string, saved_chars long")
+    named = s.override_projects(rows, spark.createDataFrame([(1, "mine"), (7, "none")], "id int, manual string"), "id")
+    assert {r.id: r.project for r in named.collect()} == {1: "mine", 2: "y", None: "z"}
+    assert {r.id: r.saved_chars for r in s.bypass(rows, F.col("id") == 1).collect()} == {1: 0, 2: 0, None: 5}
+    assert {r.project: r.share_of_max for r in s.with_share(rows.withColumn("dim", F.lit("project"))).collect()} == {"x": 1.0, "y": 0.0, "z": 0.5}

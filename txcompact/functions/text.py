@@ -86,12 +86,17 @@ def minify_json(x: Column) -> Column:
     return F.when(~x.contains("{"), x).otherwise(F.aggregate(found, x, lambda acc, m: F.coalesce(F.replace(acc, m, F.to_json(F.try_parse_json(m))), acc)))
 
 
+def short_phrases(x: Column) -> Column:
+    """Verbose phrases by short ones."""
+    for phrase, short in VERBOSE:
+        x = F.regexp_replace(x, rf"(?i)\b{phrase}\b", short)
+    return x
+
+
 def shorten_prose(x: Column) -> Column:
     """Discourse markers, verbose phrases and emphasis go."""
     x = F.regexp_replace(F.regexp_replace(x, OPENERS, "$1"), MARKERS, "")
-    for phrase, short in VERBOSE:
-        x = F.regexp_replace(x, rf"(?i)\b{phrase}\b", short)
-    x = F.regexp_replace(F.regexp_replace(x, r"\*\*([^*\n]+)\*\*", "$1"), r"(?<!\w)_([^_\n]+)_(?!\w)", "$1")
+    x = F.regexp_replace(F.regexp_replace(short_phrases(x), r"\*\*([^*\n]+)\*\*", "$1"), r"(?<!\w)_([^_\n]+)_(?!\w)", "$1")
     return F.regexp_replace(F.regexp_replace(x, r"  +", " "), r" +([.,;:!?])", "$1")
 
 
@@ -194,6 +199,13 @@ def short_number(n: Column) -> Column:
     return F.when(n.isNull(), "—").when(n >= 1_000_000, F.concat(one(1_000_000), F.lit("M"))).when(n >= 1000, F.concat(one(1000), F.lit("k"))).otherwise(half_up(n.cast("double")).cast("string"))
 
 
+def money(dollars: Column) -> Column:
+    """``$1.50``; less than a cent as ``<$0.01``; nothing as a dash."""
+    cents = F.floor(dollars * 100 + 0.5)
+    shown = F.concat(F.lit("$"), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(dollars.isNull() | (dollars == 0), "—").when(dollars < 0.01, "<$0.01").otherwise(shown)
+
+
 def uptime(seconds: Column) -> Column:
     whole = lambda x: F.floor(x).cast("string")
     return F.when(seconds < 60, F.concat(whole(seconds), F.lit("s"))).when(seconds < 3600, F.concat(whole(seconds / 60), F.lit("m "), (seconds % 60).cast("string"), F.lit("s"))).otherwise(F.concat(whole(seconds / 3600), F.lit("h "), whole((seconds % 3600) / 60), F.lit("m")))

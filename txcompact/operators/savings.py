@@ -22,6 +22,22 @@ def savings_by(requests: DataFrame, dims: list[str]) -> DataFrame:
     )
 
 
+def with_share(found: DataFrame) -> DataFrame:
+    """Rows of ``savings_by`` with ``share_of_max``: their saving by the greatest of their dimension."""
+    most = F.max("saved_chars").over(Window.partitionBy("dim"))
+    return found.withColumn("share_of_max", F.when(most > 0, F.col("saved_chars") / most).otherwise(0.0))
+
+
+def bypass(requests: DataFrame, bypassed: Column) -> DataFrame:
+    """A bypassed request goes through as it is: it counts and saves nothing."""
+    return requests.withColumn("saved_chars", F.when(bypassed, 0).otherwise(F.col("saved_chars")))
+
+
+def override_projects(rows: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """``project`` as ``overrides`` (``key, manual``) name it, else as it is."""
+    return rows.join(overrides.select(key, "manual"), key, "left").withColumn("project", F.coalesce("manual", "project")).drop("manual")
+
+
 def with_earlier(rows: DataFrame, keys: list[str], unit: str, of_bucket: Column, of_earlier) -> DataFrame:
     """Adds ``_bucket`` (``ts`` cut to ``unit``) and ``_earlier``: what all earlier buckets of the row's keys amount to.
 
@@ -125,9 +141,16 @@ def limits_latest(limit_events: DataFrame) -> DataFrame:
     return latest.withColumn("used_percent", used).withColumn("severity", F.when(F.col("used_percent") > 90, "crit").when(F.col("used_percent") > 70, "warn").otherwise("ok"))
 
 
-def usage_daily(usage: DataFrame) -> DataFrame:
-    """Tokens by client and UTC day; a request counts if it has input."""
-    return usage.groupBy("client", F.to_date("ts").alias("day")).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.col("input_tokens") > 0).alias("requests"))
+def usage_daily(usage: DataFrame, any_tokens: Column | None = None) -> DataFrame:
+    """Tokens by client and UTC day; a request counts if it has input or, where ``any_tokens`` holds, any tokens."""
+    counts = F.col("input_tokens") > 0
+    if any_tokens is not None:
+        counts = counts | (any_tokens & (F.col("output_tokens") > 0))
+    return usage.groupBy("client", F.to_date("ts").alias("day")).agg(
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"),
+        F.count_if(counts).alias("requests"),
+    )
 
 
 def outage_streaks(calls: DataFrame, by: str = "backend", min_run: int = 3, unit: str = "hour") -> DataFrame:

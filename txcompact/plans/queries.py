@@ -180,9 +180,17 @@ def diff_context(spark, sf_dir):
     return kept.groupBy("block_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("places"))
 
 
-@query("SELECT CASE WHEN len(string_split(text, chr(10))) > 80 THEN 'cut' ELSE 'whole' END AS kind, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
+CUT = """WITH d AS (SELECT len(string_split(text, chr(10))) AS k FROM documents WHERE text IS NOT NULL)
+SELECT CASE WHEN k > 80 THEN 'cut' ELSE 'whole' END AS kind, count(*) AS n, CAST(sum(CASE WHEN k > 80 THEN 30 ELSE k END) AS BIGINT) AS lines FROM d GROUP BY 1"""
+
+
+@query(CUT)
 def truncation_audit(spark, sf_dir):
-    return document_blocks(spark, sf_dir).where("text is not null").groupBy(F.when(F.size(F.split("text", "\n")) > 80, "cut").otherwise("whole").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Texts that a cut to their first 20 and last 10 lines shortens, those that it leaves whole, and the lines that stay."""
+    kept = ln.head_tail(ln.to_lines(document_blocks(spark, sf_dir)), 20, 10, 80)
+    notes = F.count_if(F.col("pos") % 2 == 1)
+    per = kept.groupBy("block_id").agg(notes.alias("notes"), (F.count(F.lit(1)) - notes).alias("lines"))
+    return per.groupBy(F.when(F.col("notes") > 0, "cut").otherwise("whole").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("lines").alias("lines"))
 
 
 @query()
@@ -198,13 +206,22 @@ def rule_compaction(spark, sf_dir):
     return rules.compact_blocks(document_blocks(spark, sf_dir).withColumn("tool", tool)).select("block_id", "pattern", "original_chars", "compact_chars", F.md5("text").alias("body"))
 
 
-@query("SELECT conv_id, turn, md5(regexp_replace(regexp_replace(replace(replace(text, ' des ', ' '), ' the ', ' in order to '), '(?i)\\bin order to\\b', 'to', 'g'), '  +', ' ', 'g')) AS body FROM conversations")
+def _short_phrases_sql(text: str) -> str:
+    for phrase, short in t.VERBOSE:
+        text = f"regexp_replace({text}, '(?i)\\b{phrase}\\b', '{short}', 'g')"
+    return text
+
+
+PHRASES = "[" + ", ".join(f"'{phrase}'" for phrase, _ in t.VERBOSE) + "]"
+GROWN = f"replace(text, ' the ', ' ' || {PHRASES}[turn % {len(t.VERBOSE)} + 1] || ' ')"
+
+
+@query(f"SELECT conv_id, turn, md5({_short_phrases_sql(GROWN)}) AS body FROM conversations")
 def verbose_phrases(spark, sf_dir):
-    """A verbose phrase is put into the texts and shortened again."""
-    grown = blocks(spark, sf_dir).withColumn("text", F.replace(F.replace("text", F.lit(" des "), F.lit(" ")), F.lit(" the "), F.lit(" in order to ")))
-    phrase, short = t.VERBOSE[0]
-    out = F.regexp_replace(F.regexp_replace("text", rf"(?i)\b{phrase}\b", short), "  +", " ")
-    return grown.select("conv_id", F.col("turn").cast("long").alias("turn"), F.md5(out).alias("body"))
+    """Every verbose phrase in turn is put into the texts and shortened again."""
+    phrase = F.get(F.array(*[F.lit(p) for p, _ in t.VERBOSE]), F.col("turn") % len(t.VERBOSE))
+    grown = blocks(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" the "), F.concat(F.lit(" "), phrase, F.lit(" "))))
+    return grown.select("conv_id", F.col("turn").cast("long").alias("turn"), F.md5(t.short_phrases(F.col("text"))).alias("body"))
 
 
 TOTAL = "count(*) AS requests, CAST(sum(original_chars) AS BIGINT) AS original_chars, CAST(sum(saved_chars) AS BIGINT) AS saved_chars"
@@ -325,10 +342,15 @@ def limits_latest_sticky(spark, sf_dir):
     return s.limits_latest(e.select(F.concat(F.lit("c"), (F.col("user_id") % 10).cast("string")).alias("client"), "ts", "event_id", F.when(F.col("event_type") == "view", 0).otherwise(1000 + F.col("user_id")).alias("limit"), (F.floor(F.col("value") * 3) % 1000).alias("remaining")))
 
 
-@query(f"{REQ} SELECT client, CAST(ts AS DATE)::VARCHAR AS day, CAST(sum(original_chars) AS BIGINT) AS input_tokens, CAST(sum(saved_chars) AS BIGINT) AS output_tokens, count(*) FILTER (original_chars > 0) AS requests FROM req GROUP BY 1, 2")
+USED = "CAST(sum(saved_chars) AS BIGINT) AS input_tokens, CAST(sum(original_chars) AS BIGINT) AS output_tokens"
+COUNTED = "count(*) FILTER (saved_chars > 0 OR (client = 'client1' AND original_chars > 0)) AS requests"
+
+
+@query(f"{REQ} SELECT client, CAST(ts AS DATE)::VARCHAR AS day, {USED}, {COUNTED} FROM req GROUP BY 1, 2")
 def usage_daily(spark, sf_dir):
-    usage = requests(spark, sf_dir).withColumn("input_tokens", F.col("original_chars")).withColumn("output_tokens", F.col("saved_chars"))
-    return s.usage_daily(usage).withColumn("day", F.col("day").cast("string"))
+    """One client's requests count with any tokens, those of the others with input only."""
+    usage = requests(spark, sf_dir).withColumnsRenamed({"saved_chars": "input_tokens", "original_chars": "output_tokens"})
+    return s.usage_daily(usage, F.col("client") == "client1").withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS input_tokens FROM events WHERE event_type <> 'view'")

@@ -46,11 +46,16 @@ def monthly_budget(spark, sf_dir):
     return out.withColumn("month", F.col("month").cast("string")).select("client", "month", "tokens", "budget", "share_percent")
 
 
-@query(f"{REQ}, h AS (SELECT session_id, count(*) AS requests FROM req WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), n AS (SELECT session_id, count(*) AS requests FROM req WHERE ts >= TIMESTAMP '2024-01-15' AND tool = 'purchase' GROUP BY 1) SELECT * FROM h WHERE session_id NOT IN (SELECT session_id FROM n) UNION ALL SELECT * FROM n")
+UPSERTED = """h AS (SELECT session_id, count(*) AS requests FROM req WHERE ts < TIMESTAMP '2024-01-28' GROUP BY 1),
+n AS (SELECT session_id, count(*) AS requests FROM req GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-28')"""
+
+
+@query(f"{REQ}, {UPSERTED} SELECT * FROM h WHERE session_id NOT IN (SELECT session_id FROM n) UNION ALL SELECT * FROM n")
 def session_upsert(spark, sf_dir):
-    r, mid = requests(spark, sf_dir), F.lit("2024-01-15").cast("timestamp")
-    count = lambda x: x.groupBy("session_id").agg(F.count(F.lit(1)).alias("requests"))
-    return s.upsert_sessions(count(r.where(F.col("ts") < mid)), count(r.where((F.col("ts") >= mid) & (F.col("tool") == "purchase"))))
+    """A history up to a moment, and all that the sessions active since have done, in place of their earlier state."""
+    r, mid = requests(spark, sf_dir), F.lit("2024-01-28").cast("timestamp")
+    history = s.sessions(r.where(F.col("ts") < mid))
+    return s.upsert_sessions(history, s.sessions(r).where(F.col("end_ts") >= mid)).select("session_id", "requests")
 
 
 @query(f"SELECT user_id % 6 AS client, strftime(min(ts + to_seconds(CAST(floor(value) AS BIGINT))) FILTER (ts + to_seconds(CAST(floor(value) AS BIGINT)) > TIMESTAMP '2024-01-20'), '{DAY}') AS next_ts FROM events GROUP BY 1")
@@ -61,11 +66,19 @@ def next_reset(spark, sf_dir):
     return s.next_reset(limits, F.lit("2024-01-20").cast("timestamp")).withColumn("next_ts", F.date_format("next_ts", WHEN))
 
 
-@query("SELECT session_id, saved_chars, concat(CASE WHEN saved_chars >= 1000000 THEN CAST(floor(saved_chars / 1000000 * 10 + 0.5) / 10 AS VARCHAR) || 'M' WHEN saved_chars >= 1000 THEN CAST(floor(saved_chars / 1000 * 10 + 0.5) / 10 AS VARCHAR) || 'k' ELSE CAST(saved_chars AS VARCHAR) END) AS short, CASE WHEN secs < 60 THEN secs || 's' WHEN secs < 3600 THEN (secs // 60) || 'm ' || (secs % 60) || 's' ELSE (secs // 3600) || 'h ' || ((secs % 3600) // 60) || 'm' END AS up, CAST(greatest(0, least(100, floor(first_value / 3 + 0.5))) AS INTEGER) AS used FROM (SELECT session_id, CAST(sum(saved_chars) AS BIGINT) AS saved_chars, CAST(sum(saved_chars) AS BIGINT) % 10000 AS secs, CAST(max(ms) AS DOUBLE) AS first_value FROM (" + REQ + " SELECT * FROM req) GROUP BY session_id)")
+@query("SELECT session_id, saved_chars, concat(CASE WHEN saved_chars >= 1000000 THEN CAST(floor(saved_chars / 1000000 * 10 + 0.5) / 10 AS VARCHAR) || 'M' WHEN saved_chars >= 1000 THEN CAST(floor(saved_chars / 1000 * 10 + 0.5) / 10 AS VARCHAR) || 'k' ELSE CAST(saved_chars AS VARCHAR) END) AS short, CASE WHEN secs < 60 THEN secs || 's' WHEN secs < 3600 THEN (secs // 60) || 'm ' || (secs % 60) || 's' ELSE (secs // 3600) || 'h ' || ((secs % 3600) // 60) || 'm' END AS up, CASE WHEN saved_chars = 0 THEN '—' WHEN saved_chars * 3 / 1000000::DOUBLE < 0.01 THEN '<$0.01' ELSE '$' || (CAST(floor(saved_chars * 3 / 1000000::DOUBLE * 100 + 0.5) AS BIGINT) // 100) || '.' || lpad(CAST(CAST(floor(saved_chars * 3 / 1000000::DOUBLE * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0') END AS cost, CAST(greatest(0, least(100, floor(first_value / 3 + 0.5))) AS INTEGER) AS used FROM (SELECT session_id, CAST(sum(saved_chars) AS BIGINT) AS saved_chars, CAST(sum(saved_chars) AS BIGINT) % 10000 AS secs, CAST(max(ms) AS DOUBLE) AS first_value FROM (" + REQ + " SELECT * FROM req) GROUP BY session_id)")
 def report_numbers(spark, sf_dir):
     """Totals of sessions as a report shows them."""
     per = requests(spark, sf_dir).groupBy("session_id").agg(F.sum("saved_chars").alias("saved_chars"), F.max("ms").alias("m"))
-    return per.select("session_id", "saved_chars", t.short_number(F.col("saved_chars")).alias("short"), t.uptime(F.col("saved_chars") % 10000).alias("up"), t.used_window(F.col("m") / 3).alias("used"))
+    saved = F.col("saved_chars")
+    return per.select(
+        "session_id",
+        "saved_chars",
+        t.short_number(saved).alias("short"),
+        t.uptime(saved % 10000).alias("up"),
+        t.money(saved * 3 / F.lit(1e6)).alias("cost"),
+        t.used_window(F.col("m") / 3).alias("used"),
+    )
 
 
 @query("WITH d AS (SELECT DISTINCT md5(text) AS hash, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE length(text) >= 10), p AS (SELECT hash, text, variant, array_to_string(lines[1 : CAST(ceil(len(lines) * share) AS BIGINT)], chr(10)) AS compressed FROM d, (VALUES ('conservative', 0.65::DOUBLE), ('balanced', 0.45::DOUBLE), ('aggressive', 0.25::DOUBLE)) v(variant, share)) SELECT hash, variant, md5(compressed) AS compressed_md5, round(1 - length(compressed) / length(text), 9) AS ratio FROM p")
@@ -127,7 +140,9 @@ def project_names(spark, sf_dir):
     k = F.col("page_id") % 3
     prompt = F.when(k == 0, F.concat(F.lit("<cwd>/work/x"), path, F.lit("</cwd>"))).when(k == 1, F.concat(F.lit("cwd: /work/y"), path, F.lit("\n"))).otherwise("no folder here")
     manual = F.when(F.col("page_id") % 10 == 0, F.lit("named"))
-    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(manual, t.project_of(prompt)).alias("project"))
+    pages = read(spark, sf_dir, "pages")
+    overrides = pages.select("page_id", manual.alias("manual")).where("manual is not null")
+    return s.override_projects(pages.select("page_id", t.project_of(prompt).alias("project")), overrides, "page_id")
 
 
 @query("WITH e AS (SELECT event_id, ['Claude-Code/1', 'app Electron', 'aider x', 'Roo', 'none'][event_id % 5 + 1] AS ua, CASE WHEN event_id % 7 = 0 THEN 'windsurf' WHEN event_id % 7 = 1 THEN 'bogus' END AS hint FROM events) SELECT coalesce(CASE WHEN hint = 'windsurf' THEN hint END, ['claude_code', 'claude_desktop', 'aider', 'cline', 'claude_code'][event_id % 5 + 1]) AS client, coalesce(CASE WHEN hint = 'windsurf' THEN hint END, ['openai_other', 'openai_other', 'aider', 'cline', 'openai_other'][event_id % 5 + 1]) AS other, ['google', 'openai', 'anthropic', 'anthropic'][event_id % 4 + 1] AS upstream, event_id % 4 = 3 AS local, 'm' || (event_id % 3) AS model, count(*) AS n FROM e GROUP BY ALL")
@@ -146,11 +161,17 @@ def call_classes(spark, sf_dir):
 @query(f"{CARRIED} SELECT tool, count(*) AS requests, CAST(sum(CASE WHEN request_id % 4 = 0 THEN 0 ELSE saved_chars END) AS BIGINT) AS saved_chars FROM c GROUP BY tool")
 def bypassed_requests(spark, sf_dir):
     """A bypassed request is counted and saves nothing."""
-    r = s.carry_project(requests(spark, sf_dir))
-    return r.groupBy("tool").agg(F.count(F.lit(1)).alias("requests"), F.sum(F.when(F.col("request_id") % 4 == 0, 0).otherwise(F.col("saved_chars"))).alias("saved_chars"))
+    r = s.bypass(s.carry_project(requests(spark, sf_dir)), F.col("request_id") % 4 == 0)
+    return s.savings_by(r, ["tool"]).where("dim = 'tool'").select(F.col("value").alias("tool"), "requests", "saved_chars")
+
+
+def _shares(dim: str) -> str:
+    share = "CAST(sum(saved_chars) AS DOUBLE) / max(sum(saved_chars)) OVER () AS share_of_max"
+    return f"SELECT {dim} AS name, '{dim}' AS what, CAST(sum(saved_chars) AS BIGINT) AS saved_chars, {PERCENT}, {share} FROM req GROUP BY {dim}"
 
 
-@query(f"{REQ} SELECT * FROM (SELECT model AS name, 'model' AS what, CAST(sum(saved_chars) AS BIGINT) AS saved_chars, {PERCENT} FROM req GROUP BY model UNION ALL SELECT client, 'client', CAST(sum(saved_chars) AS BIGINT), {PERCENT} FROM req GROUP BY client)")
+@query(f"{REQ} {_shares('model')} UNION ALL {_shares('client')}")
 def savings_by_model_and_client(spark, sf_dir):
-    found = s.savings_by(requests(spark, sf_dir), ["model", "client"]).where("dim <> 'all'")
-    return found.select(F.col("value").alias("name"), F.col("dim").alias("what"), "saved_chars", "saving_percent")
+    """Savings of models and of clients, each with its share of the greatest of its kind."""
+    found = s.with_share(s.savings_by(requests(spark, sf_dir), ["model", "client"]).where("dim <> 'all'"))
+    return found.select(F.col("value").alias("name"), F.col("dim").alias("what"), "saved_chars", "saving_percent", "share_of_max")
