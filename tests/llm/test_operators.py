@@ -174,6 +174,16 @@ def test_token_counts_match_the_library(odd_docs):
         assert spliced(t, 300, 40, 16) == whole(t) == spliced(t, 2000, 128, 64) == spliced(t, 8192, 256, 64)
 
 
+def test_tokens_of_pieces_too_long_to_remember(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = [(1, "東京" * 500 + " end"), (2, "東京" * 500 + " end"), (3, "a" * 65 + " " + "b" * 64), (4, "a" * 65 + " " + "a" * 65), (5, "short")]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = token_count.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows}
+
+
 def test_tokenizers_that_cannot_be_cut_are_given_whole_texts(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -12,7 +12,8 @@ byte-level, whitespace or punctuation splitter. ``splices`` reads that from the
 other every text is encoded whole.
 
 Shorter texts are encoded whole too, unless ``cuts_at_spaces`` finds that a single space between two non-blank characters
-always starts a word piece, as with the byte-level splitter: then each distinct piece between such spaces is encoded once in a task.
+always starts a word piece, as with the byte-level splitter: then each distinct piece between such spaces is encoded once in a
+task. Pieces of more than ``LONGEST`` characters, as in scripts without spaces, are not remembered, so memory stays bounded.
 
 Defined results: a null text counts as empty: 0 bytes, 0 tokens; repeated rows each keep their row; an empty table gives no rows.
 """
@@ -30,11 +31,11 @@ from pyspark.sql import functions as F
 
 from txcompact.llm.common import table
 
-#: Splitters after whose cuts nothing depends on what stands before.
 #: A single space with a non-blank character on each side.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces that a task remembers; when full it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces that a task remembers, and their most characters; when full it starts anew.
+REMEMBERED, LONGEST = 1_000_000, 64
+#: Splitters after whose cuts nothing depends on what stands before.
 FORWARD = {"ByteLevel", "Whitespace", "WhitespaceSplit", "Punctuation", "Digits", "BertPreTokenizer", "Split", "Sequence"}
 
 
@@ -138,7 +139,11 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col:
                 known = {}
             fresh = list(dict.fromkeys(x for p in pieces for x in p if x not in known))
             known.update(zip(fresh, (len(e) for e in tok.encode_batch_fast(fresh, add_special_tokens=False))))
-            return [sum(map(known.__getitem__, p)) for p in pieces]
+            found = [sum(map(known.__getitem__, p)) for p in pieces]
+            for x in fresh:
+                if len(x) > LONGEST:
+                    del known[x]
+            return found
 
         def encode(s: str):
             return tok.encode(s, add_special_tokens=False)
