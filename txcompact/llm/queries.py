@@ -10,6 +10,7 @@ from txcompact.llm.ppm import op8_lm_score
 from txcompact.llm.quality import op6_quality
 from txcompact.llm.simhash import op7_simhash
 from txcompact.llm.token_count import op9_token_count
+from txcompact.llm.token_files import op13_token_ids
 from txcompact.llm.toxicity import op2_toxicity
 from txcompact.llm.url_filter import OP1_SQL, op1_url_filter
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_token_count": op9_token_count,
     "op10_nearest": op10_nearest,
+    "op13_token_ids": op13_token_ids,
 }
 
 SQL = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL}
