@@ -1,16 +1,19 @@
 """Pieces, token files and the alignment of two tokenizers, against the libraries and plain versions."""
 
+import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from txcompact.llm import pieces, token_files
+from txcompact.llm import align, pieces, token_files
 from txcompact.llm.common import shared_dir
 
 SIGNS = [*"abZz09 '.,\n\t\r \x1c\x1f", "é", "×", "÷", "ß", "\xa0", "\x85", " ", "▁", "日本", "́", "¹", "'s", "'ll", "<|endoftext|>", "<|", "|>", "  ", "\n\n", "😀", "　", "\x00", "’"]
@@ -92,3 +95,54 @@ def test_repeated_ids_stand_together(spark):
     assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
     tok = byte_tokenizer()
     assert sorted(list(r.ids) for r in got) == sorted([*tok.encode(t, add_special_tokens=False).ids, 2] for _, t in rows)
+
+
+def plain_alignment(rows):
+    """rows: (id, text) -> results as the operator's, by sets of byte offsets."""
+    tok = byte_tokenizer()
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    entries = pieces.token_bytes(tok)
+    docs = []
+    for i, t in rows:
+        a = tok.encode(" " + (t or ""), add_special_tokens=False).ids if t else []
+        b = sp.encode(t) if t else []
+        own_b = [bytes([int(sp.id_to_piece(x)[3:5], 16)]) if sp.is_byte(x) else sp.id_to_piece(x).replace("▁", " ").encode() for x in b]
+        whole = (" " + (t or "")).encode()
+        if not t or b"".join(entries[x] for x in a) != whole or b"".join(own_b) != whole:
+            docs.append((i, [], [], [], []))
+            continue
+        spans_a, spans_b = [], []
+        for spans, ids, sizes in ((spans_a, a, [len(entries[x]) for x in a]), (spans_b, b, [len(x) for x in own_b])):
+            at = 0
+            for x, n in zip(ids, sizes):
+                spans.append((at, at + n, x))
+                at += n
+        shared = sorted({e for _, e, _ in spans_a} & {e for _, e, _ in spans_b})
+        groups, low = [], 0
+        for e in shared:
+            inside = lambda spans: ",".join(str(x) for s, f, x in spans if s >= low and f <= e)  # noqa: B023, E731
+            groups.append(f"{inside(spans_a)}|{inside(spans_b)}")
+            low = e
+        docs.append((i, a, b, groups, [(x, y) for s, e, x in spans_a for u, v, y in spans_b if s < v and u < e]))
+    counts = Counter(p for d in docs for p in set(d[4]))
+    best = {}
+    for (x, _), n in counts.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for i, a, b, groups, links in docs:
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if a else ""
+        out.append((i, len(a), len(b), len(groups), len(links), sum(counts[p] == best[p[0]] for p in links), sum(counts[p] for p in links), digest))
+    return out, counts
+
+
+@pytest.mark.parametrize("heavy", [align.HEAVY, 40])
+def test_alignment_matches_plain(spark, sf_dir, heavy):
+    own = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(25).collect()]
+    rows = [*enumerate(strange_texts(120)), *own, (3, "again and again"), (3, "again and again"), (None, "no id"), (900, None), (901, "▁"), (902, "x" * 3000), (903, "日本 語 " * 50), (904, "a\x00b <|endoftext|> c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("id", F.lit(2)).repartition(4)
+    got, pairs = align.align(docs, heavy=heavy)
+    want, counts = plain_alignment(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {(r.a, r.b): r.n for r in pairs.collect()} == counts
+    assert align.align(docs.limit(0))[0].count() == 0

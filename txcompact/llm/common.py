@@ -39,11 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: later steps start from
-    files that survive the loss of executors, not from a long lineage."""
+    files that survive the loss of executors, not from a long lineage. ``compression``: None as the session says."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from txcompact.llm.align import op12_align
 from txcompact.llm.ann import op10_nearest
 from txcompact.llm.decontam import OP3_SQL, op3_decontaminate
 from txcompact.llm.line_dedup import OP4_SQL, op4_line_dedup
@@ -13,6 +14,7 @@ from txcompact.llm.token_count import op9_token_count
 from txcompact.llm.token_files import op13_token_ids
 from txcompact.llm.toxicity import op2_toxicity
 from txcompact.llm.url_filter import OP1_SQL, op1_url_filter
+from txcompact.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_token_count": op9_token_count,
     "op10_nearest": op10_nearest,
+    "op11_whitening": op11_whitening,
+    "op12_align": op12_align,
     "op13_token_ids": op13_token_ids,
 }
 
