@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,6 +55,24 @@ def test_line_dedup_of_blank_runs_and_empty_tables(spark):
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_is_linear_in_dropped_lines(spark):
+    long = "\n".join(f"drop {i % 997}" if i % 2 else f"keep {i}" for i in range(200_000))
+    rows = [(0, long), *((i, "\n".join(f"drop {j}" for j in range(997))) for i in range(1, 11))]
+    began = time.time()
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()
+    assert got.n_dropped == 100_000 and got.text == "\n".join(f"keep {i}" for i in range(0, 200_000, 2))
+    assert time.time() - began < 60  # minutes when it grows with the square
+
+
+def test_decontamination_is_linear_in_hits(spark):
+    passage = " ".join(f"word{i}" for i in range(20))
+    docs = spark.createDataFrame([(0, " ".join([passage] * 10_000)), (1, "clean")], "doc_id long, text string")
+    began = time.time()
+    got = decontam.phrase_hits(docs, spark.createDataFrame([(1, passage), (2, passage)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.hit_items) for r in got] == [(200_000, 200_000, [1, 2]), (1, 0, [])]
+    assert time.time() - began < 60
+
+
 def test_decontamination_matches_plain(spark, odd_docs):
     items = [(1, "quick brown fox jumps over the lazy dog again and again today shared line"), (2, "lazy DOG"), (2, "again"), (3, None), (4, "..."), (None, "the"), (5, "word1 word2 word3 word4 word5 word6 word7 word8 word9 word10 word11 word12 word13 word14")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc", F.lit(1))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from txcompact.llm.common import ascii_lower, stored, table
+from txcompact.llm.common import ascii_lower, let, stored, table
 
 #: All that is no word character after lower-casing: ASCII but for digits and a-z.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,27 +113,32 @@ def phrase_hits(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str
         candidate_starts(postings, lookups, lists)
         .join(windows.select("window_id", "proof", F.size("words").alias("n"), "items"), "window_id")
         .groupBy("doc", "part")
-        .agg(F.collect_list(F.struct("start", "n", "proof", "items")).alias("_found"))
-    )
-    exact = F.filter("_found", lambda c: _proof(F.slice(F.col("_words"), c["start"] + 1, c["n"])) == c["proof"])
-    spans = F.array_sort(F.array_distinct(F.transform("_hits", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("end")))))
-    covered = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-        lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).cast("long").alias("n"), F.greatest(a["end"], s["end"]).alias("end")),
-        lambda a: a["n"],
+        .agg(F.collect_set(F.struct("start", "n", "proof", "items")).alias("_found"))
     )
+    kind, none = dict(items.dtypes)[item_col], F.lit(0).cast("long")
+
+    def covered(hits: Column) -> Column:
+        spans = F.array_sort(F.transform(hits, lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("end"))))
+        return F.aggregate(
+            spans,
+            F.struct(none.alias("n"), F.lit(0).alias("end")),
+            lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], a["end"]))).cast("long").alias("n"), F.greatest(a["end"], s["end"]).alias("end")),
+            lambda a: a["n"],
+        )
+
+    def judged(words: Column) -> Column:
+        exact = F.filter("_found", lambda c: _proof(F.slice(words, c["start"] + 1, c["n"])) == c["proof"])
+        named = lambda hits: F.array_sort(F.array_distinct(F.flatten(F.transform(hits, lambda c: c["items"]))))
+        return let(exact, lambda hits: F.struct(F.size(words).cast("long").alias("n_words"), covered(hits).alias("n_hit"), named(hits).alias("hit_items")))
+
+    # The words are made once for a text and the hits once, so that its cost grows with both as n log n at most.
+    words = words_of(F.col(text_col))
+    clean = F.struct(F.size(words).cast("long").alias("n_words"), none.alias("n_hit"), F.array().cast(f"array<{kind}>").alias("hit_items"))
     keyed = docs.withColumn("_part", F.xxhash64(text_col))
     return (
         keyed.join(starts, keyed[id_col].eqNullSafe(starts["doc"]) & (keyed["_part"] == starts["part"]), "left")
-        .withColumn("_words", words_of(F.col(text_col)))
-        .withColumn("_hits", F.when(F.col("_found").isNotNull(), exact))
-        .select(
-            *[keyed[c] for c in docs.columns],
-            F.size("_words").cast("long").alias("n_words"),
-            F.when(F.col("_hits").isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_hit"),
-            F.when(F.col("_hits").isNull(), F.array().cast(f"array<{dict(items.dtypes)[item_col]}>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.transform("_hits", lambda c: c["items"]))))).alias("hit_items"),
-        )
+        .select(*[keyed[c] for c in docs.columns], F.when(F.col("_found").isNull(), clean).otherwise(let(words, judged)).alias("_judged"))
+        .select(*docs.columns, "_judged.*")
     )
 
 

@@ -3,7 +3,7 @@
 Lines are exploded once with their places, normalised and hashed to 128 bits, and stored. Distinct documents are counted
 for each hash (first over hash and document, so that a line found everywhere is counted by many tasks). The hashes over the
 threshold are joined back to the stored lines, and each document is put together again by position, from the
-stretches between its dropped lines. Only hashes are shuffled for the counting, texts once. In the join a hash is
+places that none of its dropped lines has. Only hashes are shuffled for the counting, texts once. In the join a hash is
 salted: the few over the threshold are copied to ``SALTS`` places, a line goes to one of them by its document.
 
 Defined results: a null or empty text is one empty line; an empty key is never dropped (its length is
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txcompact.llm.common import ascii_lower, stored, table
+from txcompact.llm.common import ascii_lower, let, stored, table
 
 #: What counts as white space at the ends of a line.
 EDGE = " \t\n\x0b\x0c\r"
@@ -37,7 +37,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``docs`` with the kept text in ``text_col`` and ``n_lines``, ``n_dropped`` added."""
     key = line_key(F.col("line"))
     lines = stored(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("part"), F.posexplode(_lines(text_col)).alias("pos", "line"))
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("part"), _lines(text_col).alias("l"))
+        .select("id", "part", F.posexplode("l").alias("pos", "line"))  # beside the explode itself the text would be hashed for each line
         .select("id", "part", "pos", key.alias("key"))
         .where(F.length("key") >= max(1, min_chars))
         .select("id", "part", "pos", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")),
@@ -46,17 +47,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = lines.select("id", "a", "b").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     copied = often.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "part"), F.lit(SALTS)).cast("int"))
-    gone = salted.join(copied, ["a", "b", "salt"], "left_semi").groupBy("id", "part").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    gone = salted.join(copied, ["a", "b", "salt"], "left_semi").groupBy("id", "part").agg(F.collect_set("pos").alias("gone"))
     gone = gone.select(F.col("id").alias("_id"), F.col("part").alias("_part"), F.col("gone").alias("_gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_part"]), "left").drop("_id", "_part")
-    whole = _lines(text_col)
-    ends = F.concat(F.col("_gone"), F.array(F.size(whole)))
-    stretches = F.transform(ends, lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1) + 1).alias("begin"), end.alias("end")))
-    kept = F.flatten(F.transform(stretches, lambda s: F.slice(whole, s["begin"] + 1, s["end"] - s["begin"])))
+
+    # Lines and the places of those that stay are worked out once for a text, so that its cost is linear in its lines.
+    places = lambda whole: F.array_except(F.sequence(F.lit(0), F.size(whole) - 1), F.col("_gone"))
+    kept = let(_lines(text_col), lambda whole: F.array_join(F.transform(places(whole), lambda i: F.get(whole, i)), "\n"))
     return (
-        joined.withColumn("n_lines", F.size(whole).cast("long"))
+        joined.withColumn("n_lines", F.size(_lines(text_col)).cast("long"))
         .withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n")))
+        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept))
         .drop("_gone")
     )
 
