@@ -101,7 +101,7 @@ def _shaped(turns, shape: str):
         message = s_(role=F.col("role"), parts=F.array(s_(text=F.when(kind == "text", F.col("text")), functionCall=F.when(kind == "tool_use", s_(name=F.lit("Bash"), args=F.col("text"))), functionResponse=F.when(kind == "tool_result", s_(name=F.lit("Bash"), response=F.col("text"))))))
     else:
         message = s_(type=F.when(kind == "tool_result", "function_call_output").when(kind == "tool_use", "function_call").otherwise("message"), role=F.when(kind == "text", F.col("role")), call_id=F.coalesce(called, answered), name=F.when(called.isNotNull(), F.lit("Bash")), arguments=F.when(kind == "tool_use", F.col("text")), output=F.when(kind == "tool_result", F.col("text")), content=F.when(kind == "text", F.col("text")))
-    name = schema.split(" array<")[0].rsplit(" ", 1)[-1]
+    name = {"gemini": "contents", "responses": "input"}.get(shape, "messages")
     per = turns.groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias(name))
     return per.select(F.from_json(F.to_json(F.struct("conv_id", name)), schema).alias("x")).select("x.*")
 

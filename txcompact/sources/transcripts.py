@@ -1,6 +1,9 @@
 """Adapters from transcript shapes to the table of text blocks, and usage from event streams.
 
-``blocks``: conv_id, turn, part, kind (tool_result, tool_use, text), role, tool, call_id, text, skip.
+``blocks``: conv_id, turn, part, kind (tool_result, tool_use, text, other), role, tool, call_id, text, skip.
+
+A message's content may be a string or a list of parts, and so may a result's; both are read as variants. Text parts of one
+result are joined by newlines. A message without any text keeps its place by a block of kind ``other`` without text.
 """
 
 from __future__ import annotations
@@ -9,17 +12,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SKIP = r"(?i)#\s*tx:\s*skip"
-PART = "struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string>"
-ANTHROPIC = f"conv_id string, messages array<struct<role:string,content:array<{PART}>>>"
-OPENAI = "conv_id string, messages array<struct<role:string,content:string,tool_call_id:string,tool_calls:array<struct<id:string,name:string,arguments:string>>>>"
-GEMINI = "conv_id string, contents array<struct<role:string,parts:array<struct<text:string,functionCall:struct<name:string,args:string>,functionResponse:struct<name:string,response:string>>>>>"
-RESPONSES = "conv_id string, input array<struct<type:string,role:string,call_id:string,name:string,arguments:string,output:string,content:string>>"
+CALLS = "array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>"
+ANTHROPIC = "conv_id string, messages array<struct<role:string,content:variant>>"
+OPENAI = f"conv_id string, messages array<struct<role:string,content:variant,tool_call_id:string,tool_calls:{CALLS}>>"
+GEMINI = "conv_id string, contents array<struct<role:string,parts:array<struct<text:string,functionCall:struct<name:string,args:variant>,functionResponse:struct<name:string,response:variant>>>>>"
+RESPONSES = "conv_id string, input variant, messages variant"
 SCHEMAS = {"anthropic": ANTHROPIC, "openai": OPENAI, "gemini": GEMINI, "responses": RESPONSES}
+#: An item of the responses form, or a chat message in its place.
+ITEM = f"struct<type:string,role:string,call_id:string,tool_call_id:string,name:string,arguments:string,output:variant,content:variant,tool_calls:{CALLS}>"
+#: Types of parts that hold text.
+TEXT_PARTS = ("text", "input_text", "output_text")
+
+
+def _list(v: Column, of: str = "variant") -> Column:
+    """A variant's elements; null where it is no list."""
+    return F.try_variant_get(v, "$", f"array<{of}>")
+
+
+def _field(v: Column, name: str, kind: str = "string") -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def content_text(v: Column) -> Column:
+    """A string as it is, the text parts of a list joined by newlines, anything else as JSON."""
+    texts = F.transform(F.filter(_list(v), lambda p: _field(p, "type").isin(*TEXT_PARTS)), lambda p: F.coalesce(_field(p, "text"), F.lit("")))
+    return F.when(_list(v).isNotNull(), F.array_join(texts, "\n")).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def _block(part: Column | int, kind: Column | str, tool: Column | None, call: Column | None, text: Column) -> Column:
+    none = F.lit(None).cast("string")
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    fields = {"part": lit(part).cast("int"), "kind": lit(kind).cast("string"), "tool": none if tool is None else tool, "call_id": none if call is None else call, "text": text}
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+def _called(calls: Column) -> Column:
+    """A block for each entry of ``tool_calls``, behind the message's own."""
+    name, given = lambda c: F.coalesce(c["function"]["name"], c["name"]), lambda c: F.coalesce(c["function"]["arguments"], c["arguments"])
+    return F.transform(calls, lambda c, i: _block(i + 1, "tool_use", name(c), c["id"], given(c)))
 
 
-def _rows(df: DataFrame, kind: Column | str, role: Column | str, tool, call: Column | str, text: Column | str, part: Column | str = "part") -> DataFrame:
-    col = lambda c: F.col(c) if isinstance(c, str) else c
-    return df.select("conv_id", F.col("turn").cast("int"), col(part).cast("int").alias("part"), col(kind).alias("kind"), col(role).alias("role"), col(tool).alias("tool"), col(call).alias("call_id"), col(text).alias("text"))
+def _anthropic(m: Column) -> Column:
+    def block(p: Column, i: Column) -> Column:
+        kind = _field(p, "type")
+        text = F.when(kind == "tool_result", content_text(_field(p, "content", "variant"))).when(kind == "tool_use", content_text(_field(p, "input", "variant"))).otherwise(_field(p, "text"))
+        return _block(i, kind, _field(p, "name"), F.coalesce(_field(p, "tool_use_id"), _field(p, "id")), text)
+
+    return F.when(_list(m["content"]).isNotNull(), F.transform(_list(m["content"]), block)).otherwise(F.array(_block(0, "text", None, None, content_text(m["content"]))))
+
+
+def _chat(m: Column, call: Column, tool: Column, text: Column) -> Column:
+    """A chat message, its text first and then its calls."""
+    own = F.array(_block(0, F.when(tool, "tool_result").otherwise("text"), None, call, text))
+    return F.when(m["tool_calls"].isNull(), own).otherwise(F.concat(own, _called(m["tool_calls"])))
+
+
+def _gemini(m: Column) -> Column:
+    def block(p: Column, i: Column) -> Column:
+        answer, call = p["functionResponse"], p["functionCall"]
+        kind = F.when(answer.isNotNull(), "tool_result").when(call.isNotNull(), "tool_use").otherwise("text")
+        said = lambda v: F.try_variant_get(v, "$", "string")
+        return _block(i, kind, F.coalesce(answer["name"], call["name"]), None, F.coalesce(said(answer["response"]), said(call["args"]), p["text"]))
+
+    return F.transform(m["parts"], block)
+
+
+def _response(m: Column) -> Column:
+    result = (m["type"] == "function_call_output") | m["role"].isin("tool", "function")
+    call, calls = F.coalesce(m["call_id"], m["tool_call_id"]), m["type"] == "function_call"
+    one = _block(0, F.when(calls, "tool_use").otherwise("text"), m["name"], call, F.coalesce(m["arguments"], content_text(m["content"])))
+    text = F.coalesce(content_text(m["output"]), content_text(m["content"]))
+    return F.when(F.coalesce(result, F.lit(False)) | m["tool_calls"].isNotNull(), _chat(m, call, F.coalesce(result, F.lit(False)), text)).otherwise(F.array(one))
 
 
 def attach_calls(blocks: DataFrame) -> DataFrame:
@@ -33,29 +96,33 @@ def attach_calls(blocks: DataFrame) -> DataFrame:
 
 
 def to_blocks(df: DataFrame, shape: str) -> DataFrame:
-    """Transcripts of one of the shapes in ``SCHEMAS`` as blocks; empty texts are left out."""
-    none = F.lit(None).cast("string")
+    """Transcripts of one of the shapes in ``SCHEMAS`` as blocks. Empty texts are left out; a message that has no other text
+    leaves one block of kind ``other``."""
+    m = F.col("m")
     if shape == "anthropic":
-        turns = df.select("conv_id", F.posexplode("messages").alias("turn", "m"))
-        parts = turns.select("conv_id", "turn", "m.role", F.posexplode("m.content").alias("part", "c"))
-        out = _rows(parts, F.col("c.type"), "role", F.col("c.name"), F.coalesce("c.tool_use_id", "c.id"), F.coalesce("c.content", "c.text", "c.input"))
+        turns, found = F.col("messages"), _anthropic(m)
     elif shape == "openai":
-        turns = df.select("conv_id", F.posexplode("messages").alias("turn", "m"))
-        text = _rows(turns, F.when(F.col("m.role") == "tool", "tool_result").otherwise("text"), F.col("m.role"), none, F.col("m.tool_call_id"), F.col("m.content"), F.lit(0))
-        calls = turns.select("conv_id", "turn", "m.role", F.posexplode("m.tool_calls").alias("part", "c"))
-        out = text.unionByName(_rows(calls, F.lit("tool_use"), "role", F.col("c.name"), F.col("c.id"), F.col("c.arguments"), F.col("part") + 1))
+        turns, found = F.col("messages"), _chat(m, m["tool_call_id"], F.coalesce(m["role"] == "tool", F.lit(False)), content_text(m["content"]))
     elif shape == "gemini":
-        turns = df.select("conv_id", F.posexplode("contents").alias("turn", "m"))
-        parts = turns.select("conv_id", "turn", "m.role", F.posexplode("m.parts").alias("part", "c"))
-        kind = F.when(F.col("c.functionResponse").isNotNull(), "tool_result").when(F.col("c.functionCall").isNotNull(), "tool_use").otherwise("text")
-        out = _rows(parts, kind, "role", F.coalesce("c.functionResponse.name", "c.functionCall.name"), none, F.coalesce("c.functionResponse.response", "c.functionCall.args", "c.text"))
+        turns, found = F.col("contents"), _gemini(m)
     elif shape == "responses":
-        turns = df.select("conv_id", F.posexplode("input").alias("turn", "m"))
-        kind = F.when((F.col("m.type") == "function_call_output") | F.col("m.role").isin("tool", "function"), "tool_result").when(F.col("m.type") == "function_call", "tool_use").otherwise("text")
-        out = _rows(turns, kind, F.col("m.role"), F.col("m.name"), F.col("m.call_id"), F.coalesce("m.output", "m.arguments", "m.content"), F.lit(0))
+        # Items, or chat messages in their place; a lone string is a user's message.
+        alone = F.array(F.parse_json(F.to_json(F.struct(F.lit("user").alias("role"), F.try_variant_get("input", "$", "string").alias("content")))))
+        items = F.coalesce(_list(F.col("input")), F.when(F.try_variant_get("input", "$", "string").isNotNull(), alone), _list(F.col("messages")))
+        turns, found = F.transform(items, lambda v: F.from_json(v.cast("string"), ITEM)), _response(m)
     else:
         raise ValueError(f"unknown shape {shape!r}: one of {sorted(SCHEMAS)}")
-    return attach_calls(out.where(F.length("text") > 0))
+    messages = df.select("conv_id", F.posexplode(turns).alias("turn", "m"))
+    said = messages.select("conv_id", "turn", F.col("m.role").alias("role"), F.filter(found, lambda b: F.length(b["text"]) > 0).alias("said"))
+    silent = F.array(_block(0, "other", None, None, F.lit("")))
+    each = said.select("conv_id", "turn", "role", F.inline(F.when(F.size("said") > 0, F.col("said")).otherwise(silent)))
+    return attach_calls(each.select("conv_id", "turn", "part", "kind", "role", "tool", "call_id", "text"))
+
+
+def blocks_of_json(bodies: DataFrame, shape: str, body_col: str = "body") -> DataFrame:
+    """Request bodies (``conv_id``, JSON text) of a shape as blocks; bodies that do not parse give none."""
+    fields = SCHEMAS[shape].split(", ", 1)[1].replace(" array", ":array").replace(" variant", ":variant")
+    return to_blocks(bodies.select("conv_id", F.from_json(body_col, f"struct<{fields}>").alias("_b")).select("conv_id", "_b.*"), shape)
 
 
 def from_turns(turns: DataFrame) -> DataFrame:
