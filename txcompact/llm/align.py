@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txcompact.llm.common import stored, table
-from txcompact.llm.pieces import SPACES, WHOLE, ByteEncoder, Memo, piece_level, rows_of, slices, split_pieces, token_bytes, totals
+from txcompact.llm.pieces import SPACES, WHOLE, ByteEncoder, Memo, give_back, piece_level, rows_of, slices, split_pieces, token_bytes, totals
 
 #: Pairs that are broadcast at most: 20 bytes each.
 HEAVY = 1_000_000
-WINDOWS, WINDOW_BYTES = 400_000, 512
+#: Pieces of each tokenizer and windows that a task remembers, the longest window kept, and bytes of text at a time.
+PIECES, WINDOWS, WINDOW_BYTES, TEXT_BYTES = 300_000, 300_000, 512, 1_500_000
 
 
 class Tokens:
@@ -46,7 +47,7 @@ class Tokens:
         self.sizes = np.array([len(b) for b in entries], np.int64)
         self.spaced = np.array([b[:1] == b" " for b in entries])
         self.names = [str(i) for i in range(len(entries))]
-        self.memo = Memo(self.rows, (np.int32, np.int8))
+        self.memo = Memo(self.rows, (np.int32, np.int8), most=PIECES)
 
     def rows(self, keys: list[str]) -> tuple:
         ids, sizes = self.encode(keys)
@@ -192,7 +193,7 @@ def aligned_rows(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_c
         first, entries = TaskContext.get().partitionId() << 40, len(aligner.a.bytes) * len(aligner.b.bytes)
         for batch in batches:
             texts, done = pc.fill_null(batch.column(1), ""), 0
-            for some in slices(texts):
+            for some in slices(texts, TEXT_BYTES):
                 n_a, n_b, groups, links, shown, pairs = aligner.rows(some)
                 digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
                 # Links of a text next to each other, by pair; their first ones start runs.
@@ -204,6 +205,7 @@ def aligned_rows(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_c
                 row = pa.array(first + done + np.arange(len(some)))
                 ids = batch.column(0).slice(done, len(some))
                 done += len(some)
+                give_back()
                 yield pa.RecordBatch.from_arrays([ids, row, *map(pa.array, (n_a, n_b, groups, links, digest)), *own], schema=schema.insert(0, pa.field("id", ids.type)))
             first += len(texts)
 

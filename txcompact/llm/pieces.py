@@ -17,6 +17,7 @@ Memory is bounded: pieces of more than ``LONGEST`` bytes are forgotten after the
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Callable, Iterable
 from itertools import chain
@@ -253,6 +254,14 @@ def split_pieces(texts: pa.Array, how: str, kept: tuple[bytes, ...] = ()) -> tup
     return coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64), np.diff(np.searchsorted(begins, offsets))
 
 
+def give_back() -> None:
+    """Hands freed memory back to the system, as an executor's workers share its limit; only glibc needs and has the call."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def totals(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of ``counts[i]`` values."""
     ends = np.concatenate([[0], np.cumsum(values)])
