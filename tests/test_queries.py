@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from txcompact.operators import compact as c
 from txcompact.operators import savings as s
 from txcompact.plans import queries as core
-from txcompact.plans import compaction, outputs, reports, streams  # noqa: F401
+from txcompact.plans import compaction, mixed, outputs, reports, streams  # noqa: F401
 from txcompact.streaming import usage
 from txcompact.streaming.run import available
 

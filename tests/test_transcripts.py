@@ -79,7 +79,7 @@ def test_conversations_save_and_reinflate(spark):
     blocks = spark.createDataFrame([("c", i, 0, "tool_result", "user", "bash", f"t{i}", x, False) for i, x in enumerate([body, other, body, other, "short end", "other end", "last end"])], "conv_id string, turn int, part int, kind string, role string, tool string, call_id string, text string, skip boolean")
     out, savings = c.compact_conversations(blocks, CompactionConfig(threshold=500, keep_recent=2))
     by = {r.turn: r.source for r in savings.collect()}
-    assert by == {0: "dedup", 1: "dedup", 2: "summary", 3: "summary", 4: "clean", 5: "clean", 6: "clean"}
+    assert by == {0: "dedup", 1: "dedup", 2: "summary", 3: "summary", 4: "none", 5: "none", 6: "none"}
     assert all(r.saved_chars == r.original_chars - r.compact_chars for r in savings.collect())
     back = {r.turn: r.text for r in c.reinflate(out, c.build_store(blocks)).collect()}
     assert back[0] == body == back[2] and back[1] == other == back[3]

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txcompact.functions import text as t
 from txcompact.operators.lines import dedup_islands, dedup_lines, to_lines, to_texts
 
 
-def clean(blocks: DataFrame, profile: str = "default", id_col: str = "block_id", consecutive_only: bool = False) -> DataFrame:
-    """``block_id, text``. The profile ``read`` leaves line ends and blank lines as they are."""
+def clean(blocks: DataFrame, profile: str | Column = "default", id_col: str = "block_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``block_id, text`` and the columns ``keep``. The profile ``read`` leaves line ends and blank lines as they are; a
+    column of booleans says for each block whether that holds. Ids name one block each.
+
+    Lines are dealt by block once; every step behind works within blocks, and no block is lost, so nothing is joined."""
+    read = profile if isinstance(profile, Column) else F.lit(profile == "read")
     x = F.coalesce(F.col("text"), F.lit(""))
-    x = t.strip_ansi(x if profile == "read" else t.unix_lines(x))
-    if profile != "read":
-        x = F.array_join(F.filter(F.split(x, "\n", -1), lambda line: ~t.is_bar(line)), "\n")
-    lines = to_lines(blocks.select(F.col(id_col).alias("block_id"), t.strip_timestamps(x).alias("text")))
-    lines = dedup_lines(dedup_islands(lines, F.col("line").rlike(t.FRAME)), consecutive_only=consecutive_only)
-    done = to_texts(lines).withColumn("text", t.collapse_whitespace(t.minify_json(F.col("text"))))
-    return blocks.select(F.col(id_col).alias("block_id")).join(done, "block_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    x = t.strip_ansi(F.when(read, x).otherwise(t.unix_lines(x)))
+    bare = F.array_join(F.filter(F.split(x, "\n", -1), lambda line: ~t.is_bar(line)), "\n")
+    shown = blocks.withColumn("text", t.strip_timestamps(F.when(read, x).otherwise(bare)))
+    lines = to_lines(shown, id_col, keep=keep).repartition("block_id")
+    lines = dedup_lines(dedup_islands(lines, F.col("line").rlike(t.FRAME)))
+    return to_texts(lines, keep).withColumn("text", t.collapse_whitespace(t.minify_json(F.col("text")))).select("block_id", "text", *keep)

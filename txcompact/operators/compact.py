@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from txcompact.config import CompactionConfig
 from txcompact.functions import text as t
 from txcompact.operators.clean import clean
+from txcompact.sources import stores
+from txcompact.sources.steps import stored
 from txcompact.sources.transcripts import tool_input_fields
 
 #: Most characters of a block, and of a system prompt, that a summariser sees.
@@ -60,7 +62,9 @@ def _by_ref(rows: DataFrame, store: DataFrame) -> DataFrame:
 def reinflate(blocks: DataFrame, store: DataFrame, tag: str = "tx") -> DataFrame:
     """Texts that begin with a tag or placeholder get the original back, where its id names one text only."""
     ref = F.nullif(F.regexp_extract("text", rf"^\[{tag}:([0-9a-f]{{6}}|[0-9a-f]{{32}})[ \]]", 1), F.lit(""))
-    return _by_ref(blocks.withColumn("_ref", ref), store).withColumn("text", F.coalesce("_original", "text")).drop("_ref", "_original")
+    marked = blocks.withColumn("_ref", ref)
+    found = _by_ref(marked.where("_ref is not null"), store).withColumn("text", F.coalesce("_original", "text")).select(*blocks.columns)
+    return found.unionByName(marked.where("_ref is null").select(*blocks.columns))
 
 
 #: Answers of a model in two shapes: blocks of content, or choices with calls.
@@ -86,11 +90,15 @@ def expand_calls(calls: DataFrame, store: DataFrame) -> DataFrame:
     return found.withColumnRenamed("_ref", "block_id6").withColumnRenamed("_original", "original")
 
 
-def eligible(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
+def eligible_mark(cfg: CompactionConfig) -> Column:
     """By the lists of tools (an allow list wins) and the inline skip mark."""
     tool = F.lower(F.coalesce("tool", F.lit("unknown")))
     allowed = tool.isin(*[x.lower() for x in cfg.only_tools]) if cfg.only_tools else ~tool.isin(*[x.lower() for x in cfg.skip_tools]) if cfg.skip_tools else F.lit(True)
-    return blocks.where(allowed & ~F.coalesce("skip", F.lit(False)))
+    return allowed & ~F.coalesce("skip", F.lit(False))
+
+
+def eligible(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
+    return blocks.where(eligible_mark(cfg))
 
 
 def with_pressure(blocks: DataFrame, context_chars: int = 800_000) -> DataFrame:
@@ -117,50 +125,113 @@ def rank_from_end(blocks: DataFrame) -> DataFrame:
 MODEL_ROLES = ("assistant", "model")
 
 
-def select_candidates(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
-    """Old, large, eligible tool results. ``cfg.new_rule`` keeps only new ones: those of the last message, or those after
-    the model's last turn."""
-    sized = with_threshold(with_pressure(blocks, cfg.context_chars), cfg)
-    conv = Window.partitionBy("conv_id")
-    bounds = sized.withColumn("_last", F.max("turn").over(conv)).withColumn("_model", F.max(F.when(F.col("role").isin(*MODEL_ROLES), F.col("turn"))).over(conv))
-    summarised = ~F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.no_summary)
-    old = (F.col("kind") == "tool_result") & (F.col("from_end") > cfg.keep_recent) & (F.length("text") >= F.col("threshold"))
-    found = eligible(rank_from_end(bounds), cfg).where(old & summarised)
-    new = {None: F.lit(True), "last_message": F.col("turn") == F.col("_last"), "after_model": F.col("turn") > F.coalesce("_model", F.lit(-1))}[cfg.new_rule]
-    return found.where(new).drop("_last", "_model")
+def _last_turns(blocks: DataFrame, most: int) -> DataFrame:
+    """``conv_id, _turns``: the last ``most`` turns of each conversation, newest first. Ranks beyond are dropped before the
+    exchange, so a conversation of any length brings few rows."""
+    nth = F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return blocks.select("conv_id", "turn").withColumn("_n", nth).where(F.col("_n") <= max(1, most)).groupBy("conv_id").agg(F.sort_array(F.collect_set("turn"), asc=False).alias("_turns"))
+
+
+def _beyond(turn: Column, turns: Column, spared: int) -> Column:
+    """Whether a turn is older than the last ``spared``; where there are no more than these, none is."""
+    return F.lit(True) if spared <= 0 else F.coalesce(turn < F.get(turns, F.lit(spared - 1)), F.lit(False))
+
 
+def in_context(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
+    """Adds what a block's place in its conversation decides: ``pressure``, ``threshold``, ``ok`` (tools' lists and skip mark),
+    ``old_result`` (eligible, and not among the last ``keep_recent`` eligible ones), ``new`` (by ``cfg.new_rule``), ``old_prose``, ``old_input``.
 
-def _old_turns(blocks: DataFrame, keep_recent: int) -> DataFrame:
-    back = F.dense_rank().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return blocks.withColumn("_back", back).where(F.col("_back") > keep_recent).drop("_back")
+    Messages count by role, whatever they hold, so the live message of a user is spared also where it is a result only. A
+    conversation's bounds are made by partial aggregates and ranks that are cut off early, and joined to its blocks."""
+    model, user = F.col("role").isin(*MODEL_ROLES), F.col("role") == "user"
+    marked = blocks.withColumn("ok", eligible_mark(cfg))
+    bounds = blocks.groupBy("conv_id").agg(F.sum(F.length("text")).alias("_chars"), F.max("turn").alias("_last"), F.max(F.when(model, F.col("turn"))).alias("_model"), F.max(F.when(user, F.col("turn"))).alias("_user"))
+    models = _last_turns(blocks.where(model), max(cfg.prose_recent, cfg.keep_recent)).withColumnRenamed("_turns", "_models")
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("part")))
+    recent = marked.where((F.col("kind") == "tool_result") & F.col("ok")).select("conv_id", "turn", "part").withColumn("_n", nth).where(F.col("_n") <= max(1, cfg.keep_recent))
+    results = recent.groupBy("conv_id").agg(F.min(F.struct("turn", "part")).alias("_cut"), F.count(F.lit(1)).alias("_results"))
+    for more in (models, results):
+        own = more.withColumnRenamed("conv_id", "_c")
+        bounds = bounds.join(own, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    known = marked.join(bounds.withColumnRenamed("conv_id", "_c"), F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    turn, here, is_result = F.col("turn"), F.struct("turn", "part"), F.col("kind") == "tool_result"
+    past = F.lit(True) if cfg.keep_recent <= 0 else (F.col("_results") >= cfg.keep_recent) & (here < F.col("_cut"))
+    new = {None: F.lit(True), "last_message": turn == F.col("_last"), "after_model": turn > F.coalesce("_model", F.lit(-1))}[cfg.new_rule]
+    old = F.when(model, _beyond(turn, F.col("_models"), cfg.prose_recent)).when(user, turn < F.col("_user")).otherwise(False)
+    sized = with_threshold(known.withColumn("pressure", F.least(F.col("_chars") / cfg.context_chars, F.lit(1.0))), cfg)
+    flags = {
+        "old_result": is_result & F.col("ok") & F.coalesce(past, F.lit(False)),
+        "new": new,
+        "old_prose": (F.col("kind") == "text") & old & (F.length("text") >= cfg.prose_min),
+        "old_input": (F.col("kind") == "tool_use") & model & _beyond(turn, F.col("_models"), cfg.keep_recent),
+    }
+    return sized.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).drop("_c", "_chars", "_last", "_model", "_user", "_models", "_cut", "_results")
+
+
+def _large(cfg: CompactionConfig) -> Column:
+    return F.col("old_result") & (F.length("text") >= F.col("threshold"))
+
+
+def _fresh(cfg: CompactionConfig) -> Column:
+    """What a summariser may see, other than a stored summary's text: new results, but of no tool that gets no summary."""
+    return F.col("new") & ~F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.no_summary)
+
+
+def select_candidates(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
+    """Old, large, eligible tool results that a summariser may see. ``cfg.new_rule`` keeps only new ones: those of the last
+    message, or those after the model's last turn."""
+    return in_context(blocks, cfg).where(_large(cfg) & _fresh(cfg))
 
 
 def prose_candidates(blocks: DataFrame, roles: str | tuple[str, ...], keep_recent: int, min_len: int) -> DataFrame:
-    """Texts of a role but those of its last ``keep_recent`` turns."""
-    own = (roles,) if isinstance(roles, str) else roles
-    return _old_turns(blocks.where((F.col("kind") == "text") & F.col("role").isin(*own)), keep_recent).where(F.length("text") >= min_len)
+    """Texts of a role but those of its last ``keep_recent`` messages."""
+    own = blocks.where(F.col("role").isin(*((roles,) if isinstance(roles, str) else roles)))
+    turns = _last_turns(own, keep_recent).withColumnRenamed("conv_id", "_c")
+    texts = own.where((F.col("kind") == "text") & (F.length("text") >= min_len)).join(turns, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    return texts.where(_beyond(F.col("turn"), F.col("_turns"), keep_recent)).drop("_c", "_turns")
+
+
+def shorter_prose(cleaned: Column, was: Column) -> Column:
+    """The prose rules on a cleaned text; the text as it was where that gets no shorter."""
+    short = t.clean_prose(cleaned)
+    return F.when(F.length(short) < F.length(was), short).otherwise(was)
 
 
 def clean_prose_blocks(blocks: DataFrame, id_col: str = "block_id") -> DataFrame:
     """``block_id, text``: the base clean, then the prose rules; a text that gets no shorter stays as it is."""
-    was = blocks.select(F.col(id_col).alias("block_id"), F.col("text").alias("_was"))
-    made = clean(blocks, id_col=id_col).join(was, "block_id")
-    short = t.clean_prose(F.col("text"))
-    return made.select("block_id", F.when(F.length(short) < F.length("_was"), short).otherwise(F.col("_was")).alias("text"))
+    made = clean(blocks.withColumn("_was", F.col("text")), id_col=id_col, keep=("_was",))
+    return made.select("block_id", shorter_prose(F.col("text"), F.col("_was")).alias("text"))
 
 
-def clean_tool_inputs(blocks: DataFrame, keep_recent: int = 3, min_len: int = 200) -> DataFrame:
-    """``block_id, text``: inputs (JSON) of the model's older turns whose long fields the base clean makes shorter, written back."""
-    own = _old_turns(blocks.where((F.col("kind") == "tool_use") & F.col("role").isin(*MODEL_ROLES)), keep_recent)
-    fields = tool_input_fields(own, min_len).withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")).withColumn("field_id", F.concat_ws("/", "block_id", "field"))
-    shorter = fields.join(clean(fields.withColumn("text", F.col("value")), id_col="field_id").withColumnRenamed("block_id", "field_id"), "field_id").where(F.length("text") < F.length("value"))
-    # In the input a field stands as JSON writes a string, so exactly that is replaced.
+def _long_fields(inputs: DataFrame, min_len: int) -> DataFrame:
+    """Long fields of tool inputs with ``block_id`` and ``field_id``."""
+    fields = tool_input_fields(inputs, min_len).withColumn("block_id", block_id())
+    return fields.withColumn("field_id", F.concat_ws("/", "block_id", "field"))
+
+
+def _written_back(inputs: DataFrame, shorter: DataFrame) -> DataFrame:
+    """``block_id, text``: inputs with fields replaced, by ``block_id, field, value, text`` for each shorter field. An input is
+    first written as Spark writes JSON, so that what is replaced stands in it, however it was escaped before."""
     quoted = lambda x: F.expr(f"substring(to_json(struct({x})), {len(x) + 5}, length(to_json(struct({x}))) - {len(x) + 5})")
     pairs = shorter.select("block_id", "field", quoted("value").alias("old"), quoted("text").alias("new")).groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("field", "old", "new"))).alias("pairs"))
-    ids = own.withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")).select("block_id", "text")
+    canonical = F.coalesce(F.to_json(F.try_parse_json("text")), F.col("text"))
+    ids = inputs.select(block_id().alias("block_id"), canonical.alias("text"))
     return ids.join(pairs, "block_id").select("block_id", F.aggregate("pairs", F.col("text"), lambda acc, p: F.replace(acc, p["old"], p["new"])).alias("text"))
 
 
+def block_id() -> Column:
+    return F.concat_ws(":", "conv_id", "turn", "part")
+
+
+def clean_tool_inputs(blocks: DataFrame, keep_recent: int = 3, min_len: int = 200) -> DataFrame:
+    """``block_id, text``: inputs (JSON) of the model's older messages whose long fields the base clean makes shorter, written back."""
+    own = in_context(blocks, CompactionConfig(keep_recent=keep_recent)).where("old_input").select(*blocks.columns)
+    fields = _long_fields(own, min_len).withColumn("text", F.col("value"))
+    made = clean(fields.withColumnRenamed("block_id", "_block"), id_col="field_id", keep=("_block", "field", "value"))
+    shorter = made.where(F.length("text") < F.length("value")).select(F.col("_block").alias("block_id"), "field", "value", "text")
+    return _written_back(own, shorter)
+
+
 def split_known(blocks: DataFrame, summaries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks with a stored summary, and those without."""
     hashed = blocks if "hash" in blocks.columns else blocks.withColumn("hash", F.md5("text"))
@@ -200,7 +271,8 @@ def compact_prompts(prompts: DataFrame, fn=None, min_len: int = 2000, enough: fl
     """``hash, text, original_chars, compact_chars, by`` for distinct system prompts: short ones stay, others are cleaned,
     and summarised only where cleaning saves no more than ``enough``."""
     distinct = prompts.select("text").distinct().withColumn("hash", F.md5("text")).withColumn("original_chars", F.length("text"))
-    cleaned = distinct.join(clean(distinct, id_col="hash").select(F.col("block_id").alias("hash"), F.col("text").alias("clean")), "hash")
+    made = clean(distinct.withColumn("_was", F.col("text")), id_col="hash", keep=("_was", "original_chars"))
+    cleaned = made.select(F.col("block_id").alias("hash"), F.col("_was").alias("text"), "original_chars", F.col("text").alias("clean"))
     saves = 1 - F.length("clean") / F.col("original_chars")
     marked = cleaned.withColumn("by", F.when(F.col("original_chars") < min_len, "untouched").when(saves > enough, "clean").otherwise("summary"))
     made = summarise(marked.where("by = 'summary'").select(F.col("clean").alias("text")), fn, PROMPT_INPUT).select(F.col("hash").alias("_h"), "summary")
@@ -210,47 +282,76 @@ def compact_prompts(prompts: DataFrame, fn=None, min_len: int = 2000, enough: fl
 
 
 def compact_conversations(blocks: DataFrame, cfg: CompactionConfig = CompactionConfig(), summaries: DataFrame | None = None, fn=None) -> tuple[DataFrame, DataFrame]:
-    """Compacted blocks and a row of savings for each block, by one source: dedup, summary, clean, prose or input.
+    """Compacted blocks and a row of savings for each block, by one source: dedup, summary, clean, prose or input."""
+    out, savings, _ = _compacted(blocks, cfg, summaries, fn)
+    return out, savings
+
+
+def compact_growing(blocks: DataFrame, path: str, cfg: CompactionConfig = CompactionConfig(), fn=None) -> tuple[DataFrame, DataFrame]:
+    """The same for conversations that are compacted again as they grow: old results take the summaries in the store at ``path``, and
+    what the summariser makes this time is appended to it, so a result keeps the tag that it once got."""
+    have = stores.opened(blocks.sparkSession, path)
+    out, savings, fresh = _compacted(blocks, cfg, have, fn)
+    stores.append_new(fresh.where("summary is not null"), path)
+    return out, savings
+
+
+def _compacted(blocks: DataFrame, cfg: CompactionConfig, summaries: DataFrame | None, fn) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compacted blocks, savings, and the summaries made.
+
+    Old, large results take a stored summary where ``summaries`` (``hash, summary``) has one; of the others only those that the
+    new-block rule and the tools' list allow go to the summariser, each text once. ``overhead`` is the length of the tag in front of
+    a summary. Where the shapes differ in what they spare, ``cfg.for_shape`` says so.
 
-    A conversation's pressure sets the size threshold and tightens the rules. ``overhead`` is the length of the tag in front of a
-    summary. Where the shapes differ in what they spare, ``cfg.for_shape`` says so."""
+    Blocks with their context are stored once; results, prose and input fields then go through one clean together. What each step
+    finds for a block meets in one aggregation and is joined to the blocks once."""
     from txcompact.operators.rules import compact_blocks
 
-    keyed = with_pressure(blocks.withColumn("block_id", F.concat_ws(":", "conv_id", "turn", "part")), cfg.context_chars)
-    results, plain = keyed.where("kind = 'tool_result'"), keyed.drop("pressure")
-    ok = eligible(plain, cfg).select("block_id").withColumn("_ok", F.lit(True))
-    kept = F.when(F.col("kept_ref").isNotNull(), F.substring("hash", 1, cfg.ref_chars))
-    dup = dedup_blocks(plain.where("kind = 'tool_result' and not skip"), min_len=cfg.dedup_min).select("block_id", kept.alias("kept_ref"))
-    rules = compact_blocks(results, pressure=F.col("pressure")).select("block_id", F.col("text").alias("_rules"))
-    chosen = select_candidates(plain, cfg).select("block_id", "text", F.md5("text").alias("hash"))
-    known = summaries.select("hash", "summary") if summaries is not None else None
-    todo = chosen if known is None else chosen.join(known, "hash", "left_anti")
-    made = summarise(todo, fn).select("hash", "summary")
-    have = made if known is None else made.unionByName(known)
-    summed = chosen.join(have, "hash").where("summary is not null").select("block_id", F.col("hash").alias("_hash"), "summary")
-    old = prose_candidates(plain, MODEL_ROLES, cfg.prose_recent, cfg.prose_min).unionByName(prose_candidates(plain, "user", 1, cfg.prose_min))
-    prose = clean_prose_blocks(old).withColumnRenamed("text", "_prose")
-    inputs = clean_tool_inputs(plain, cfg.keep_recent).withColumnRenamed("text", "_input")
-    all_ = plain
-    for part in (ok, dup, rules, summed, prose, inputs):
-        all_ = all_.join(part, "block_id", "left")
-    original, by = F.col("text"), F.col("by")
-    short = tagged(F.substring("_hash", 1, cfg.ref_chars), F.col("summary"), F.length(original), cfg.tag)
+    keyed = stored(in_context(blocks, cfg).withColumns({"block_id": block_id(), "hash": F.md5("text")}), "context")
+    results, inputs = keyed.where("kind = 'tool_result' and ok"), keyed.where("old_input")
+    tools = F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.dedup_tools)
+    dup = dedup_blocks(results.where(tools).drop("hash"), min_len=cfg.dedup_min).where("kept_ref is not null").select("block_id", F.substring("hash", 1, cfg.ref_chars).alias("kept_ref"))
+
+    fields = _long_fields(inputs, 200)
+    same = ("block_id", "tool", "text", "pressure")
+    none = F.lit(None).cast("string")
+    parts = results.select(*same).unionByName(keyed.where("old_prose").select("block_id", none.alias("tool"), "text", F.lit(0.0).alias("pressure")))
+    parts = parts.unionByName(fields.select(F.col("field_id").alias("block_id"), none.alias("tool"), F.col("value").alias("text"), F.lit(0.0).alias("pressure")))
+    made = compact_blocks(parts, pressure=F.col("pressure")).select("block_id", F.col("text").alias("made"), "original_chars")
+    written = fields.join(made.select(F.col("block_id").alias("field_id"), F.col("made").alias("text")), "field_id").where(F.length("text") < F.length("value"))
+    input_texts = _written_back(inputs, written).withColumnRenamed("text", "input")
+
+    # A deduplicated result needs no summary.
+    chosen = keyed.where(_large(cfg)).join(dup.select("block_id"), "block_id", "left_anti").select("block_id", "hash", "text", _fresh(cfg).alias("fresh"))
+    known = None if summaries is None else summaries.select("hash", "summary").dropDuplicates(["hash"])
+    misses = chosen.where("fresh") if known is None else chosen.where("fresh").join(known, "hash", "left_anti")
+    fresh = stored(summarise(misses.select("text"), fn), "summaries")  # so that no text goes to the summariser again
+    summed = misses.select("block_id", "hash").join(fresh.select("hash", "summary"), "hash")
+    if known is not None:
+        summed = summed.unionByName(chosen.select("block_id", "hash").join(known, "hash"))
+
+    found = dup.unionByName(summed.where("summary is not null").select("block_id", "summary"), True).unionByName(made.select("block_id", "made"), True).unionByName(input_texts, True)
+    merged = found.groupBy("block_id").agg(*[F.max(c).alias(c) for c in ("kept_ref", "summary", "made", "input")])
+    all_ = keyed.join(merged, "block_id", "left")
+    original, by, is_result = F.col("text"), F.col("by"), F.col("kind") == "tool_result"
+    shorter = lambda x: x.isNotNull() & (F.length(x) < F.length(original))
+    short = tagged(F.substring("hash", 1, cfg.ref_chars), F.col("summary"), F.length(original), cfg.tag)
+    prose = F.when(F.col("old_prose"), shorter_prose(F.col("made"), original))
     source = (
-        F.when(F.col("_ok").isNull(), "none")
+        F.when(is_result & ~F.col("ok"), "none")
         .when(F.col("kept_ref").isNotNull(), "dedup")
-        .when(F.col("summary").isNotNull() & (F.length(short) < F.length(original)), "summary")
-        .when(F.col("_rules").isNotNull(), "clean")
-        .when(F.lit(cfg.prose) & F.col("_prose").isNotNull(), "prose")
-        .when(F.lit(cfg.prose) & F.col("_input").isNotNull(), "input")
+        .when(is_result & shorter(short), "summary")
+        .when(is_result & shorter(F.col("made")), "clean")
+        .when(F.lit(cfg.prose) & shorter(prose), "prose")
+        .when(F.lit(cfg.prose) & shorter(F.col("input")), "input")
         .otherwise("none")
     )
-    text = F.when(by == "dedup", placeholder(F.col("tool"), F.col("kept_ref"), cfg.tag)).when(by == "summary", short).when(by == "clean", F.col("_rules")).when(by == "prose", F.col("_prose")).when(by == "input", F.col("_input")).otherwise(original)
+    text = F.when(by == "dedup", placeholder(F.col("tool"), F.col("kept_ref"), cfg.tag)).when(by == "summary", short).when(by == "clean", F.col("made")).when(by == "prose", prose).when(by == "input", F.col("input")).otherwise(original)
     out = all_.withColumn("by", source).withColumn("_new", text)
     overhead = F.when(by == "summary", F.length("_new") - F.length("summary")).otherwise(0)
     sizes = F.length("text").alias("original_chars"), F.length("_new").alias("compact_chars"), (F.length("text") - F.length("_new")).alias("saved_chars")
     savings = out.select("conv_id", "turn", "part", "tool", by.alias("source"), *sizes, overhead.alias("overhead"))
-    return out.select("conv_id", "turn", "part", "kind", "role", "tool", "call_id", F.col("_new").alias("text"), "skip"), savings
+    return out.select("conv_id", "turn", "part", "kind", "role", "tool", "call_id", F.col("_new").alias("text"), "skip"), savings, fresh
 
 
 #: Variants of a training pair; the share of non-blank lines is that of the local summary.

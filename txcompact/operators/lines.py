@@ -20,13 +20,16 @@ def so_far() -> Window:
     return in_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def to_lines(blocks: DataFrame, id_col: str = "block_id", text_col: str = "text") -> DataFrame:
-    return blocks.select(F.col(id_col).alias("block_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+def to_lines(blocks: DataFrame, id_col: str = "block_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``block_id, pos, line``, and of each block the columns ``keep``."""
+    split = blocks.select(F.col(id_col).alias("block_id"), *keep, F.split(text_col, "\n", -1).alias("_l"))
+    return split.select("block_id", *keep, F.posexplode("_l").alias("pos", "line"))
 
 
-def to_texts(lines: DataFrame) -> DataFrame:
-    """``block_id, text`` from lines in the order of ``pos``."""
-    return lines.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def to_texts(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``block_id, text`` from lines in the order of ``pos``, and the blocks' columns ``keep``."""
+    same = [F.first(c).alias(c) for c in keep]
+    return lines.groupBy("block_id").agg(*same, F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
 def keep_lines(lines: DataFrame, predicate: Column) -> DataFrame:
@@ -85,6 +88,12 @@ def context_budget(lines: DataFrame, changed: Column, allowed: int = 1) -> DataF
     return lines.withColumn("_last", last).where(F.col("pos") - F.col("_last") <= allowed).drop("_last")
 
 
+def _relined(lines: DataFrame, shown: Column, columns: list[str]) -> DataFrame:
+    """For each line those of ``shown`` (an array); the other ``columns`` are carried."""
+    rest = [c for c in columns if c not in ("pos", "line")]
+    return lines.select(*rest, F.col("pos").alias("_p"), F.posexplode(shown).alias("_k", "line")).select(*rest, (F.col("_p") * 2 + F.col("_k")).alias("pos"), "line")
+
+
 def dedup_lines(lines: DataFrame, min_count: int = 3, consecutive_only: bool = False) -> DataFrame:
     """Of a line found ``min_count`` times or more in its block (trimmed; blank lines never) the first stays, followed by
     a line that says how many went. ``consecutive_only`` looks at unbroken runs only."""
@@ -94,20 +103,25 @@ def dedup_lines(lines: DataFrame, min_count: int = 3, consecutive_only: bool = F
         broke = F.when(F.lag("_key").over(in_order()).eqNullSafe(F.col("_key")), 0).otherwise(1)
         keyed = keyed.withColumn("_broke", broke).withColumn("_run", F.sum("_broke").over(so_far())).drop("_broke")
         parts.append("_run")
-    w = Window.partitionBy(*parts)
-    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_rn", F.row_number().over(w.orderBy("pos")))
+    w = Window.partitionBy(*parts).orderBy("pos")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = keyed.withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_rn", F.row_number().over(w))
     often = (F.col("_key") != "") & (F.col("_n") >= min_count)
     shown = F.when(often, F.array(F.col("line"), F.format_string("  ... [repeated %d more times]", F.col("_n") - 1))).otherwise(F.array("line"))
-    return counted.where(~often | (F.col("_rn") == 1)).select("block_id", F.col("pos").alias("_p"), F.posexplode(shown).alias("_k", "line")).select("block_id", (F.col("_p") * 2 + F.col("_k")).alias("pos"), "line")
+    return _relined(counted.where(~often | (F.col("_rn") == 1)), shown, lines.columns)
 
 
 def dedup_islands(lines: DataFrame, flag: Column, min_len: int = 3) -> DataFrame:
-    """Unbroken runs of at least ``min_len`` flagged lines; a run equal to an earlier one of its block becomes one line."""
-    marked = lines.withColumn("_f", flag)
+    """Unbroken runs of at least ``min_len`` flagged lines; a run equal to an earlier one of its block becomes one line. All by
+    windows within blocks, so lines that are dealt by block stay where they are."""
     start = F.when(F.lag("_f").over(in_order()).eqNullSafe(F.col("_f")), 0).otherwise(1)
-    islands = marked.withColumn("_start", start).withColumn("_island", F.sum("_start").over(so_far())).drop("_start")
-    runs = islands.where("_f").groupBy("block_id", "_island").agg(F.count(F.lit(1)).alias("_len"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")).alias("_body")).where(F.col("_len") >= min_len)
-    nth = runs.withColumn("_nth", F.row_number().over(Window.partitionBy("block_id", "_body", "_len").orderBy("_island"))).where("_nth > 1").select("block_id", "_island", "_len")
-    joined = islands.join(nth, ["block_id", "_island"], "left")
-    first = F.row_number().over(Window.partitionBy("block_id", "_island").orderBy("pos")) == 1
-    return joined.withColumn("_first", first).where(F.col("_len").isNull() | F.col("_first")).select("block_id", "pos", F.when(F.col("_len").isNull(), F.col("line")).otherwise(F.format_string("  ... [same %d-frame stack trace repeated]", F.col("_len"))).alias("line"))
+    islands = lines.withColumn("_f", flag).withColumn("_start", start).withColumn("_island", F.sum("_start").over(so_far()))
+    run = by_block("_island").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    body = F.md5(F.array_join(F.collect_list(F.when(F.col("_f"), F.col("line"))).over(run), "\n"))
+    sized = islands.withColumn("_len", F.count(F.lit(1)).over(run)).withColumn("_begin", F.min("pos").over(run)).withColumn("_body", body)
+    long = F.col("_f") & (F.col("_len") >= min_len)
+    first = F.min(F.when(long, F.col("_island"))).over(by_block("_body", "_len"))
+    again = F.coalesce(long & (F.col("_island") > F.col("_first")), F.lit(False))
+    marked = sized.withColumn("_first", first).withColumn("_again", again).where(~F.col("_again") | (F.col("pos") == F.col("_begin")))
+    line = F.when(F.col("_again"), F.format_string("  ... [same %d-frame stack trace repeated]", F.col("_len"))).otherwise(F.col("line"))
+    return marked.withColumn("line", line).select(*lines.columns)

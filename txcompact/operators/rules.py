@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txcompact.functions import text as t
 from txcompact.operators.clean import clean
 from txcompact.operators.lines import by_block, fold_records, group_and_cap, in_order, so_far
+from txcompact.sources.steps import stored
 
 
 def T() -> Column:  # noqa: N802
@@ -349,27 +349,30 @@ def grouped_lines(lines: DataFrame) -> DataFrame:
     return _kept(found.where(stays), line, place, before, after)
 
 
+def _branch() -> Column:
+    """By which kind of pass a classified block's lines are chosen; ``none`` for those that stay as they are."""
+    verbose = (F.col("pattern") == "gitLog") & F.col("text").startswith("commit ") & F.col("text").contains("Author:") & F.col("text").contains("Date:")
+    return (
+        F.when(F.col("pattern").isNull(), "none")
+        .when(verbose, "commits")
+        .when(F.col("pattern") == "gitStatus", "status")
+        .when(F.col("pattern").isin("tsc", "grepCompacted", "globCompacted"), "groups")
+        .otherwise("counted")
+    )
+
+
 def compact_blocks(blocks: DataFrame, rules: list[Rule] = RULES, pressure: Column | float = 0.0, id_col: str = "block_id") -> DataFrame:
     """``block_id, pattern, text, original_chars, compact_chars`` for blocks with ``tool`` and ``text``.
 
-    ``pressure`` (a number, or a column of ``blocks``) tightens the caps. Every block's lines are exploded once, in one of five
-    branches by its pattern; windows and the final aggregation of a branch share the exchange by block."""
+    ``pressure`` (a number, or a column of ``blocks``) tightens the caps. The base clean deals each block's lines once; the cleaned
+    and classified texts are stored by branch, and each of five branches deals the lines of its own blocks once more."""
     at = pressure if isinstance(pressure, Column) else F.lit(float(pressure))
-    named = blocks.select(F.col(id_col).alias("block_id"), "tool", "text", F.coalesce(at, F.lit(0.0)).alias("pressure"))
+    named = blocks.select(F.col(id_col).alias("block_id"), "tool", "text", F.coalesce(at, F.lit(0.0)).alias("pressure")).withColumn("original_chars", F.length("text"))
     is_read = F.lower(F.coalesce("tool", F.lit(""))) == "read"
-    cleaned = clean(named.where(~is_read)).unionByName(clean(named.where(is_read), "read"))
-    found = classify(cleaned.join(named.select("block_id", "tool", "pressure", F.length("text").alias("original_chars")), "block_id"), rules)
-    found = found.persist(StorageLevel.DISK_ONLY)  # each branch below reads its own blocks of it
-    verbose = (F.col("pattern") == "gitLog") & F.col("text").startswith("commit ") & F.col("text").contains("Author:") & F.col("text").contains("Date:")
-    simple, status = _named(rules, "islands", "lines", "drop"), F.col("pattern") == "gitStatus"
-    groups = F.col("pattern").isin("tsc", "grepCompacted", "globCompacted")
-    parts = [
-        island_lines(_lines(found, simple), rules),
-        counted_lines(_lines(found, F.col("pattern").isNotNull() & ~simple & ~verbose & ~status & ~groups), rules),
-        commit_lines(_lines(found, verbose)),
-        status_texts(_lines(found, status)),
-        grouped_lines(_lines(found, groups)),
-    ]
+    found = classify(clean(named, is_read, keep=("tool", "pressure", "original_chars")), rules)
+    found = stored(found.withColumn("branch", F.when(_named(rules, "islands", "lines", "drop"), "simple").otherwise(_branch())), "classified", "branch")
+    branch = lambda name: _lines(found, F.col("branch") == name)
+    parts = [island_lines(branch("simple"), rules), counted_lines(branch("counted"), rules), commit_lines(branch("commits")), status_texts(branch("status")), grouped_lines(branch("groups"))]
     in_place = lambda what, value: F.transform(F.array_sort(F.collect_list(F.when(what, F.struct("pos", value)))), lambda x: x[value])
     texts = None
     for part in parts:

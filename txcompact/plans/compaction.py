@@ -14,8 +14,9 @@ from txcompact.operators import savings as s
 from txcompact.operators.clean import clean
 from txcompact.plans.queries import PRICE_SQL, REQ, SQL, document_blocks, prices, query, read, read_stream, requests
 from txcompact.sources import stores
+from txcompact.sources.steps import shared_dir
 from txcompact.sources.transcripts import SCHEMAS, to_blocks
-from txcompact.streaming.run import available, shared_dir
+from txcompact.streaming.run import available
 
 N = "chr(10)"
 ORDERS = "r AS (SELECT o_custkey AS blk, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS m FROM orders)"
@@ -158,8 +159,8 @@ q AS (SELECT *, CASE WHEN pressure >= 0.9 THEN 150 WHEN pressure >= 0.75 THEN 40
 u AS (SELECT *, array_to_string(CASE WHEN len(ls) <= 2 THEN ls ELSE list_append(ls[1:2], ls[-1]) END, {N}) AS summary,
   CASE WHEN len(ls) > longest THEN '... [' || (len(ls) - last) || ' earlier lines omitted]' || {N} || array_to_string(ls[len(ls) - last + 1 :], {N}) ELSE output END AS ruled FROM q),
 v AS (SELECT *, '[tx:' || md5(output) || ' -' || CAST(floor((1 - length(summary) / length(output)) * 100 + 0.5) AS BIGINT) || '%] ' || summary AS tagged FROM u),
-w AS (SELECT *, CASE WHEN i % 3 = 0 AND i < last_common THEN 'dedup' WHEN i <= m - 3 AND length(output) >= threshold AND length(tagged) < length(output) THEN 'summary' ELSE 'clean' END AS how FROM v),
-z AS (SELECT how AS source, length(output) AS o, CASE how WHEN 'dedup' THEN length('[tx:' || md5(output) || '] same output as in a later turn') WHEN 'summary' THEN length(tagged) ELSE length(ruled) END AS n, CASE how WHEN 'summary' THEN length(tagged) - length(summary) ELSE 0 END AS e FROM w
+w AS (SELECT *, CASE WHEN i % 3 = 0 AND i < last_common THEN 'dedup' WHEN i <= m - 3 AND length(output) >= threshold AND length(tagged) < length(output) THEN 'summary' WHEN length(ruled) < length(output) THEN 'clean' ELSE 'none' END AS how FROM v),
+z AS (SELECT how AS source, length(output) AS o, CASE how WHEN 'dedup' THEN length('[tx:' || md5(output) || '] same output as in a later turn') WHEN 'summary' THEN length(tagged) WHEN 'clean' THEN length(ruled) ELSE length(output) END AS n, CASE how WHEN 'summary' THEN length(tagged) - length(summary) ELSE 0 END AS e FROM w
   UNION ALL SELECT CASE WHEN i <= m - {prose_recent} THEN 'prose' ELSE 'none' END, length(said), CASE WHEN i <= m - {prose_recent} THEN length(short_said) ELSE length(said) END, 0 FROM w
   UNION ALL SELECT CASE WHEN i <= m - 3 AND length(command) >= 200 THEN 'input' ELSE 'none' END, length(command) + 14, CASE WHEN i <= m - 3 AND length(command) >= 200 THEN length(command) + 13 ELSE length(command) + 14 END, 0 FROM w)
 SELECT source, count(*) AS blocks, CAST(sum(o) AS BIGINT) AS original_chars, CAST(sum(n) AS BIGINT) AS compact_chars, CAST(sum(e) AS BIGINT) AS overhead FROM z GROUP BY source"""

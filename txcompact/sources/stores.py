@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def opened(spark: SparkSession, path: str) -> DataFrame | None:
+    """The store at ``path``; None where there is none yet."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
@@ -21,7 +22,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 def append_new(rows: DataFrame, path: str, key: str = "hash") -> None:
     """Appends the rows of which the store at ``path`` has no ``key`` yet, each key once."""
-    have = _stored(rows.sparkSession, path)
+    have = opened(rows.sparkSession, path)
     new = rows.dropDuplicates([key])
     (new if have is None else new.join(have.select(key), key, "left_anti")).write.mode("append").parquet(path)
 

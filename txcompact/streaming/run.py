@@ -5,20 +5,13 @@ Each micro-batch overwrites a folder of its own number, so a batch that runs twi
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return (found or tempfile.mkdtemp(prefix="spark-stream-")).rstrip("/")
+from txcompact.sources.steps import shared_dir
 
 
 def available(result: DataFrame, mode: str = "append", keys: list[str] | None = None, each: Callable[[DataFrame], DataFrame] = lambda rows: rows, carry: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
