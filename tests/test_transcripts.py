@@ -147,3 +147,79 @@ def test_overrides_bypasses_and_shares(spark):
     assert {r.id: r.project for r in named.collect()} == {1: "mine", 2: "y", None: "z"}
     assert {r.id: r.saved_chars for r in s.bypass(rows, F.col("id") == 1).collect()} == {1: 0, 2: 0, None: 5}
     assert {r.project: r.share_of_max for r in s.with_share(rows.withColumn("dim", F.lit("project"))).collect()} == {"x": 1.0, "y": 0.0, "z": 0.5}
+
+
+def test_stores_are_compacted_under_their_readers(spark, tmp_path):
+    from txcompact.sources.stores import Generations
+
+    store = Generations(spark, str(tmp_path / "store"), "k", "v")
+    assert store.read() is None and store.compact() == 0
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k string, v int").coalesce(1)
+    got = lambda: {(r.k, r.v) for r in store.read().collect()}
+    store.append(rows(("a", 1), ("b", 2)))
+    store.append(rows(("a", 3), ("c", 1)))
+    assert got() == {("a", 3), ("b", 2), ("c", 1)} and store.files() == 2
+    reader = store.read()
+    assert store.compact(2) == 1 and got() == {("a", 3), ("b", 2)} and store.files() == 1
+    assert {r.k for r in reader.collect()} == {"a", "b", "c"}  # one that began before sees all of the old
+    rows(("d", 9)).withColumn("batch", F.lit("slow")).write.mode("append").partitionBy("batch").parquet(f"{store.path}/log/0")  # began before the switch
+    assert got() == {("a", 3), ("b", 2), ("d", 9)}
+    assert store.compact(2) == 2 and got() == {("a", 3), ("d", 9)} and store.compact() == 3 and got() == {("a", 3), ("d", 9)}
+
+
+def test_lines_are_stitched_over_many_chunks(spark):
+    from txcompact.sources.transcripts import stitched_lines
+
+    text = "first line\n\na line of some length\nlast without end"
+    for size in (1, 3, 7, 100):
+        rows = [(s, i // size, text[i : i + size]) for s in ("x", "y") for i in range(0, len(text), size)] + [("z", 0, None)]
+        got = stitched_lines(spark.createDataFrame(rows, "s string, n int, c string"), ["s"], "n", "c").orderBy("s", "no").collect()
+        assert [(r.s, r.line) for r in got] == [(s, x) for s in ("x", "y") for x in text.split("\n")[:-1]]
+
+
+def test_mixed_content_loses_no_message(spark):
+    from txcompact.sources.transcripts import blocks_of_json
+
+    messages = [
+        {"role": "user", "content": "a plain string message"},
+        {"role": "assistant", "content": [{"type": "text", "text": "hi"}, {"type": "tool_use", "id": "t", "name": "Bash", "input": {"command": "ls"}}]},
+        {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t", "content": [{"type": "text", "text": "one"}, {"type": "image"}, {"type": "text", "text": "two"}]}]},
+        {"role": "user", "content": None},
+    ]
+    chat = [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": None, "tool_calls": [{"id": "t", "function": {"name": "Bash", "arguments": "{}"}}]}, {"role": "tool", "tool_call_id": "t", "content": "out"}]
+    rows = {
+        "anthropic": ({"messages": messages}, [("text", None, "a plain string message"), ("text", None, "hi"), ("tool_use", "Bash", '{"command":"ls"}'), ("tool_result", "Bash", "one\ntwo"), ("other", None, "")]),
+        "openai": ({"messages": chat}, [("text", None, "a\nb"), ("tool_use", "Bash", "{}"), ("tool_result", "Bash", "out")]),
+        "responses": ({"messages": chat}, [("text", None, "a\nb"), ("tool_use", "Bash", "{}"), ("tool_result", "Bash", "out")]),
+        "gemini": ({"contents": [{"role": "user", "parts": [{"functionResponse": {"name": "Bash", "response": {"output": "x"}}}]}]}, [("tool_result", "Bash", '{"output":"x"}')]),
+    }
+    for shape, (body, want) in rows.items():
+        df = spark.createDataFrame([("c", json.dumps(body)), ("bad", "{broken")], "conv_id string, body string")
+        assert [(r.kind, r.tool, r.text) for r in blocks_of_json(df, shape).orderBy("turn", "part").collect()] == want, shape
+    lone = spark.createDataFrame([("c", json.dumps({"input": "just this"}))], "conv_id string, body string")
+    assert [(r.role, r.text) for r in blocks_of_json(lone, "responses").collect()] == [("user", "just this")]
+
+
+def test_json_keeps_keys_and_numbers(spark):
+    body = '{ "z": 1.0,\n  "a": "two  words \\" { }",  "n": [1, 2.50 ],' + ' "pad": "' + "x" * 200 + '" }'
+    text = f"before {body} after {{ {{ {{ \n" + "{ " * 50_000
+    got = spark.createDataFrame([(text,)], "x string").select(t.minify_json(F.col("x"))).first()[0]
+    assert got == text.replace(body, '{"z":1.0,"a":"two  words \\" { }","n":[1,2.50],"pad":"' + "x" * 200 + '"}')
+
+
+def test_recency_counts_eligible_results_and_whole_messages(spark):
+    schema = "conv_id string, turn int, part int, kind string, role string, tool string, call_id string, text string, skip boolean"
+    body = lambda i: f"result {i}" + " word" * 200
+    rows = [("c", i, 0, "tool_result", "user", "webfetch" if i > 3 else "bash", f"t{i}", body(i), False) for i in range(7)]
+    picked = c.select_candidates(spark.createDataFrame(rows, schema), CompactionConfig(threshold=100, keep_recent=3, skip_tools=("webfetch",)))
+    assert [r.turn for r in picked.collect()] == [0]
+    twice = [("c", i, 0, "tool_result", "user", tool, None, body(0), False) for i, tool in enumerate(["webfetch", "webfetch", "Read", "Bash"])]
+    _, saved = c.compact_conversations(spark.createDataFrame(twice, schema), CompactionConfig(threshold=100_000))
+    assert {r.turn: r.source for r in saved.collect()} == {0: "none", 1: "none", 2: "dedup", 3: "none"}
+    long = "We did all this in order to finish, with regard to it. " * 10
+    prose = [("c", 0, 0, "text", "user", None, None, long, False), ("c", 1, 0, "text", "assistant", None, None, "ok", False), ("c", 2, 0, "tool_result", "user", "bash", "t", "short", False)]
+    _, saved = c.compact_conversations(spark.createDataFrame(prose, schema), CompactionConfig())
+    assert {r.turn: r.source for r in saved.collect()} == {0: "prose", 1: "none", 2: "none"}  # the live message is the result
+    stored_ = spark.createDataFrame([(r[7],) for r in rows[:3]], "text string").select(F.md5("text").alias("hash"), F.lit("kept").alias("summary"))
+    _, saved = c.compact_conversations(spark.createDataFrame([(*r[:5], "bash", *r[6:]) for r in rows], schema), CompactionConfig(threshold=100, keep_recent=0, new_rule="last_message"), stored_)
+    assert {r.turn: r.source for r in saved.collect()} == {0: "summary", 1: "summary", 2: "summary", 3: "none", 4: "none", 5: "none", 6: "summary"}

@@ -250,6 +250,29 @@ def originals_store(spark, sf_dir):
     return stores.read_store(spark, at).select("hash", "block_id6", F.length("text").alias("chars"))
 
 
+@query("WITH x AS (SELECT md5(text) AS hash, max(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT hash, doc_id, (SELECT count(*) FROM x) >= 100 AS full FROM x ORDER BY doc_id DESC, hash LIMIT 100")
+def compacted_store(spark, sf_dir):
+    """A store of a hundred entries: two appends that overlap, a compaction, one more append, and a compaction that evicts the oldest."""
+    store = stores.Generations(spark, f"{shared_dir(spark)}/generations-{uuid.uuid4().hex}", "hash", "doc_id")
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.md5("text").alias("hash"), "doc_id")
+    store.append(docs.where("doc_id % 3 = 0"))
+    store.append(docs.where("doc_id % 3 <> 2"))
+    store.compact()
+    store.append(docs.where("doc_id % 3 = 2"))
+    store.compact(100)
+    return store.read().select("hash", "doc_id", F.lit(store.read().count() == 100).alias("full"))
+
+
+@query(f"{REQ}, x AS (SELECT session_id, count(*) AS requests, max(ts) AS last_ts FROM req GROUP BY session_id) SELECT session_id, requests FROM x ORDER BY last_ts DESC, session_id LIMIT 50")
+def session_history(spark, sf_dir):
+    """A history of sessions written twice, first with the log's first half: later rows replace earlier ones, the last fifty stay."""
+    store = stores.Generations(spark, f"{shared_dir(spark)}/history-{uuid.uuid4().hex}", "session_id", "last_ts")
+    log = requests(spark, sf_dir)
+    for part in (log.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp")), log):
+        stores.upsert_sessions(store, part.groupBy("session_id").agg(F.count(F.lit(1)).alias("requests"), F.max("ts").alias("last_ts")), 50)
+    return store.read().select("session_id", "requests")
+
+
 @query(f"{REQ} SELECT tool, count(*) AS requests, CAST(sum(saved_chars) AS BIGINT) AS saved_chars FROM req GROUP BY tool")
 def request_facts(spark, sf_dir):
     """Facts of requests appended in two parts; totals are worked out from them."""

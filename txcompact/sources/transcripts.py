@@ -8,7 +8,7 @@ result are joined by newlines. A message without any text keeps its place by a b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SKIP = r"(?i)#\s*tx:\s*skip"
@@ -141,6 +141,19 @@ def tool_input_fields(blocks: DataFrame, min_len: int = 200) -> DataFrame:
     return blocks.where("kind = 'tool_use'").select("conv_id", "turn", "part", "tool", F.inline(F.filter(every, lambda x: x.isNotNull() & (F.length(x["value"]) >= min_len))))
 
 
+def stitched_lines(chunks: DataFrame, by: list[str], order: str, chunk: str) -> DataFrame:
+    """``by``, ``no`` and ``line``: whole lines of texts that came in chunks cut anywhere; a last line without its end is not given.
+
+    A line's number is the count of line ends before it, so only counts pass the window; its pieces then meet by number."""
+    pieces = chunks.select(*by, order, F.split(F.coalesce(F.col(chunk), F.lit("")), "\n", -1).alias("_p"))
+    ends = F.sum(F.size("_p") - 1).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = pieces.select(*by, order, (F.size("_p") - 1).alias("_n"), "_p").withColumn("_before", ends - F.col("_n"))
+    total = F.max(F.col("_before") + F.col("_n")).over(Window.partitionBy(*by))
+    each = counts.withColumn("_all", total).select(*by, order, "_before", "_all", F.posexplode("_p").alias("_k", "piece")).withColumn("no", F.col("_before") + F.col("_k"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "piece"))), lambda x: x["piece"]), "")
+    return each.where(F.col("no") < F.col("_all")).groupBy(*by, "no").agg(joined.alias("line"))
+
+
 USAGE = "struct<type:string,message:struct<usage:struct<input_tokens:long,output_tokens:long>>,usage:struct<input_tokens:long,output_tokens:long,prompt_tokens:long,completion_tokens:long>,usageMetadata:struct<promptTokenCount:long,candidatesTokenCount:long>>"
 
 
