@@ -1,11 +1,16 @@
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.helpers import plain_components, plain_fingerprint, plain_hits, plain_line_dedup
+from txcompact.llm import near_copies
+from txcompact.llm.labelled import within
 
 TOXIC = ["idiot", "moron"]
 
@@ -158,3 +163,32 @@ def test_a_chain_of_drifting_texts_is_one_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in got.collect()) == [0, 100, 101, 102, 103]
+
+
+def test_prefixes_meet_however_many_halves_are_shared():
+    rng = np.random.default_rng(7)
+    for bits in (4, 7, 10, 40):
+        for _ in range(300):
+            n = int(rng.integers(1, 120))
+            pool = np.unique(rng.integers(0, 1 << bits, 3 * n) << 32 | rng.integers(0, 1 << 20, 3 * n))
+            a = rng.choice(pool, min(n, len(pool)), replace=False)
+            b = np.unique(np.r_[a[: max(1, int(len(a) * rng.uniform(0.75, 1)))], rng.choice(pool, 3)])
+            if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+                continue
+            first = [near_copies.upper(x)[: near_copies.prefix_length(len(x))] for x in (np.unique(a), b)]
+            assert len(np.intersect1d(*first))
+
+
+def test_one_of_a_group_stays_beside_any_columns(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, text if i < 4 else f"{text} more{i}" if i < 6 else f"another text number {i} with words of its own", {"k": i}, i, "x", None) for i in (3, 2, 2, 2, 5, 6, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, _id int, _th string, _rows string").withColumn("x", F.lit(1))
+    got = near_copies.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r._id, r.m["k"]) for r in got.collect()) == [(2, 2, 2), (6, 6, 6), (7, 7, 7)]
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_a_bounded_sample_stops_at_the_first_that_does_not_fit():
+    rows = [(1, 5, 0, 10), (2, 1, 1, 90), (3, 2, 0, 50), (4, 3, 1, 10), (5, 4, 0, 5)]
+    assert within(rows, 100) == [4, 5] and within(rows, 1000) == [1, 2, 3, 4, 5] and within(rows, 160) == [2, 3, 4, 5]

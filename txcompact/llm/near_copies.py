@@ -3,8 +3,8 @@
 Two texts are linked if their sets of five-word shingles (lower-cased words, 64-bit hashes) have a Jaccard similarity of 0.8 or
 more, or if their fingerprints differ in four bits or fewer. Candidates come by prefix filtering: with all shingles in
 one order, two sets that similar share one of their first ``n - ceil(0.8 n) + 1``, so no pair is missed whatever
-the order is. Shingles that many prefixes hold come last in it. Candidates are looked for on the hashes' upper 32 bits, with two
-more hashes in each prefix than that, as shingles may share them. Of a pair in the same posting list an upper bound of the overlap
+the order is. Shingles that many prefixes hold come last in it. Candidates are looked for on the hashes' upper 32 bits; the
+prefix's length goes by the number of whole hashes, which makes up for shingles that share a half. Of a pair in the same posting list an upper bound of the overlap
 (least counts in 128 buckets) must reach what 0.8 needs, then the same bound over buckets as many as half of the longer set; what
 is left is intersected exactly, on sets that are made anew from the texts in question. A first round links each list's members
 with that one whose lists hold most sets (of a group of copies the one they come from, which has all they share), a second compares only members that are in different components by then, in lists that hold several. Each set
@@ -60,8 +60,10 @@ def upper(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_length(n):
-    """So many first shingles of a set of ``n`` meet those of any set with similarity 0.8, even if two pairs of shingles share a hash."""
-    return n - (4 * n + 4) // 5 + 3
+    """So many first half hashes of a set of ``n`` shingles meet those of any set with similarity 0.8, however many of its
+    shingles share a half hash: if c do, the set has n - c halves, and at least ceil(0.8 n) - c of them stand for what the sets share; the first
+    of these in the order has no more than n - ceil(0.8 n) before it."""
+    return n - (4 * n + 4) // 5 + 1
 
 
 def prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,16 +102,16 @@ def postings(sets: DataFrame, last: np.ndarray) -> DataFrame:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
                 got = []
-                for h in b.column(1):
+                for h, n in zip(b.column(1), b.column(2).to_pylist()):
                     h = h.values.to_numpy(zero_copy_only=False)
                     if len(last) and len(h):
                         late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                         h = np.r_[h[~late], h[late]] if late.any() else h
-                    got.append(h[: prefix_length(len(h))] if len(h) else h)
+                    got.append(h[: prefix_length(n)] if len(h) else h)
                 sids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), [len(x) for x in got])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got), pa.int32()), pa.array(sids, pa.int64())], names=["h", "sid"])
 
-    return sets.where("n > 0").select("sid", "shingles").mapInArrow(run, "h int, sid long")
+    return sets.where("n > 0").select("sid", "shingles", "n").mapInArrow(run, "h int, sid long")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 100_000) -> Iterator[pa.Table]:
@@ -311,18 +313,22 @@ def jaccard_links(sets: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFra
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component of near copies one row: that with the least id, nulls last."""
-    sets = stored(prints(docs, id_col, text_col), "near-prints")
+    """Of each component of near copies one row: that with the least id, nulls last. Of rows equal in id and text one stays, the first
+    by its other columns written as JSON; these may have any names and types. An empty table gives no rows."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    docs, columns = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.struct(*rest).alias("_rest") if rest else F.struct(F.lit(0).alias("none")).alias("_rest")), docs.columns
+    sets = stored(prints(docs, "_i", "_t"), "near-prints")
     by_print = stored(sets.groupBy("fp").agg(F.min("sid").alias("rep")), "distinct-prints")
     ends = [by_print.select(F.col("fp").alias(x), F.col("rep").alias(f"rep_{x}")) for x in "ab"]
     by_bits = near_links(by_print.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     same_print = sets.select("fp", "sid").distinct().join(by_print, "fp").select(F.col("sid").alias("a"), F.col("rep").alias("b"))
     texts = stored(sets.groupBy("sid").agg(F.min("th").alias("th")), "set-texts")
-    links = jaccard_links(sets, docs.select(F.col(text_col).alias("t")), texts)
+    links = jaccard_links(sets, docs.select(F.col("_t").alias("t")), texts)
     roots = components(links.unionByName(by_bits).unionByName(same_print)).select(F.col("node").alias("sid"), "root")
-    rows = sets.groupBy("sid", F.col(id_col).alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = sets.groupBy("sid", F.col("_i").alias("_id"), F.col("th").alias("_th")).agg(F.count(F.lit(1)).alias("_rows"))
     least = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_th", "_rows")).alias("x")
     stay = stored(rows.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(least).select("x._id", "x._th", "x._rows"), "kept-rows")
-    met = docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")))
-    again = met.where("_rows > 1").groupBy("_id", "_th").agg(F.min(F.struct(*docs.columns)).alias("x")).select("x.*")
-    return met.where("_rows = 1").select(*docs.columns).unionByName(again)
+    met = docs.join(stay, F.col("_i").eqNullSafe(F.col("_id")) & (F.xxhash64("_t") == F.col("_th")))
+    again = met.where("_rows > 1").groupBy("_id", "_th").agg(F.min_by(F.struct("_i", "_t", "_rest"), F.to_json("_rest")).alias("x")).select("x.*")
+    kept = met.where("_rows = 1").select("_i", "_t", "_rest").unionByName(again)
+    return kept.select(*[F.col("_i").alias(c) if c == id_col else F.col("_t").alias(c) if c == text_col else F.col("_rest")[c].alias(c) for c in columns])
