@@ -20,7 +20,8 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_R
     Learns only from ids whose crc32 modulo 5 is not 0. Ids are drawn by a hash; only the drawn ids, at most
     ``rows`` of them, are broadcast to find their texts. Null labels are left out; of several labels of an id the greatest counts,
     and of several rows of an id the one with the greatest text (null: empty), so that no more rows than ids reach the driver. Of these
-    rows, in a fixed order, those are taken that together have at most ``chars`` characters; of each class the shortest always is."""
+    rows, in a fixed order that knows no lengths, those are taken before the first that does not fit in ``chars`` characters together; of
+    each class the shortest always is."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (in_bucket("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(label).alias("_label"))
     sizes = {int(r[0]): r[1] for r in known.groupBy("_label").count().collect()}
     drawn = None
@@ -37,13 +38,17 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = FIT_R
 
 
 def within(rows: list, chars: int) -> list[int]:
-    """Ids of ``rows`` (id, place in the order, label, length) of at most ``chars`` characters together, and each class's shortest."""
+    """Ids of ``rows`` (id, place in the order, label, length) before the first that goes beyond ``chars`` characters together, and each
+    class's shortest. Shorter ones behind it are not taken, as a sample that prefers them would be one of short texts."""
     shortest = {r[2]: r for r in sorted(rows, key=lambda r: (-r[3], r[0]))}
     taken, total = {r[0] for r in shortest.values()}, sum(r[3] for r in shortest.values())
     for r in sorted(rows, key=lambda r: (r[1], r[0])):
-        if r[0] not in taken and total + r[3] <= chars:
-            taken.add(r[0])
-            total += r[3]
+        if r[0] in taken:
+            continue
+        if total + r[3] > chars:
+            break
+        taken.add(r[0])
+        total += r[3]
     return sorted(taken)
 
 
