@@ -117,7 +117,7 @@ class Generations:
         """Files of entries that a reader opens."""
         number = self.current()
         parts = (opened(self.spark, f"{self.path}/generation/{number}/entries"), self._log(number))
-        return sum(len(p.inputFiles()) for p in parts if p is not None)
+        return sum(p.select(F.input_file_name()).distinct().count() for p in parts if p is not None)
 
 
 def upsert_sessions(store: Generations, sessions: DataFrame, keep: int = 500) -> None:
