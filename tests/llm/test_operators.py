@@ -249,8 +249,8 @@ def plain_ppm(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("node_limit", [4_000_000, 60])
-def test_lm_scores_match_plain(odd_docs, node_limit):
+@pytest.mark.parametrize("node_limit, chunk_bytes, at_a_time", [(4_000_000, 4_000_000, 8_000_000), (60, 4_000_000, 8_000_000), (60, 50, 40)])
+def test_lm_scores_match_plain(odd_docs, node_limit, chunk_bytes, at_a_time):
     docs = odd_docs.where("doc_id is null or doc_id <> 6").withColumn("is_training", F.expr("coalesce(doc_id, 0) % 3 <> 1"))
     rows = [(r.doc_id, r.text, r.is_training) for r in docs.select("doc_id", "text", "is_training").collect()]
     norm = [(i, (t or "").encode().lower().split(), f) for i, t, f in rows]
@@ -262,16 +262,26 @@ def test_lm_scores_match_plain(odd_docs, node_limit):
         tokens = [*w, b"\n"]
         base = sum(math.log10((count[x] + 1) / (n + v + 1)) for x in tokens)
         want.append((str(i), f, len(tokens), sum(count[x] > 0 for x in tokens), n, round(base, 6), round(plain_ppm(train, b" ".join(w) + b"\n", 3), 6)))
-    got = ppm.score_corpus(docs, "is_training", order=3, node_limit=node_limit, frequent_limit=5).collect()
+    got = ppm.score_corpus(docs, "is_training", order=3, node_limit=node_limit, frequent_limit=5, chunk_bytes=chunk_bytes, at_a_time=at_a_time).collect()
     assert sorted((str(r[0]), *r[1:5], round(r[5], 6), round(r[6], 6)) for r in got) == sorted(want)
 
 
-def test_lm_without_training_and_adaptive(odd_docs):
+def test_lm_without_training(odd_docs):
     few = odd_docs.where("doc_id = 1 or doc_id = 2").withColumn("t", F.lit(False))
     for r in ppm.score_corpus(few, "t").collect():
         n = 1 if r.doc_id == 2 else 78
         assert r.score == pytest.approx(-n * math.log10(256)) and r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0
     assert ppm.score_corpus(few.limit(0), "t").count() == 0
+
+
+def test_lm_shards_equal_one_trie(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("t", F.expr("doc_id % 3 = 0"))
+    scores = lambda **k: {r.doc_id: round(r.score, 6) for r in ppm.score_corpus(docs, "t", **k).collect()}
+    assert scores() == scores(node_limit=3000, chunk_bytes=20_000, at_a_time=5000)
+
+
+def test_lm_adaptive(odd_docs):
+    few = odd_docs.where("doc_id = 1 or doc_id = 2")
     once, twice = (ppm.adaptive_log10(b"the cat sat on the mat " * k) for k in (1, 2))
     assert once < twice - once < 0
     assert ppm.score_adaptive(few).count() == 3

@@ -8,10 +8,12 @@ seen), and the next shorter context leaves out the bytes already excluded. As al
 context are also seen in the shorter one, what an exclusion leaves is a fixed number for each trie node,
 so a gram's code length is worked out once and looked up in a hash table by every position that needs it.
 
-The trie is broadcast while it has at most ``node_limit`` grams; beyond, the last two bytes of the context are
-dealt, by their measured numbers of grams, to shards of at most that limit (one pair of bytes may exceed it
-alone), and each shard scores the positions that are its own: any size is scored exactly. Each shard is one
-more pass over the texts; their number follows that of the distinct grams, which grows far slower than the corpus. ``adaptive_log10`` instead starts from nothing and learns along each text.
+The trie is broadcast while it has at most ``node_limit`` grams. Beyond, the last two bytes of the context are
+dealt, by their measured numbers of grams, to shards of at most that limit; one pair of bytes may exceed it alone, by what
+``order - 2`` bytes and the next one can spell, whatever the corpus' size. Tasks then build the shards' tries and answer what they are
+asked: texts go in chunks of some megabytes, each asks every shard once for its different grams, and the answers
+meet the chunk again. So all shards take one pass, and what is shuffled grows with the texts alone. Both
+ways are exact. ``adaptive_log10`` instead starts from nothing and learns along each text.
 
 The unigram base score needs the corpus count of every token: counts of the frequent tokens (a bounded
 number) are broadcast, all others are joined by a shuffle.
@@ -29,9 +31,12 @@ from dataclasses import dataclass
 from heapq import heappop, heappush
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from txcompact.llm.common import in_bucket, stored, table
 
@@ -305,7 +310,102 @@ def _grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return g[order], got["n"].to_numpy()[order]
 
 
-def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text_col: str = "text", order: int = 4, node_limit: int = 4_000_000, frequent_limit: int = 200_000) -> DataFrame:
+def _chunked(rows: DataFrame, text_col: str, limit: int) -> DataFrame:
+    """``rows`` with ``chunk``: the ``_row`` that begins its run of rows of a task, of about ``limit`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = None, 0
+        for b in batches:
+            at = []
+            for row, n in zip(b.column("_row").to_pylist(), pc.binary_length(b.column(text_col)).to_pylist()):
+                if chunk is None or size + (n or 0) > limit:
+                    chunk, size = row, 0
+                size += n or 0
+                at.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=[*b.schema.names, "chunk"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("chunk", LongType())]))
+
+
+def _sums(texts: list[bytes], order: int, log10, limit: int = 1_000_000) -> np.ndarray:
+    """Sums of ``log10`` over each normalised text's grams, for about ``limit`` bytes at a time."""
+    out, part, size = [np.zeros(0)], [], 0
+    for i, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= limit or i == len(texts) - 1:
+            code, first, last = codes_of(part, order)
+            out.append(np.add.reduceat(np.r_[log10(code), 0], np.column_stack([first, last]).ravel())[::2])
+            part, size = [], 0
+    return np.concatenate(out)
+
+
+def _asked(rows: DataFrame, order: int, dealt: np.ndarray) -> DataFrame:
+    """``chunk, shard, codes``: the different grams of each chunk's texts that a shard has to answer for."""
+
+    def ask(chunk: int, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        seen = []
+        _sums([normalised(words_of(t)) for t in texts], order, lambda code: seen.append(np.unique(code)) or np.zeros(len(code)))
+        code = np.unique(np.concatenate(seen))
+        shard = dealt[pair_of(code)]
+        by = np.argsort(shard, kind="stable")
+        found, begin = np.unique(shard[by], return_index=True)
+        packed = [x.astype("<u8").tobytes() for x in np.split(code[by], begin[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "shard", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for b in batches:
+            for chunk, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if held and chunk != at:
+                    yield from ask(at, held)
+                    held = []
+                at = chunk
+                held.append(text)
+        if held:
+            yield from ask(at, held)
+
+    return rows.select("chunk", "_text").mapInArrow(run, "chunk long, shard int, codes binary")
+
+
+def _sharded_scores(rows: DataFrame, grams: DataFrame, low: tuple[np.ndarray, np.ndarray], dealt: np.ndarray, order: int, at_a_time: int) -> DataFrame:
+    """``_row, score`` by tries that tasks build, one for each shard and for about ``at_a_time`` grams that it is asked for."""
+    asked = stored(_asked(rows, order, dealt), "lm-asked")
+    most = asked.groupBy("shard").agg(F.sum(F.octet_length("codes")).alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // (8 * at_a_time)))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        g = part["g"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(g)
+        return pd.DataFrame({"shard": part["shard"].iloc[:1], "top": [g[by].tobytes()], "n": [part["n"].to_numpy(np.int64)[by].tobytes()]})
+
+    known = grams.select("shard", F.conv(F.hex("key"), 16, -10).cast("long").alias("g"), "n").groupBy("shard").applyInPandas(pack, "shard int, top binary, n binary")
+    known = known.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asks = asked.withColumn("block", F.pmod(F.xxhash64("chunk"), F.lit(blocks)).cast("int"))
+
+    def answer(key: tuple, tries: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(asks):
+            return pd.DataFrame({"chunk": [], "codes": [], "values": []})
+        top, n = (np.frombuffer(tries[c].iloc[0], t) for c, t in (("top", np.uint64), ("n", np.int64)))
+        trie = Trie.build(top, n, order, low, dealt, key[0])
+        values = [trie.log10(np.frombuffer(c, "<u8")).tobytes() for c in asks["codes"]]
+        return pd.DataFrame({"chunk": asks["chunk"], "codes": asks["codes"], "values": values})
+
+    key = ["shard", "block"]
+    answers = known.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(answer, "chunk long, codes binary, values binary")
+
+    def score(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        code, first = np.unique(np.concatenate([np.frombuffer(c, "<u8") for c in found["codes"]]), return_index=True)
+        value = np.concatenate([np.frombuffer(v, "<f8") for v in found["values"]])[first]
+        sums = _sums([normalised(words_of(t)) for t in texts["_text"]], order, lambda c: value[np.minimum(np.searchsorted(code, c), len(code) - 1)])
+        return pd.DataFrame({"_row": texts["_row"], "score": sums})
+
+    return rows.select("chunk", "_row", "_text").groupBy("chunk").cogroup(stored(answers, "lm-answers").groupBy("chunk")).applyInPandas(score, "_row long, score double")
+
+
+def score_corpus(
+    docs: DataFrame, is_training: str, id_col: str = "doc_id", text_col: str = "text", order: int = 4, node_limit: int = 4_000_000, frequent_limit: int = 200_000, chunk_bytes: int = 4_000_000, at_a_time: int = 8_000_000
+) -> DataFrame:
     """``id_col, is_training, n_tokens, n_known, train_tokens, base_score, score`` of every row, from a trie and
     token counts over the rows whose boolean column ``is_training`` is true."""
     spark = docs.sparkSession
@@ -313,63 +413,50 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
     tokens, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
     all_tokens, kinds = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     den = all_tokens + 1 * (kinds + 1)
-    byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
-    pair = byte(6) * 256 + byte(7)
-    dealt, shards = None, 1
-    if grams.count() > node_limit:
+    rows = docs.select(id_col, is_training, F.col(text_col).cast("binary").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    sharded = grams.count() > node_limit
+    if sharded:
+        byte = lambda i: F.conv(F.hex(F.substring("key", i, 1)), 16, 10).cast("int")
+        pair = byte(6) * 256 + byte(7)
         dealt = deal_pairs({r[0]: r[1] for r in grams.groupBy(pair.alias("pair")).count().collect()}, node_limit)
-        shards = int(dealt.max()) + 1
         named = spark.createDataFrame([(i, int(s)) for i, s in enumerate(dealt)], "pair int, shard int")
-        grams = stored(grams.withColumn("pair", pair).join(F.broadcast(named), "pair").select("key", "n", "shard").repartition("shard"), "lm-grams")
-    rows = docs.select(id_col, is_training, F.col(text_col).cast("binary").alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    if shards > 1:
-        rows = stored(rows, "lm-texts")
-    low = None
-    if shards > 1:
         got = grams.groupBy((byte(7) * 256 + byte(8)).alias("g")).agg(F.sum("n").alias("n")).orderBy("g").toArrow()
         low = got["g"].to_numpy().astype(np.uint64), got["n"].to_numpy()
+        rows = stored(_chunked(rows, "_text", chunk_bytes), "lm-texts")
+        others = _sharded_scores(rows, grams.withColumn("pair", pair).join(F.broadcast(named), "pair"), low, dealt, order, at_a_time)
+        rows = rows.drop("chunk")
+    trie = None if sharded else spark.sparkContext.broadcast(Trie.build(*_grams(grams), order))
     known = spark.sparkContext.broadcast(_frequent(tokens, frequent_limit, den))
     kind = dict(docs.dtypes)[id_col]
 
-    def trie_of(shard: int):
-        own = grams if shards == 1 else grams.where(F.col("shard") == shard)
-        return spark.sparkContext.broadcast(Trie.build(*_grams(own), order, low, dealt, shard))
-
-    def scorer(trie, with_base: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, have = trie.value, known.value if with_base else {}
-            for b in batches:
-                texts, begin, out = b.column(2).to_pylist(), 0, []
-                scores: list[np.ndarray] = []
-                while begin < len(texts):
-                    part, size = [], 0
-                    while begin < len(texts) and size < 1_000_000:
-                        w = words_of(texts[begin])
-                        part.append(normalised(w))
-                        size += len(part[-1])
-                        begin += 1
-                        if with_base:
-                            w.append(END)
-                            hits = [x for x in map(have.get, w) if x is not None]
-                            rest = Counter(x for x in w if x not in have) if len(hits) < len(w) else {}
-                            out.append((len(w), len(hits), sum(hits), list(rest.keys()), list(rest.values())))
-                    code, first, last = codes_of(part, model.order)
-                    p = model.log10(code) if model.dealt is None else np.where(model.dealt[pair_of(code)] == model.shard, model.log10(code), 0)
-                    scores.append(np.add.reduceat(np.r_[p, 0], np.column_stack([first, last]).ravel())[::2])
-                score = pa.array(np.concatenate([np.zeros(0), *scores]))
-                if with_base:
-                    cols = list(zip(*out)) or [()] * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(3), b.column(0), b.column(1), score, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(cols[4], pa.list_(pa.int64()))],
-                        names=["_row", id_col, is_training, "score", "n_tokens", "known", "base", "rest", "times"],
-                    )
-                else:
-                    yield pa.RecordBatch.from_arrays([b.column(3), score], names=["_row", "score"])
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = known.value
+        for b in batches:
+            texts, begin, out = b.column(2).to_pylist(), 0, []
+            scores: list[np.ndarray] = []
+            while begin < len(texts):
+                part, size = [], 0
+                while begin < len(texts) and size < 1_000_000:
+                    w = words_of(texts[begin])
+                    part.append(normalised(w))
+                    size += len(part[-1])
+                    begin += 1
+                    w.append(END)
+                    hits = [x for x in map(have.get, w) if x is not None]
+                    rest = Counter(x for x in w if x not in have) if len(hits) < len(w) else {}
+                    out.append((len(w), len(hits), sum(hits), list(rest.keys()), list(rest.values())))
+                scores.append(np.zeros(len(part)) if trie is None else _sums(part, order, trie.value.log10))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(3), b.column(0), b.column(1), pa.array(np.concatenate([np.zeros(0), *scores])), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                    pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.list_(pa.binary())), pa.array(cols[4], pa.list_(pa.int64())),
+                ],
+                names=["_row", id_col, is_training, "score", "n_tokens", "known", "base", "rest", "times"],
+            )
 
     schema = f"_row long, `{id_col}` {kind}, `{is_training}` boolean, score double, n_tokens long, known long, base double, rest array<binary>, times array<long>"
-    found = stored(rows.mapInArrow(scorer(trie_of(0), True), schema), "lm-scores")
+    found = stored(rows.mapInArrow(run, schema), "lm-scores")
     tail = (
         found.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("r"))
         .select("_row", F.col("r.rest").alias("key"), F.col("r.times").alias("times"))
@@ -377,17 +464,9 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
         .groupBy("_row")
         .agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(den)))).alias("more_base"))
     )
-    score = F.col("score")
     whole = found.drop("rest", "times").join(tail, "_row", "left")
-    if shards > 1:
-        parts = None
-        for s in range(1, shards):
-            trie = trie_of(s)
-            one = stored(rows.mapInArrow(scorer(trie, False), "_row long, score double"), "lm-shard")
-            trie.unpersist()
-            parts = one if parts is None else parts.union(one)
-        whole = whole.join(parts.groupBy("_row").agg(F.sum("score").alias("others")), "_row", "left")
-        score = score + F.coalesce("others", F.lit(0.0))
+    if sharded:
+        whole = whole.drop("score").join(others, "_row")
     return whole.select(
         id_col,
         is_training,
@@ -395,7 +474,7 @@ def score_corpus(docs: DataFrame, is_training: str, id_col: str = "doc_id", text
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(all_tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        score.alias("score"),
+        "score",
     )
 
 
