@@ -62,6 +62,23 @@ def test_carry_in_two_levels(skewed_log):
     assert rows(got) == rows(want) and got.count() == 3000
 
 
+def test_rolling_percentiles_over_many_runs(spark):
+    """Equal times, repeated and empty rows; runs and windows of several sizes against one plain list."""
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    rows = [(i % 900, None if i % 83 == 0 else start + dt.timedelta(seconds=rng.randrange(40)), None if i % 71 == 0 else float(rng.randrange(50))) for i in range(1000)]
+    log = spark.createDataFrame(rows, "request_id long, ts timestamp, ms double")
+    plain_rows = sorted((r for r in rows if r[1] is not None and r[2] is not None), key=lambda r: (r[1], r[0], r[2]))
+    for last_n, run_rows in ((200, 64), (7, 50), (1, 1), (5000, 10)):
+        want = []
+        for i, (key, _, v) in enumerate(plain_rows):
+            window = sorted(r[2] for r in plain_rows[max(0, i - last_n + 1) : i + 1])
+            want.append((key, len(window), *(window[max(0, math.ceil(p * len(window) / 100) - 1)] for p in (50, 95, 99)), v))
+        assert sorted(map(tuple, s.rolling_latency(log, last_n, run_rows=run_rows).collect())) == sorted(want)
+    assert s.rolling_latency(log.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        s.rolling_latency(log, 0)
+
+
 def test_outages_in_two_levels(skewed_log):
     calls = skewed_log.withColumnRenamed("key", "backend").where("ts is not null")
     want = []

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txcompact.functions.text import half_up, saving_percent, tokens_of
+from txcompact.sources.steps import stored
 
 
 def savings_by(requests: DataFrame, dims: list[str]) -> DataFrame:
@@ -76,6 +81,46 @@ def latency_summary(requests: DataFrame, last_n: int = 200, value: str = "ms") -
     return recent.agg(F.count(F.lit(1)).alias("n"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.avg(value).alias("mean"), F.max_by(value, F.struct("ts", "request_id")).alias("last"))
 
 
+def rolling_latency(requests: DataFrame, last_n: int = 200, value: str = "ms", id_col: str = "request_id", run_rows: int = 65_536) -> DataFrame:
+    """``request_id, n, p50, p95, p99, last``: nearest-rank percentiles of the last samples at each request, by time over all of them.
+
+    Samples are sorted by ranges and numbered by their place in a range and the sizes of those before it, then dealt to runs of equal
+    numbers of rows, each led by the ``last_n - 1`` samples before it; so no task sees more, whatever the log or its busiest second holds.
+    A run slides over one ordered list of ``last_n`` values. Rows without a value or a time are no samples and are left out; equal times
+    go by id, repeated rows count each."""
+    if last_n < 1:
+        raise ValueError("last_n must be positive")
+    run_rows, lead = max(run_rows, last_n), last_n - 1
+    samples = requests.where(F.col(value).isNotNull() & F.col("ts").isNotNull()).select(F.col(id_col).alias("request_id"), "ts", F.col(value).cast("double").alias("_v"))
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["ts", "request_id", "_v"]
+    sorted_ = stored(samples.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "samples")
+    range_ = F.shiftright("_at", 33)
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sorted_.groupBy(range_.alias("_range")).agg(F.count(F.lit(1)).alias("_rows")).select("_range", before.alias("_before"))  # a row for each range
+    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = sorted_.withColumn("_range", range_).join(F.broadcast(sizes), "_range").withColumn("_no", number)
+    own, near_end = F.expr(f"_no div {run_rows}"), F.col("_no") % run_rows >= run_rows - lead
+    dealt = numbered.withColumn("_run", F.explode(F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))))
+
+    def slide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_no", ignore_index=True)
+        window, ranked, out = deque(), [], []
+        for v in rows["_v"].tolist():
+            window.append(v)
+            insort(ranked, v)
+            if len(window) > last_n:
+                del ranked[bisect_left(ranked, window.popleft())]
+            n = len(ranked)
+            out.append((n, *(ranked[max(0, -(-p * n // 100) - 1)] for p in (50, 95, 99)), v))
+        found = pd.DataFrame(out, columns=["n", "p50", "p95", "p99", "last"])
+        found.insert(0, "request_id", rows["request_id"])
+        return found[rows["_no"] >= key[0] * run_rows]
+
+    kind = sorted_.schema["request_id"].dataType.simpleString()
+    return dealt.select("_run", "_no", "request_id", "_v").groupBy("_run").applyInPandas(slide, f"request_id {kind}, n long, p50 double, p95 double, p99 double, last double")
+
+
 def expand_rate(compressions: Column, calls: Column) -> Column:
     return F.when(compressions > 0, half_up(calls / compressions * 1000) / 10).otherwise(F.lit(0.0))
 

@@ -281,6 +281,30 @@ y AS (SELECT *, CASE WHEN nth = 1 THEN CASE WHEN f > 1 THEN {N} ELSE '' END || '
         f"CASE WHEN total > 200 THEN concat_ws({N}, {agg('''('line of ' || key || ' ' || k)''', 'n <= 100')}, {N} || '... [' || (total - 180) || ' lines omitted] ...' || {N}, {agg('''('line of ' || key || ' ' || k)''', 'n > total - 80')}) ELSE {agg('''('line of ' || key || ' ' || k)''')} END",
         tool="read", reps=40, got="CASE WHEN total > 200 THEN 'readHeadTail' END",
     ),
+    *[
+        Output(
+            f"code_{lang}", "readSemantic", f"CASE WHEN k = 1 THEN '{starts}' || key || '{ends}' ELSE '  body of ' || key || ' ' || k END",
+            f"""CASE WHEN total > 500 THEN concat_ws({N}, {agg('line', 'k = 1')}, '... [' || (total - m) || ' implementation lines omitted]')
+            WHEN total > 200 THEN concat_ws({N}, {agg('line', 'n <= 100')}, {N} || '... [' || (total - 180) || ' lines omitted] ...' || {N}, {agg('line', 'n > total - 80')}) ELSE {agg('line')} END""",
+            tool="read", reps=60, got="CASE WHEN total > 500 THEN 'readSemantic' WHEN total > 200 THEN 'readHeadTail' END",
+            more=f", y AS (SELECT *, CASE WHEN k = 1 THEN '{starts}' || key || '{ends}' ELSE '  body of ' || key || ' ' || k END AS line FROM x)",
+        )
+        for lang, starts, ends in (("py", "def f", "(x):"), ("go", "func F", "() error {"), ("rs", "pub fn f", "() {"))
+    ],
+    # Outputs of which a rule keeps nothing, so that its closing lines stay instead.
+    Output(
+        "go_passed", "goTest", "'--- PASS: Test' || key || '_' || k", "'ok' || chr(9) || 'pkg/x' || blk || chr(9) || '0.01s'",
+        tail=("'ok' || chr(9) || 'pkg/x' || blk || chr(9) || '0.01s'",),
+    ),
+    Output(
+        "playwright_passed", "playwright", "'  ✓ t' || key || '_' || k || '.spec.ts good'", "'All ' || total || ' passed'",
+        head=("'Running ' || total || ' tests using playwright'",), tail=("'All ' || total || ' passed'",),
+    ),
+    Output(
+        "cargo_built", "cargoBuild", "'   Compiling crate_' || key || '_' || k || ' v0.1.0'", "'Finished dev of ' || total || ' crates'",
+        tail=("'no warnings of ' || blk", "'Finished dev of ' || total || ' crates'"),
+    ),
+    Output("py_short", "pyTraceback", "'tests/t' || key || '_' || k || '.py::case FAILED'", "total || ' failed today'", tail=("total || ' failed today'",)),
     Output("other_tool", "none", "'CONTAINER ID IMAGE ' || key || ' ' || k", agg("'CONTAINER ID IMAGE ' || key || ' ' || k"), tool="fetch", reps=30, got="CAST(NULL AS VARCHAR)"),
 ]
 
@@ -294,6 +318,8 @@ FAMILIES = {
     "rules_containers": ("terraform", "docker_ps", "docker_images", "kubectl"),
     "rules_forge": ("gh_checks", "gh_pr", "gh_runs", "gh_issues"),
     "rules_transfer_and_fallback": ("curl", "wget", "errors_or_tail", "truncated"),
+    "rules_languages": ("code_py", "code_go", "code_rs"),
+    "rules_closing_lines": ("go_passed", "playwright_passed", "cargo_built", "py_short"),
     "rules_search_and_read": ("grep", "glob", "lockfile", "code", "read", "other_tool"),
 }
 BY_NAME = {o.name: o for o in OUTPUTS}

@@ -162,6 +162,18 @@ def error_context(spark, sf_dir):
     return kept.groupBy("block_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("places"))
 
 
+@query(
+    f"WITH {LINES} SELECT block_id, count(*) AS lines, md5(string_agg(regexp_replace(line, '[0-9]+', '#', 'g'), chr(10) ORDER BY pos)) AS body "
+    "FROM l WHERE regexp_matches(line, '[AEIOUaeiou]') GROUP BY block_id"
+)
+def lines_kept_and_rewritten(spark, sf_dir):
+    """Lines that a predicate picks, their numbers masked."""
+    kept = ln.keep_lines(ln.to_lines(document_blocks(spark, sf_dir)), F.col("line").rlike("[AEIOUaeiou]"))
+    masked = ln.rewrite_lines(kept, "[0-9]+", "#")
+    counts = masked.groupBy("block_id").agg(F.count(F.lit(1)).alias("lines"))
+    return counts.join(ln.to_texts(masked), "block_id").select("block_id", "lines", F.md5("text").alias("body"))
+
+
 @query(f"WITH {LINES}, k AS (SELECT *, substr(line, 1, 2) AS key FROM l), f AS (SELECT *, row_number() OVER (PARTITION BY block_id, key ORDER BY pos) AS nth, count(*) OVER (PARTITION BY block_id, key) AS n, min(pos) OVER (PARTITION BY block_id, key) AS first FROM k), g AS (SELECT *, dense_rank() OVER (PARTITION BY block_id ORDER BY first) AS group_no FROM f) SELECT block_id, key, group_no, n AS n_in_group, count(*) AS shown FROM g WHERE nth <= 2 AND group_no <= 5 GROUP BY ALL")
 def group_and_cap(spark, sf_dir):
     kept = ln.group_and_cap(ln.to_lines(document_blocks(spark, sf_dir)), F.substring("line", 1, 2), 2, 5)
@@ -285,6 +297,18 @@ def latency_last_200(spark, sf_dir):
     return s.latency_summary(requests(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
 
 
+LAST = "(ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)"
+
+
+@query(
+    f"SELECT event_id AS request_id, count(*) OVER {LAST} AS n, quantile_disc(value, 0.5) OVER {LAST} AS p50, quantile_disc(value, 0.95) OVER {LAST} AS p95, "
+    f"quantile_disc(value, 0.99) OVER {LAST} AS p99, value AS last FROM events"
+)
+def latency_rolling(spark, sf_dir):
+    """Percentiles of the last 200 samples as each request saw them."""
+    return s.rolling_latency(requests(spark, sf_dir))
+
+
 @query("WITH x AS (SELECT user_id % 3 AS client, count(*) FILTER (event_type = 'purchase') AS calls, count(*) FILTER (event_type = 'view') AS compressions FROM events GROUP BY 1), r AS (SELECT *, CASE WHEN compressions > 0 THEN floor(calls::DOUBLE / compressions * 1000 + 0.5) / 10 ELSE 0.0 END AS rate FROM x) SELECT *, CASE WHEN rate > 25 THEN 'red' WHEN rate > 10 THEN 'yellow' ELSE 'green' END AS band FROM r")
 def expand_rate(spark, sf_dir):
     e = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("client")).agg(F.count_if(F.col("event_type") == "purchase").alias("calls"), F.count_if(F.col("event_type") == "view").alias("compressions"))
@@ -412,9 +436,9 @@ def summarise_extractive(spark, sf_dir):
 
 @query("SELECT doc_id, md5(text) AS body FROM documents")
 def reinflate(spark, sf_dir):
-    """Texts are replaced by tags with their id, then looked up in the store: all must come back."""
+    """Texts are replaced by tags with their id and their local summary, then looked up in the store: all must come back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    short = docs.withColumn("text", c.tagged(t.content_id(F.col("text")), F.substring("text", 1, 10), F.greatest(F.length("text"), F.lit(1))))
+    short = docs.withColumn("text", c.tagged(t.content_id(F.col("text")), c.extractive(F.col("text")), F.greatest(F.length("text"), F.lit(1))))
     # Ids that two texts share are not used as tags, as they could not tell them apart.
     unique = c.build_store(docs).join(c.id_collisions(c.build_store(docs)).select("block_id6"), "block_id6", "left_anti")
     kept = docs.withColumn("ref", t.content_id(F.col("text"))).join(unique.select(F.col("block_id6").alias("ref")), "ref", "left_anti").select("doc_id", "text")
