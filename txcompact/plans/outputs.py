@@ -86,6 +86,9 @@ FAIL = "(key + k) % 7 = 0"
 #: From the first failure on, as blank lines that would end a block are gone by then.
 FAILED = ", y AS (SELECT *, min(CASE WHEN " + FAIL + " THEN n END) OVER (PARTITION BY blk) AS bad FROM x)"
 
+#: Lines of code whose language goes by the block.
+CODE = """CASE WHEN k > 1 THEN '  body of ' || key || ' ' || k WHEN blk % 3 = 0 THEN 'def f' || key || '(x):'
+    WHEN blk % 3 = 1 THEN 'func F' || key || '() error {' ELSE 'pub fn f' || key || '() {' END"""
 D = "'diff --git a/f' || blk || ' b/f' || blk", "'index 1..2 of ' || blk", "'--- a/file' || blk", "'+++ b/file' || blk"
 HUNK = "'@@ -' || n || ',5 +' || n || ',5 @@ export async function fn' || key || '_' || k || '(x) {'"
 CHANGED = "' context one ' || n", "'-old value ' || n", "'+new value ' || n", "' context two ' || n"
@@ -281,16 +284,12 @@ y AS (SELECT *, CASE WHEN nth = 1 THEN CASE WHEN f > 1 THEN {N} ELSE '' END || '
         f"CASE WHEN total > 200 THEN concat_ws({N}, {agg('''('line of ' || key || ' ' || k)''', 'n <= 100')}, {N} || '... [' || (total - 180) || ' lines omitted] ...' || {N}, {agg('''('line of ' || key || ' ' || k)''', 'n > total - 80')}) ELSE {agg('''('line of ' || key || ' ' || k)''')} END",
         tool="read", reps=40, got="CASE WHEN total > 200 THEN 'readHeadTail' END",
     ),
-    *[
-        Output(
-            f"code_{lang}", "readSemantic", f"CASE WHEN k = 1 THEN '{starts}' || key || '{ends}' ELSE '  body of ' || key || ' ' || k END",
-            f"""CASE WHEN total > 500 THEN concat_ws({N}, {agg('line', 'k = 1')}, '... [' || (total - m) || ' implementation lines omitted]')
-            WHEN total > 200 THEN concat_ws({N}, {agg('line', 'n <= 100')}, {N} || '... [' || (total - 180) || ' lines omitted] ...' || {N}, {agg('line', 'n > total - 80')}) ELSE {agg('line')} END""",
-            tool="read", reps=60, got="CASE WHEN total > 500 THEN 'readSemantic' WHEN total > 200 THEN 'readHeadTail' END",
-            more=f", y AS (SELECT *, CASE WHEN k = 1 THEN '{starts}' || key || '{ends}' ELSE '  body of ' || key || ' ' || k END AS line FROM x)",
-        )
-        for lang, starts, ends in (("py", "def f", "(x):"), ("go", "func F", "() error {"), ("rs", "pub fn f", "() {"))
-    ],
+    Output(
+        "code_languages", "readSemantic", CODE,
+        f"""CASE WHEN total > 500 THEN concat_ws({N}, {agg('line', 'k = 1')}, '... [' || (total - m) || ' implementation lines omitted]')
+        WHEN total > 200 THEN concat_ws({N}, {agg('line', 'n <= 100')}, {N} || '... [' || (total - 180) || ' lines omitted] ...' || {N}, {agg('line', 'n > total - 80')}) ELSE {agg('line')} END""",
+        tool="read", reps=60, got="CASE WHEN total > 500 THEN 'readSemantic' WHEN total > 200 THEN 'readHeadTail' END", more=f", y AS (SELECT *, {CODE} AS line FROM x)",
+    ),
     # Outputs of which a rule keeps nothing, so that its closing lines stay instead.
     Output(
         "go_passed", "goTest", "'--- PASS: Test' || key || '_' || k", "'ok' || chr(9) || 'pkg/x' || blk || chr(9) || '0.01s'",
@@ -318,7 +317,7 @@ FAMILIES = {
     "rules_containers": ("terraform", "docker_ps", "docker_images", "kubectl"),
     "rules_forge": ("gh_checks", "gh_pr", "gh_runs", "gh_issues"),
     "rules_transfer_and_fallback": ("curl", "wget", "errors_or_tail", "truncated"),
-    "rules_languages": ("code_py", "code_go", "code_rs"),
+    "rules_languages": ("code_languages",),
     "rules_closing_lines": ("go_passed", "playwright_passed", "cargo_built", "py_short"),
     "rules_search_and_read": ("grep", "glob", "lockfile", "code", "read", "other_tool"),
 }
