@@ -317,7 +317,8 @@ def _compacted(blocks: DataFrame, cfg: CompactionConfig, summaries: DataFrame |
     none = F.lit(None).cast("string")
     parts = results.select(*same).unionByName(keyed.where("old_prose").select("block_id", none.alias("tool"), "text", F.lit(0.0).alias("pressure")))
     parts = parts.unionByName(fields.select(F.col("field_id").alias("block_id"), none.alias("tool"), F.col("value").alias("text"), F.lit(0.0).alias("pressure")))
-    made = compact_blocks(parts, pressure=F.col("pressure")).select("block_id", F.col("text").alias("made"), "original_chars")
+    # Stored, as it is used twice and its expressions are long to plan.
+    made = stored(compact_blocks(parts, pressure=F.col("pressure")).select("block_id", F.col("text").alias("made"), "original_chars"), "made")
     written = fields.join(made.select(F.col("block_id").alias("field_id"), F.col("made").alias("text")), "field_id").where(F.length("text") < F.length("value"))
     input_texts = _written_back(inputs, written).withColumnRenamed("text", "input")
 
