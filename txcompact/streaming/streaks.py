@@ -70,8 +70,10 @@ def breaker_changes(calls: DataFrame, min_run: int = 3, cool_seconds: int = 60,
     """``backend, ts, status, failures`` whenever a backend's breaker changes, of a stream of calls (``backend, ts, event_id, ok``).
 
     The session must use the RocksDB state store (``ROCKSDB``). A backend's calls of a batch meet in one task, in order; state
-    is three values a backend."""
-    stream = timed(calls, late).select("backend", "ts", "event_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_millis(F.col("ts")).alias("ms"))
+    is three values a backend. Times are rounded to milliseconds, halves away from 1970; half a millisecond is added before the watermark
+    is taken, which Spark cuts off, so that timers go by the same times and no call of a later batch falls behind it."""
+    half = F.when(F.col("ts").cast("timestamp") < F.timestamp_micros(F.lit(0)), F.expr("INTERVAL '0.000499' SECOND")).otherwise(F.expr("INTERVAL '0.000500' SECOND"))
+    stream = timed(calls.withColumn("ts", F.col("ts").cast("timestamp") + half), late).select("backend", "ts", "event_id", F.coalesce("ok", F.lit(False)).alias("ok"), F.unix_millis(F.col("ts")).alias("ms"))
     made = stream.groupBy("backend").transformWithStateInPandas(Breaker(min_run, cool_seconds * 1000), "backend long, ms long, status string, failures int", "Append", "EventTime")
     return made.select("backend", F.timestamp_millis("ms").alias("ts"), "status", "failures")
 
