@@ -1,5 +1,8 @@
 """Clean and rules work within a block's row, so nothing is exchanged, however many lines there are."""
 
+from pyspark.sql import functions as F
+
+from txcompact.functions import text as t
 from txcompact.operators.clean import clean
 from txcompact.operators.rules import compact_blocks
 
@@ -13,3 +16,17 @@ def test_clean_and_rules_exchange_nothing(spark):
         assert "Exchange" not in plan and "Window" not in plan
     first = clean(blocks).where("block_id = '1'").first().text
     assert first == "at a (x.js)\n  at b (x.js)\n  at c (x.js)\none\n  ... [same 3-frame stack trace repeated]\nsame\n  ... [repeated 2 more times]"
+
+
+def test_guarded_passes_change_nothing_and_lets_ask_no_types(spark):
+    rows = ["", "\n", "abcdefg\n", "---", "abcdefg\n\nhijklmn", "\x07bell \x7f\x0b\tx", "\x1b[32mgreen\x1b[0m \x1b]0;t\x07", "one \t\n two\n\n\n\nthree ", "a:1\n10:30:00 x", "a\r\nb\rc", "ab ░░ cdéf g", "é==\né é é é é é", None]
+    df = spark.createDataFrame([(x,) for x in rows], "text string")
+    plain = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, t.ANSI[0], ""), t.ANSI[1], ""), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    rest = lambda line: F.length(F.regexp_replace(line, t.BAR, ""))
+    bars = lambda x: F.array_join(F.filter(F.split(x, "\n", -1), lambda line: (rest(line) > F.length(line) * 0.3) | (rest(line) > 5)), "\n")
+    ends = lambda x: t.trimmed(F.regexp_replace(F.array_join(F.transform(F.split(x, "\n", -1), lambda line: F.rtrim(line, F.lit(" \t"))), "\n"), r"\n{3,}", "\n\n"))
+    x = F.col("text")
+    pairs = [(t.strip_ansi(x), plain(x)), (t.without_bars(x), bars(x)), (t.collapse_whitespace(x), ends(x)), (t.unix_lines(x), F.regexp_replace(x, r"\r\n?", "\n"))]
+    for got, want in pairs:
+        assert df.where(~got.eqNullSafe(want)).count() == 0
+    assert "transform(array(" not in df.select(t.let(x, F.upper))._jdf.queryExecution().optimizedPlan().toString()
