@@ -303,11 +303,11 @@ def _compacted(blocks: DataFrame, cfg: CompactionConfig, summaries: DataFrame |
     new-block rule and the tools' list allow go to the summariser, each text once. ``overhead`` is the length of the tag in front of
     a summary. Where the shapes differ in what they spare, ``cfg.for_shape`` says so.
 
-    Blocks with their context are stored once; results, prose and input fields then go through one clean together. What each step
+    Blocks are stored, as their context reads them four times, and with their context again; results, prose and input fields then go through one clean together. What each step
     finds for a block meets in one aggregation and is joined to the blocks once."""
     from txcompact.operators.rules import compact_blocks
 
-    keyed = stored(in_context(blocks, cfg).withColumns({"block_id": block_id(), "hash": F.md5("text")}), "context")
+    keyed = stored(in_context(stored(blocks, "blocks"), cfg).withColumns({"block_id": block_id(), "hash": F.md5("text")}), "context")
     results, inputs = keyed.where("kind = 'tool_result' and ok"), keyed.where("old_input")
     tools = F.lower(F.coalesce("tool", F.lit(""))).isin(*cfg.dedup_tools)
     dup = dedup_blocks(results.where(tools).drop("hash"), min_len=cfg.dedup_min).where("kept_ref is not null").select("block_id", F.substring("hash", 1, cfg.ref_chars).alias("kept_ref"))
