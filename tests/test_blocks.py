@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from txcompact.functions import text as t
 from txcompact.operators.clean import clean
-from txcompact.operators.rules import compact_blocks
+from txcompact.operators.rules import classify, compact_blocks
 
 
 def test_clean_and_rules_exchange_nothing(spark):
@@ -30,3 +30,21 @@ def test_guarded_passes_change_nothing_and_lets_ask_no_types(spark):
     for got, want in pairs:
         assert df.where(~got.eqNullSafe(want)).count() == 0
     assert "transform(array(" not in df.select(t.let(x, F.upper))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_rules_that_some_block_asks_for_are_planned(spark):
+    rows = [("1", "bash", "\n".join(f"plain line {i}" for i in range(100))), ("2", "fetch", "x"), ("3", "bash", "added 3 packages in 2s\nnoise")]
+    made = compact_blocks(spark.createDataFrame(rows, "block_id string, tool string, text string"))
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "truncated" in plan and "pkgInstall" in plan and "cargoTest" not in plan and "readLockfile" not in plan
+    assert {(r.block_id, r.pattern): r.text[:22] for r in made.collect()} == {("1", "truncated"): "... [50 earlier lines ", ("2", None): "x", ("3", "pkgInstall"): "added 3 packages in 2s"}
+    none = compact_blocks(spark.createDataFrame(rows[1:2], "block_id string, tool string, text string"))
+    assert none.select("block_id", "pattern", "text").first() == ("2", None, "x")
+
+
+def test_classification_takes_lines_apart_where_a_look_finds_something(spark):
+    odd = ["abcdef1\nabcdef12 x\nabcdef123 y\nabcdef1 z", "abcdef1\n\nabcdef1", "  a\n* b\n  c -> d", "\n* b", "> 1\n> 2\n> 3\n> 4", "x\n> 1\n> 2\n> 3", "\n".join(["// error here"] * 40), "\n".join(["an error"] + ["x"] * 29), None, ""]
+    found = classify(spark.createDataFrame([(i, "bash", x) for i, x in enumerate(odd)], "block_id int, tool string, text string")).orderBy("block_id").collect()
+    assert [r.pattern for r in found] == ["gitLog", "truncated", "gitBranch", "truncated", "curl", "truncated", "truncated", "errorExtracted", "truncated", "truncated"]
+    plan = classify(spark.createDataFrame([("bash", "x")], "tool string, text string"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("{7,12}") == 1
