@@ -115,7 +115,9 @@ def stream_latest_limits(spark, sf_dir):
 def stream_rules(spark, sf_dir):
     """Command output over four micro-batches, classified and compacted batch by batch."""
     blocks = outputs.together(spark, sf_dir, outputs.FAMILIES["rules_git"]).withColumn("at", F.xxhash64("block_id") % 1000)
-    each = lambda rows: compact_blocks(rows, pressure=F.col("pressure")).select("block_id", "pattern", "text")
+    # A batch comes in one file, which one task would read and compact.
+    dealt = lambda rows: rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block_id")
+    each = lambda rows: compact_blocks(dealt(rows), pressure=F.col("pressure")).select("block_id", "pattern", "text")
     return available(in_batches(blocks, "at"), each=each)
 
 

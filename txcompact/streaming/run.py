@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txcompact.sources.steps import shared_dir
+from txcompact.sources.steps import shared_dir, stored
 
 
 def in_batches(table: DataFrame, by: str, batches: int = 4, cuts: list[float] | None = None) -> DataFrame:
     """A stream that brings a table in several micro-batches: its rows in ``batches`` parts by the value of ``by``, one after
-    another; ``cuts``: the least values of all parts but the first, quantiles if None."""
-    spark = table.sparkSession
+    another; ``cuts``: the least values of all parts but the first, quantiles if None. The table is worked out and stored once, by many
+    tasks; what writes a part in one task only copies rows."""
+    spark, table = table.sparkSession, stored(table, "to-deal")
     at = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
     value = F.col(by).cast("double") if dict(table.dtypes)[by] != "timestamp_ntz" else F.col(by).cast("timestamp").cast("double")
     if cuts is None:
@@ -67,7 +68,8 @@ def available(
     none = spark.createDataFrame([], result.schema)
     if merge:
         return spark.read.parquet(f"{at}/merged/{max(numbers)}") if numbers else merge(each(none), None)
-    each(carry(none, None)[0] if carry else none).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
+    if not numbers:
+        each(carry(none, None)[0] if carry else none).write.mode("overwrite").parquet(f"{at}/rows/batch=-1")
     rows = spark.read.parquet(f"{at}/rows")
     if rest and numbers:
         return rows.drop("batch").unionByName(spark.read.parquet(f"{at}/left/{max(numbers)}"))
