@@ -48,3 +48,10 @@ def test_classification_takes_lines_apart_where_a_look_finds_something(spark):
     assert [r.pattern for r in found] == ["gitLog", "truncated", "gitBranch", "truncated", "curl", "truncated", "truncated", "errorExtracted", "truncated", "truncated"]
     plan = classify(spark.createDataFrame([("bash", "x")], "tool string, text string"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("{7,12}") == 1
+
+
+def test_prose_rules_are_worked_out_once(spark):
+    df = spark.createDataFrame([("in order to see `x`\n```\nin order to\n```\nlet me go, in order to end",), ("plain",), (None,)], "text string")
+    plan = df.select(t.clean_prose(F.col("text")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("in order to") == 1
+    assert [r.x for r in df.select(t.clean_prose(F.col("text")).alias("x")).collect()] == ["to see `x`\n```\nin order to\n```\ngo, to end", "plain", None]
