@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from txcompact.config import CompactionConfig
@@ -12,6 +12,7 @@ from txcompact.functions import text as t
 from txcompact.operators import compact as c
 from txcompact.operators import savings as s
 from txcompact.operators.clean import clean
+from txcompact.plans.outputs import customers
 from txcompact.plans.queries import PRICE_SQL, REQ, SQL, document_blocks, prices, query, read, read_stream, requests
 from txcompact.sources import stores
 from txcompact.sources.steps import shared_dir, stored
@@ -29,15 +30,19 @@ def numbered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.withColumn("i", F.row_number().over(w.orderBy("key"))).withColumn("m", F.count(F.lit(1)).over(w))
 
 
+def of_each_order(expr: str) -> Column:
+    """``expr`` (over ``key``, ``i`` and the customer's columns) of each order of a customer: texts are written behind the exchange of the keys."""
+    return F.expr(f"transform(keys, (key, j) -> aggregate(array(0), j + 1, (a_, b_) -> a_, i -> {expr}))")
+
+
 JSON_OBJECT = f"'{{' || {N} || '  \"a\": ' || key || ',' || {N} || '  \"b\": \"' || repeat('x', 220) || '\"' || {N} || '}}'"
 FRAMES = f"'  at first (a.js)' || {N} || '  at second (b.js)' || {N} || '  at third (c.js)'"
 
 
 def noisy(spark: SparkSession, sf_dir: str, new_line: str) -> DataFrame:
     """Blocks with colours, bars, blank lines, times, repeated traces and lines, and JSON; for each order some lines."""
-    rows = numbered_orders(spark, sf_dir)
     line = f"concat_ws({N}, chr(27) || '[32mgreen ' || key || chr(27) || '[0m   ', repeat('=', 20 + i), '2024-01-15T10:30:00Z event ' || key || ' at [10:30:00] now', '', 'Error: ' || key, {FRAMES}, 'same line of all', CASE WHEN i = 1 THEN {JSON_OBJECT} END)"
-    texts = rows.withColumn("part", F.expr(line)).groupBy("blk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    texts = customers(spark, sf_dir).select("blk", F.array_join(of_each_order(line), "\n").alias("text"))
     return texts.select(F.col("blk").alias("block_id"), F.replace("text", F.lit("\n"), F.lit(new_line)).alias("text"))
 
 
@@ -308,10 +313,8 @@ PROMPTS = f"WITH {ORDERS}, x AS (SELECT blk, {LOG_PROMPT} AS text, 'You are help
 @query(f"{PROMPTS}, y AS (SELECT *, CASE WHEN length(text) < 700 THEN 'untouched' WHEN 1 - length(clean) / length(text) > 0.6 THEN 'clean' ELSE 'summary' END AS how FROM x) SELECT how AS \"by\", count(*) AS prompts, CAST(sum(length(text)) AS BIGINT) AS original_chars, CAST(sum(CASE how WHEN 'untouched' THEN length(text) WHEN 'clean' THEN length(clean) ELSE length(array_to_string(list_append(string_split(clean, {N})[1:2], string_split(clean, {N})[-1]), {N})) END) AS BIGINT) AS compact_chars FROM y GROUP BY how")
 def system_prompts(spark, sf_dir):
     """Prompts with rules from orders between bars: short ones stay, those that cleaning shortens by much are cleaned, others summarised."""
-    rows = numbered_orders(spark, sf_dir)
-    rule = F.expr(f"{N} || repeat('-', 60 + i) || {N} || 'rule ' || key || ' must hold'")
-    rules_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", rule.alias("rule")))), lambda x: x["rule"]), "")
-    prompts = rows.groupBy("blk").agg(rules_.alias("rules")).select(F.concat(F.expr("'You are helper ' || blk || '. ' || repeat('Work with care. ', 10)"), "rules").alias("text"))
+    rule = of_each_order(f"{N} || repeat('-', 60 + i) || {N} || 'rule ' || key || ' must hold'")
+    prompts = customers(spark, sf_dir).select(F.concat(F.expr("'You are helper ' || blk || '. ' || repeat('Work with care. ', 10)"), F.array_join(rule, "")).alias("text"))
     made = c.compact_prompts(prompts, min_len=700, enough=0.6)
     return made.groupBy("by").agg(F.count(F.lit(1)).alias("prompts"), F.sum("original_chars").cast("long").alias("original_chars"), F.sum("compact_chars").cast("long").alias("compact_chars"))
 
