@@ -80,3 +80,11 @@ def test_only_keys_are_exchanged_for_conversations(spark, sf_dir):
         # A conversation's bounds are worked out once, below the rows of its blocks, and its blocks are not asked for their number first.
         above, _, below = plan.partition("Generate ")
         assert exchanges(placed) == 0 and "aggregate(" not in above and plan.count(", last, array_max(") == 1 and "Filter" not in below
+
+
+def test_only_keys_are_exchanged_for_conversations_of_tools(spark, sf_dir):
+    made = mixed.tool_conversations(spark, sf_dir, 1)
+    assert exchanges(made) == 1 and "Window" not in made._jdf.queryExecution().executedPlan().toString()
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("conv_id")).count()
+    sizes = made.join(orders, "conv_id").select("conv_id", F.array_max(F.transform("blocks", lambda b: b["turn"])).alias("last"), "count").collect()
+    assert len(sizes) == orders.where("count > 1").count() and all(r["last"] == 2 * (r["count"] - 1) - 1 for r in sizes)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from txcompact.config import CompactionConfig
 from txcompact.operators import compact as c
-from txcompact.plans.compaction import COMMAND, CONTEXT, N, ORDERS, SAID, SHORT_SAID, numbered_orders
+from txcompact.plans.compaction import COMMAND, CONTEXT, N, ORDERS, SAID, SHORT_SAID, lines_of, of_each_order
+from txcompact.plans.outputs import customers
 from txcompact.plans.queries import query, read
-from txcompact.sources.steps import shared_dir
-from txcompact.sources.transcripts import blocks_of_json
+from txcompact.sources.steps import shared_dir, stored
+from txcompact.sources.transcripts import blocks_of_json, conversations_of_json
 
 #: How the turn of a conversation is written: as a string, as two text parts, as a result with a string or with parts
 #: around a picture, or as a picture alone.
@@ -107,25 +108,28 @@ MANY = f"CASE WHEN i % 3 = 0 THEN 'the common output of ' || blk || repeat(' wor
 
 
 def tool_conversations(spark: SparkSession, sf_dir: str, without: int = 0) -> DataFrame:
-    """A conversation for each customer with calls of four tools, some marked to be spared; results are strings or lists of
+    """A conversation (a row) for each customer with calls of four tools, some marked to be spared; results are strings or lists of
     parts. ``without``: how many of the last calls have not been made yet."""
-    rows = numbered_orders(spark, sf_dir).where(F.col("i") <= F.col("m") - without)
-    count = F.when(F.col("key") % 4 == 2, F.col("key") % 18 + 1).otherwise(F.col("key") % 120 + 1)
-    key = F.col("key").cast("string")
-    plain = F.transform(F.sequence(F.lit(1).cast("long"), count), lambda j: F.concat(F.lit("plain line "), key, F.lit(" "), j.cast("string"), F.lit(" of this output")))
-    head, rest = F.slice(plain, 1, 1), F.slice(plain, F.lit(2), F.size(plain))
-    common = F.expr("'the common output of ' || blk || repeat(' word', 60)")
-    tool = F.get(F.array(*[F.lit(x) for x in ("Bash", "Read", "Grep", "WebFetch")]), (F.col("key") % 4).cast("int"))
-    call, q = _string(F.concat(F.lit("c"), key)), lambda x: F.lit(f'"{x}"')
+    lines = lines_of("CASE WHEN key % 4 = 2 THEN key % 18 + 1 ELSE key % 120 + 1 END")
+    fields = {"key": "key", "i": "i", "said": SAID, "marked": MARKED, "plain": lines, "common": "'the common output of ' || blk || repeat(' word', 60)"}
+    orders = of_each_order(f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})")
+    q = lambda x: F.lit(f'"{x}"')
     text = lambda x: _object(type=q("text"), text=_string(x))
-    marked = F.concat(F.when(F.col("key") % 5 == 0, "# tx: skip ").otherwise(""), F.expr(COMMAND))
-    asked = _array(text(F.expr(SAID)), _object(type=q("tool_use"), id=call, name=_string(tool), input=_object(command=_string(marked))))
-    listed = F.when(F.size(rest) > 0, _array(text(F.element_at(head, 1)), text(F.array_join(rest, "\n")))).otherwise(_array(text(F.element_at(head, 1))))
-    answer = F.when(F.col("i") % 3 == 0, _string(common)).when(F.col("key") % 2 == 0, _string(F.array_join(plain, "\n"))).otherwise(listed)
-    given = _array(_object(type=q("tool_result"), tool_use_id=call, content=answer))
-    at = lambda turn, role, content: F.struct(turn.alias("turn"), _object(role=q(role), content=content).alias("m"))
-    turns = rows.select(F.col("blk").alias("conv_id"), F.inline(F.array(at(F.col("i") * 2 - 2, "assistant", asked), at(F.col("i") * 2 - 1, "user", given))))
-    return blocks_of_json(_bodies(turns, F.col("m"), "messages"), "anthropic")
+
+    def turns(o: Column) -> Column:
+        call, plain = _string(F.concat(F.lit("c"), o["key"].cast("string"))), o["plain"]
+        tool = F.get(F.array(*[F.lit(x) for x in ("Bash", "Read", "Grep", "WebFetch")]), (o["key"] % 4).cast("int"))
+        asked = _array(text(o["said"]), _object(type=q("tool_use"), id=call, name=_string(tool), input=_object(command=_string(o["marked"]))))
+        cut = F.instr(plain, "\n")
+        listed = F.when(cut > 0, _array(text(F.substring(plain, F.lit(1), cut - 1)), text(F.substring(plain, cut + 1, F.length(plain))))).otherwise(_array(text(plain)))
+        answer = F.when(o["i"] % 3 == 0, _string(o["common"])).when(o["key"] % 2 == 0, _string(plain)).otherwise(listed)
+        given = _array(_object(type=q("tool_result"), tool_use_id=call, content=answer))
+        return F.array(_object(role=q("assistant"), content=asked), _object(role=q("user"), content=given))
+
+    known = customers(spark, sf_dir).where(F.col("m") > without).withColumn("keys", F.slice("keys", F.lit(1), F.size("keys") - without))
+    messages = F.array_join(F.flatten(F.transform(orders, turns)), ",")
+    bodies = known.select(F.col("blk").cast("string").alias("conv_id"), F.concat(F.lit('{"messages":['), messages, F.lit("]}")).alias("body"))
+    return conversations_of_json(bodies, "anthropic")
 
 
 def _tools_sql(keep: int) -> str:
@@ -156,9 +160,9 @@ u AS (SELECT *, array_to_string(CASE WHEN len(ls) <= 2 THEN ls ELSE list_append(
 def compacted_tools(spark, sf_dir):
     """Conversations of four tools, one of them denied, with skip marks and a store of summaries for some texts, when only
     results of the last message may be summarised anew: with three results spared, and with none."""
-    blocks, out = tool_conversations(spark, sf_dir), None
-    texts = blocks.where("kind = 'tool_result'").select("text").distinct()
-    store = texts.where("length(text) % 3 <> 0").select(F.md5("text").alias("hash"), F.concat(F.lit("stored summary of "), F.length("text").cast("string")).alias("summary"))
+    blocks, out = stored(tool_conversations(spark, sf_dir), "conversations", packed=True), None
+    texts = blocks.select(F.inline("blocks")).where("kind = 'tool_result'")
+    store = texts.where("length(text) % 3 <> 0").select(F.md5("text").alias("hash"), F.concat(F.lit("stored summary of "), F.length("text").cast("string")).alias("summary")).distinct()
     for keep in (3, 0):
         cfg = CompactionConfig(context_chars=CONTEXT, prose_min=50, skip_tools=("webfetch",), new_rule="last_message", keep_recent=keep)
         _, saved = c.compact_conversations(blocks, cfg, store)
