@@ -88,3 +88,13 @@ def test_only_keys_are_exchanged_for_conversations_of_tools(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("conv_id")).count()
     sizes = made.join(orders, "conv_id").select("conv_id", F.array_max(F.transform("blocks", lambda b: b["turn"])).alias("last"), "count").collect()
     assert len(sizes) == orders.where("count > 1").count() and all(r["last"] == 2 * (r["count"] - 1) - 1 for r in sizes)
+
+
+def test_settings_are_counted_in_one_pass(spark, sf_dir):
+    settings = {f"{mode} {rule}": CompactionConfig(new_rule=rule, skip_tools=("webfetch",)).with_mode(mode) for mode in ("soft", "normal", "critical") for rule in (None, "last_message", "after_model")}
+    settings["bands"] = CompactionConfig(context_chars=9000, keep_recent=1, no_summary=("bash",))
+    nested = some_conversations(spark)
+    got = {r.rule: r.n for r in c.count_candidates(nested, settings).collect()}
+    assert got == {name: c.select_candidates(nested.select("conv_id", F.inline("blocks")), cfg).count() for name, cfg in settings.items()} and sum(got.values()) > 0
+    plan = compaction.selections(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1

@@ -227,6 +227,17 @@ def select_candidates(blocks: DataFrame, cfg: CompactionConfig) -> DataFrame:
     return in_context(blocks, cfg).where(_large() & _fresh(cfg))
 
 
+def count_candidates(conversations: DataFrame, settings: dict[str, CompactionConfig]) -> DataFrame:
+    """``rule, n``: how many results ``select_candidates`` gives by each setting, of conversations that are a row each, in one pass
+    over them."""
+    bounds = [_bounds(cfg).alias(f"_b{k}") for k, cfg in enumerate(settings.values())]
+    places = [(cfg, _place(cfg, F.col(f"_b{k}"))) for k, cfg in enumerate(settings.values())]
+    blocks = conversations.select(*bounds, NESTED).select(*[f"_b{k}" for k in range(len(bounds))], _each(NESTED)).where("kind = 'tool_result'")
+    counts = [F.count_if(_large(at) & _fresh(cfg, at["new"])).alias(f"n{k}") for k, (cfg, at) in enumerate(places)]
+    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"n{k}").alias("n")) for k, name in enumerate(settings)])
+    return blocks.agg(*counts).select(F.inline(rows))
+
+
 def prose_candidates(blocks: DataFrame, roles: str | tuple[str, ...], keep_recent: int, min_len: int) -> DataFrame:
     """Texts of a role but those of its last ``keep_recent`` messages."""
     own = blocks.where(F.col("role").isin(*((roles,) if isinstance(roles, str) else roles)))

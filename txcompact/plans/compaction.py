@@ -203,7 +203,6 @@ NEW = "SELECT 'last_message' AS rule, count(*) AS n FROM x WHERE i = m AND lengt
 @query(f"WITH {ORDERS}, x AS (SELECT *, {OUTPUT} AS output FROM r) {NEW} UNION ALL SELECT 'soft', count(*) FROM x WHERE i <= m - 10 AND length(output) >= 3000 UNION ALL SELECT 'aggressive', count(*) FROM x WHERE i <= m - 1 AND length(output) >= 200 UNION ALL SELECT 'other_tools', 0 UNION ALL SELECT 'only_bash', count(*) FROM x WHERE i <= m - 3 AND length(output) >= 800 UNION ALL SELECT 'no_summary', 0")
 def selections(spark, sf_dir):
     """How many results each setting selects: new ones only, presets, lists of tools, tools that get no summary."""
-    blocks = stored(to_blocks(conversations(spark, sf_dir), "anthropic"), "blocks")
     settings = {
         "last_message": CompactionConfig(threshold=800, keep_recent=0, new_rule="last_message"),
         "after_model": CompactionConfig(threshold=800, keep_recent=0, new_rule="after_model"),
@@ -213,11 +212,7 @@ def selections(spark, sf_dir):
         "only_bash": CompactionConfig(threshold=800, only_tools=("bash",), skip_tools=("bash",)),
         "no_summary": CompactionConfig(threshold=800, no_summary=("bash",)),
     }
-    out = None
-    for name, cfg in settings.items():
-        one = c.select_candidates(blocks, cfg).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return c.count_candidates(to_conversations(conversations(spark, sf_dir), "anthropic"), settings)
 
 
 @query("SELECT doc_id, md5(text) AS body FROM documents WHERE text IS NOT NULL")
