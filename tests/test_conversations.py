@@ -98,3 +98,11 @@ def test_settings_are_counted_in_one_pass(spark, sf_dir):
     assert got == {name: c.select_candidates(nested.select("conv_id", F.inline("blocks")), cfg).count() for name, cfg in settings.items()} and sum(got.values()) > 0
     plan = compaction.selections(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_inputs_are_written_back_within_their_row(spark, sf_dir):
+    nested = some_conversations(spark)
+    made = [sorted(map(tuple, c.clean_tool_inputs(x, 1).collect())) for x in (nested, nested.select("conv_id", F.inline("blocks")))]
+    assert made[0] == made[1] and len(made[0]) == 3
+    plan = compaction.tool_inputs_written_back(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan

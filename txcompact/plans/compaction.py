@@ -15,8 +15,8 @@ from txcompact.operators.clean import clean
 from txcompact.plans.outputs import customers
 from txcompact.plans.queries import PRICE_SQL, REQ, SQL, document_blocks, prices, query, read, read_stream, requests
 from txcompact.sources import stores
-from txcompact.sources.steps import shared_dir, stored
-from txcompact.sources.transcripts import SCHEMAS, to_blocks, to_conversations
+from txcompact.sources.steps import shared_dir
+from txcompact.sources.transcripts import SCHEMAS, to_conversations
 from txcompact.streaming.run import available
 
 N = "chr(10)"
@@ -193,8 +193,7 @@ def compacted_conversations_gemini(spark, sf_dir):
 @query(f"""WITH {ORDERS}, b AS (SELECT *, {COMMAND} AS command FROM r) SELECT CAST(blk AS VARCHAR) AS conv_id, CAST(2 * i - 2 AS INTEGER) AS turn, '{{"command":"' || rtrim(command) || '"}}' AS text FROM b WHERE i <= m - 3 AND length(command) >= 200""")
 def tool_inputs_written_back(spark, sf_dir):
     """Long fields of the model's older calls, cleaned and put back where that makes them shorter."""
-    blocks = stored(to_blocks(conversations(spark, sf_dir), "anthropic"), "blocks")
-    return c.clean_tool_inputs(blocks).select("conv_id", "turn", "text")
+    return c.clean_tool_inputs(to_conversations(conversations(spark, sf_dir), "anthropic")).select("conv_id", "turn", "text")
 
 
 NEW = "SELECT 'last_message' AS rule, count(*) AS n FROM x WHERE i = m AND length(output) >= 800 UNION ALL SELECT 'after_model', count(*) FROM x WHERE i = m AND length(output) >= 800"
