@@ -27,3 +27,11 @@ def test_keys_only_are_exchanged_and_a_tasks_part_is_bounded(spark, sf_dir, monk
     for made in (compaction.clean_reads(spark, sf_dir), compaction.clean_outputs(spark, sf_dir), compaction.system_prompts(spark, sf_dir)):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in plan and "Exchange hashpartitioning(o_custkey" in plan
+
+
+def test_coverage_counts_cleaned_outputs(spark, sf_dir, monkeypatch):
+    colour = lambda word: f"chr(27) || '[32m' || '{word}' || chr(27) || '[0m'"
+    coloured = outputs.Output("coloured", "gitStatus", "'  file ' || key || '.ts'", "''", head=(f"{colour('On')} || ' branch main'",))
+    monkeypatch.setattr(outputs, "BY_NAME", {"coloured": coloured})
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").distinct().count()
+    assert [(r.pattern, r.n) for r in outputs.rule_coverage(spark, sf_dir).collect()] == [("gitStatus", n)]
